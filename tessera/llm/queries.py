@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing
+from tessera.llm import exact_dedup, mixing, near_dedup
 
-MODULES = [exact_dedup, mixing]
+MODULES = [exact_dedup, mixing, near_dedup]
 
 
 def queries() -> dict:
