@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, near_dedup
+from tessera.llm import exact_dedup, mixing, near_dedup, pieces, toxicity
 
-MODULES = [exact_dedup, mixing, near_dedup]
+MODULES = [pieces, toxicity, exact_dedup, near_dedup, mixing]
 
 
 def queries() -> dict:
