@@ -29,6 +29,7 @@ from tessera.llm.texthash import U, mixed, shingle_sets
 BANDS, WIDTH = 28, 6
 PERMUTATIONS = BANDS * WIDTH // 2
 PERCENT = 85
+COMMON = 32  # members of a family
 _rng = np.random.default_rng(85)
 TIMES = _rng.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 TURN = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
@@ -117,7 +118,8 @@ def confirmed(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b): links between nodes that give the components of all links."""
     buckets = written(candidate_buckets(nodes), "buckets")
     wanted = buckets.select(F.col("node").alias("row")).distinct()
-    texts = numbered(docs).select("row", "text").join(wanted, "row", "left_semi")
+    # a merge join at any size: what it moves then grows with the input alone
+    texts = numbered(docs).select("row", "text").join(wanted.hint("merge"), "row", "left_semi")
     sets = written(texts.withColumnRenamed("row", "node").mapInArrow(_sets, "node long, items array<long>"), "sets")
     pairs = compared(pivot_edges(buckets), sets, "pivot", "node")
     star = pairs.select(
@@ -130,25 +132,33 @@ def confirmed(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def rest_links(star: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links between members of a pivot's family of which at least one isn't in the pivot's component."""
+    """The links between members of a pivot's family of which at least one isn't in the pivot's component.
+
+    Elements outside the pivot that more than ``COMMON`` members hold count as inside: the bound holds for any such
+    choice, and no element joins more than COMMON members.
+    """
     labels = components(links)
     label = lambda c, out: labels.withColumnsRenamed({"node": c, "label": out})
     family = star.join(label("node", "l"), "node", "left").join(label("pivot", "lp"), "pivot", "left")
-    family = family.select("pivot", "node", "n", "n_pivot", "inside", "rest", F.coalesce("l", "node").alias("l"), F.coalesce("lp", "pivot").alias("lp"))
-    apart = family.where("l <> lp")
-    # a smaller partner may do without a shared element outside the pivot
-    open_pivots = apart.select("pivot").distinct()
-    family = family.join(open_pivots, "pivot", "left_semi")
-    side = lambda df, x: df.select("pivot", *[F.col(c).alias(c + x) for c in ("node", "n", "inside", "l")])
-    part = lambda df, x: df.select("pivot", *[F.col(c).alias(c + x) for c in ("node", "n", "inside", "l")], F.size("rest").alias("out" + x), F.explode("rest").alias("item"))
-    least = F.least("inside_a", "inside_b")
-    a, b = part(apart, "_a"), part(family, "_b")
-    near = a.join(b, ["pivot", "item"]).where((F.col("l_a") != F.col("l_b")) & enough(least + F.least("out_a", "out_b"), F.col("n_a"), F.col("n_b")))
-    near = near.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("both"), *[F.first(c).alias(c) for c in ("inside_a", "inside_b", "n_a", "n_b")])
-    near = near.where(enough(least + F.col("both"), F.col("n_a"), F.col("n_b"))).select("node_a", "node_b")
-    small = side(family.where("n < n_pivot"), "_b")
-    plain = side(apart, "_a").join(small, "pivot").where((F.col("l_a") != F.col("l_b")) & enough(least, F.col("n_a"), F.col("n_b")))
-    pairs = near.union(plain.select("node_a", "node_b")).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    family = family.select("pivot", "node", "n", "inside", "rest", F.coalesce("l", "node").alias("l"), (F.coalesce("l", "node") != F.coalesce("lp", "pivot")).alias("apart"))
+    family = family.join(family.where("apart").select("pivot").distinct(), "pivot", "left_semi")
+    items = family.select("pivot", "node", F.explode("rest").alias("item"))
+    common = items.groupBy("pivot", "item").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > COMMON)
+    held = items.join(common, ["pivot", "item"]).groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("held"))
+    family = family.withColumn("out", F.size("rest")).drop("rest").join(held, ["pivot", "node"], "left")
+    shift = F.coalesce("held", F.lit(0))
+    family = written(family.withColumn("inside", F.col("inside") + shift).withColumn("out", F.col("out") - shift).drop("held"), "family")
+    side = lambda df, x: df.select("pivot", *[F.col(c).alias(c + x) for c in ("node", "n", "inside", "out", "l")])
+    rare = items.join(common, ["pivot", "item"], "left_anti")
+    least, differ = F.least("inside_a", "inside_b"), F.col("l_a") != F.col("l_b")
+    holder = lambda df, x: side(df, x).join(rare.withColumnRenamed("node", "node" + x), ["pivot", "node" + x])
+    near = holder(family.where("apart"), "_a").join(holder(family, "_b"), ["pivot", "item"])
+    near = near.where(differ & enough(least + F.least("out_a", "out_b"), F.col("n_a"), F.col("n_b")))
+    near = near.groupBy("pivot", "node_a", "node_b").agg(F.count(F.lit(1)).alias("both"), *[F.first(c).alias(c) for c in ("inside_a", "inside_b", "n_a", "n_b")])
+    near = near.where(enough(least + F.col("both"), F.col("n_a"), F.col("n_b")))
+    plain = side(family.where("apart"), "_a").join(side(family, "_b"), "pivot").where(differ & enough(least, F.col("n_a"), F.col("n_b")))
+    pairs = near.select("node_a", "node_b").union(plain.select("node_a", "node_b"))
+    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     pairs = compared(pairs, sets, "a", "b")
     inter = F.size(F.array_intersect("items_a", "items_b"))
     return pairs.where(enough(inter, F.size("items_a"), F.size("items_b"))).select("a", "b")

@@ -76,7 +76,7 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     out = np.full(len(words) - width + 1, U(width), U)
     for k in range(width):
         out = out * FOLD + words[k : len(words) - width + 1 + k]
-    return np.unique(mixed(out))
+    return distinct(mixed(out))
 
 
 def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
