@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, near_dedup, pieces, toxicity
+from tessera.llm import exact_dedup, fixity, mixing, near_dedup, neighbours, pieces, toxicity
 
-MODULES = [pieces, toxicity, exact_dedup, near_dedup, mixing]
+MODULES = [pieces, toxicity, exact_dedup, near_dedup, mixing, neighbours, fixity]
 
 
 def queries() -> dict:
