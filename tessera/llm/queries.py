@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, fixity, mixing, near_dedup, neighbours, pieces, rollup, toxicity
+from tessera.llm import exact_dedup, fixity, mixing, near_dedup, neighbours, pieces, pseudo_likelihood, rollup, toxicity
 
-MODULES = [pieces, toxicity, exact_dedup, rollup, near_dedup, mixing, neighbours, fixity]
+MODULES = [pieces, toxicity, pseudo_likelihood, exact_dedup, rollup, near_dedup, mixing, neighbours, fixity]
 
 
 def queries() -> dict:
