@@ -37,8 +37,8 @@ def inverse(odd: int) -> int:
     return pow(odd, -1, 2**64)
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of rows with about SLICE bytes of text; null is empty."""
+def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of rows with at most ``most`` bytes of text, or one row; null is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     if not len(column):
         return
@@ -46,7 +46,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 

@@ -47,7 +47,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray,
 
 def features(column: pa.Array, chosen: np.ndarray | None = None):
     """(first row, row, bucket) of the distinct n-gram buckets of rows, slice by slice; of those chosen, if given."""
-    for first, data, offsets in slices(column):
+    for first, data, offsets in slices(column, 1 << 19):
         found = []
         for size in SIZES:
             row, bucket = grams(data, offsets, size)
@@ -61,30 +61,29 @@ def features(column: pa.Array, chosen: np.ndarray | None = None):
 
 def fit(texts: list[str], toxic: np.ndarray, odds: float | None = None, rounds: int = 200, decay: float = 2e-3, smooth: float = 0.5) -> tuple[np.ndarray, float]:
     """The weight of each bucket (0: not a feature) and the intercept; odds: of label 1 among all labelled rows."""
-    counts = np.full((2, 1 << BITS), 0, np.float64)
-    rows, buckets = [], []
-    for first, row, bucket in features(pa.array(texts, pa.large_string())):
-        rows.append(row + first)
-        buckets.append(bucket.astype(np.int32))
+    column = pa.array(texts, pa.large_string())
+    counts = np.zeros((2, 1 << BITS), np.float32)
+    for first, row, bucket in features(column):
+        of = toxic[row + first]
         for y in (0, 1):
-            counts[y] += np.bincount(bucket[toxic[row + first] == y], minlength=1 << BITS)
+            counts[y] += np.bincount(bucket[of == y], minlength=1 << BITS)
     # log of the ratio of presence rates, with equal shares of smoothing for both classes
     n1, n0 = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
     ratio = np.log((counts[1] + smooth) / (n1 + 2 * smooth)) - np.log((counts[0] + smooth) / (n0 + 2 * smooth))
     error = np.sqrt(1 / (counts[1] + smooth) + 1 / (counts[0] + smooth))
     ratio[np.abs(ratio) < np.maximum(MIN_RATIO, MIN_ERRORS * error)] = 0
-    row, bucket = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, buckets))
-    used = ratio[bucket] != 0
-    row, bucket = row[used], bucket[used]
+    del counts, error  # a second pass over the texts is cheaper than the n-grams of all of them in memory
+    parts = [(row + first, bucket) for first, row, bucket in features(column, ratio != 0)]
+    row, bucket = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
     names = distinct(bucket)
-    column = np.searchsorted(names, bucket)
-    x = ratio[names][column]
+    at = np.searchsorted(names, bucket)
+    x = ratio[names][at]
     w, b, y = np.zeros(len(names)), 0.0, toxic.astype(np.float64)
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, rounds + 1):  # full-batch Adam
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, x * w[column], len(texts)) + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, x * w[at], len(texts)) + b, -30, 30)))
         g = (p - y) / max(1, len(texts))
-        grad = np.append(np.bincount(column, x * g[row], len(names)) + decay * w / max(1, len(names)), g.sum())
+        grad = np.append(np.bincount(at, x * g[row], len(names)) + decay * w / max(1, len(names)), g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
