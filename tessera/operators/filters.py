@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,12 +26,9 @@ def _sinc(x: Column) -> Column:
 
 
 def _bessel0(x: Column, terms: int = 24) -> Column:
-    """The modified Bessel function of order 0 by its power series."""
-    q, total, term = x * x / 4, F.lit(1.0), F.lit(1.0)
-    for k in range(1, terms):
-        term = term * q / float(k * k)
-        total = total + term
-    return total
+    """The modified Bessel function of order 0 by its power series, by Horner's rule."""
+    falling = F.array(*[F.lit(1.0 / math.factorial(k) ** 2) for k in reversed(range(terms))])
+    return F.aggregate(falling, F.lit(0.0), lambda total, c: total * (x * x / 4) + c)
 
 
 def box(width: float = 0.5) -> Filter:
@@ -115,9 +111,11 @@ def polyphase(spark: SparkSession, shape: Filter, src: int, dst: int, mode: str
     centre = (F.col("dst") + 0.5) * step
     rows = spark.range(dst).select(F.col("id").cast("int").alias("dst"))
     rows = rows.select("dst", centre.alias("centre"), F.floor(centre - reach).alias("left"))
-    rows = rows.select("dst", "centre", (F.explode(F.sequence(F.lit(0), F.lit(taps - 1))) + F.col("left")).alias("at"))
-    mean = reduce(lambda s, v: s + v, [f((F.col("at") - F.col("centre") + (k + 0.5) / samples) * scale) for k in range(samples)]) / samples
-    rows = rows.select("dst", wrapped(F.col("at"), src, mode).cast("int").alias("src"), mean.alias("w"))
+    rows = rows.select("dst", "centre", F.explode(F.sequence(F.col("left"), F.col("left") + (taps - 1))).alias("at"))
+    rows = rows.select("dst", "at", "centre", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k"))
+    rows = rows.select("dst", "at", ((F.col("at") - F.col("centre") + (F.col("k") + 0.5) / samples) * scale).alias("u"))
+    rows = rows.groupBy("dst", "at").agg(F.avg(f(F.col("u"))).alias("w"))
+    rows = rows.select("dst", wrapped(F.col("at"), src, mode).cast("int").alias("src"), "w")
     rows = rows.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("dst")))
     return rows.groupBy("dst", "src").agg(F.sum("w").alias("w")).where("w <> 0")
 
