@@ -10,6 +10,8 @@ Only DataFrame functions are used. Ranks are counted in buckets and joined by ru
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,37 +38,35 @@ def ranked(groups: DataFrame, within: str, by: list[str], bucket, buckets: int)
     return rows.join(before, [within, "bucket"]).withColumn("rank", F.col(within) + F.col("own") + F.col("offset")).drop("own", "offset", "bucket")
 
 
-def repeated_windows(lines: DataFrame) -> list[DataFrame]:
-    """For k = 0, 1, ...: (doc_id, row, run, pos, rank) of the windows of 2^k lines that come more than once."""
+def repeated_windows(lines: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+    """For 1, 2, 4, ... lines: (doc_id, row, run, pos, rank) of the windows that come more than once."""
     count = lambda df, *key: df.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    total = lines.count()
-    buckets = total // 256 + 1
+    buckets = lines.count() // 256 + 1
     unit = F.shiftrightunsigned(F.col("h1"), 32).cast("double") / F.lit(float(2**32))
     groups = ranked(count(lines, "h1", "h2").withColumn("all", F.lit(0).cast("long")), "all", ["h1", "h2"], F.floor(unit * buckets), buckets)
     level = attach(lines, groups.select("h1", "h2", "rank"), ["h1", "h2"], "run", "inner").select("doc_id", "row", "run", "pos", "rank")
-    levels, width = [written(level, "windows")], 1
-    while not levels[-1].isEmpty():
-        here = levels[-1].withColumnRenamed("rank", "a")
-        after = levels[-1].select("row", (F.col("pos") - width).alias("pos"), F.col("rank").alias("b"))
+    level, width = written(level, "windows"), 1
+    while not level.isEmpty():
+        yield width, level
+        here = level.withColumnRenamed("rank", "a")
+        after = level.select("row", (F.col("pos") - width).alias("pos"), F.col("rank").alias("b"))
         pairs = written(here.join(after, ["row", "pos"]), "pairs")
         groups = ranked(count(pairs, "a", "b"), "a", ["b"], F.floor(F.col("b") / 256), buckets)
         level = attach(pairs, groups.select("a", "b", "rank"), ["a", "b"], "run", "inner").select("doc_id", "row", "run", "pos", "rank")
-        levels.append(written(level, "windows"))
-        width *= 2
-    return levels[:-1]
+        level, width = written(level, "windows"), 2 * width
 
 
-def later_copies(levels: list[DataFrame], min_lines: int = MIN_LINES) -> DataFrame:
-    """(row, pos): the lines of windows of at least min_lines lines that aren't the first of their group."""
-    marks = None
-    for k, level in enumerate(levels):
-        if 2**k < min_lines:
+def later_copies(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """(row, pos): the lines of windows of at least min_lines lines that aren't the first of their group. The marks of
+    each round are written in it, so that no plan spans the rounds."""
+    marks = lines.select("row", "pos").limit(0)
+    for width, level in repeated_windows(lines):
+        if width < min_lines:
             continue
         first = level.groupBy("rank").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"))
         copies = attach(level, first, ["rank"], "run", "inner").where(F.struct("doc_id", "row", "pos") != F.col("first"))
-        lines = copies.select("row", F.explode(F.sequence("pos", F.col("pos") + (2**k - 1))).alias("pos"))
-        marks = lines if marks is None else marks.union(lines)
-    return marks.distinct() if marks is not None else None
+        marks = marks.union(written(copies.select("row", F.explode(F.sequence("pos", F.col("pos") + (width - 1))).alias("pos")).distinct(), "marks"))
+    return marks.distinct()
 
 
 def runs_of(marks: DataFrame) -> DataFrame:
@@ -83,15 +83,12 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     goes as far as it reaches beyond the first line. A null text has no lines and stays null; an empty text has one
     empty line; a text without lines left is empty. An empty table gives an empty result.
     """
-    marks = later_copies(repeated_windows(written(line_ids(docs), "lines")), min_lines)
+    marks = later_copies(written(line_ids(docs), "lines"), min_lines)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("lines"))
-    if marks is None:
-        rows = rows.withColumn("gone", F.array().cast("array<int>"))
-    else:
-        gone = runs_of(marks).groupBy("row").agg(F.collect_list(F.struct("first", "lines")).alias("runs"))
-        # a merge join at any size: what it moves grows with the input alone
-        places = F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], (r["first"] + r["lines"] - 1).cast("int"))))
-        rows = rows.join(gone.select("row", places.alias("gone")).hint("merge"), "row", "left")
+    gone = runs_of(marks).groupBy("row").agg(F.collect_list(F.struct("first", "lines")).alias("runs"))
+    # a merge join at any size: what it moves then grows with the input alone
+    places = F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], (r["first"] + r["lines"] - 1).cast("int"))))
+    rows = rows.join(gone.select("row", places.alias("gone")).hint("merge"), "row", "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     left = F.when(F.size(gone) == 0, F.col("lines")).otherwise(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone), lambda i: F.get("lines", i)))
     n = F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long")

@@ -117,11 +117,11 @@ def mixed_sizes(docs: DataFrame, block: int = 256, seed: str = "mix") -> DataFra
 
 def mixed_documents(docs: DataFrame, block: int = 256, seed: str = "mix") -> DataFrame:
     """docs as the mix reads them: a document comes as often as the words taken from it, rounded, fill its size."""
-    kept = mixed_sizes(docs, block, seed).select(
-        F.col("doc_id").alias("_id"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.greatest("size", F.lit(1)))).otherwise(0).cast("int").alias("_n")
-    )
-    out = docs.join(kept.where("_n > 0").groupBy("_id").agg(F.max("_n").alias("_n")), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select([docs[c] for c in docs.columns])
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.greatest("size", F.lit(1)))).otherwise(0).cast("int")
+    kept = mixed_sizes(docs, block, seed).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max(times).alias("_mix_times")).where("_mix_times > 0")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_mix_id"]))
+    out = out.select(*docs.columns, F.explode(F.sequence(F.lit(1), kept["_mix_times"])).alias("_mix_copy"))
+    return out.select(docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,10 +122,11 @@ def usable(rows: DataFrame) -> DataFrame:
 
 def distinct_vectors(rows: DataFrame, ids: int) -> DataFrame:
     """(entry, v, ids): equal vectors as one entry, named by its least id, with its ``ids`` least ids."""
-    runs = rows.withColumn("run", F.spark_partition_id())
+    runs = rows.withColumn("run", F.spark_partition_id()).distinct()
     own = F.row_number().over(Window.partitionBy("v", "run").orderBy("vec_id"))
     every = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    least = runs.distinct().withColumn("n", own).where(F.col("n") <= ids).withColumn("n", every).where(F.col("n") <= ids)
+    least = runs.withColumn("n", own).where(F.col("n") <= ids).select("v", "vec_id").distinct()
+    least = least.withColumn("n", every).where(F.col("n") <= ids)
     return least.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("entry"), "v", "ids")
 
 

@@ -139,7 +139,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return toxicity(docs, labels).where("toxicity_predicted = 0").select(docs.columns)
+    score = scorer(docs.sparkSession, *fit(*labelled_sample(docs, labels)))
+    return docs.where(score(docs["text"].cast("string")) < REJECT)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
