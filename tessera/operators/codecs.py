@@ -164,13 +164,13 @@ def colour_codes(blocks: DataFrame, refine: bool = True) -> DataFrame:
         rows = rows.withColumn("w", share)
         sums = {"aa": _sum(F.transform("w", lambda w: w * w)), "ab": _sum(F.transform("w", lambda w: w * (1 - w))), "bb": _sum(F.transform("w", lambda w: (1 - w) * (1 - w)))}
         for c in "rgb":
-            sums[f"a{c}"] = _sum(F.zip_with("w", _channel(c), lambda w, v: w * v))
-            sums[f"b{c}"] = _sum(F.zip_with("w", _channel(c), lambda w, v: (1 - w) * v))
+            sums[f"a_{c}"] = _sum(F.zip_with("w", _channel(c), lambda w, v: w * v))
+            sums[f"b_{c}"] = _sum(F.zip_with("w", _channel(c), lambda w, v: (1 - w) * v))
         rows = rows.withColumns(sums)
         det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
-        solve = lambda p, q, c: F.try_divide(F.col(f"a{c}") * F.col(p) - F.col(f"b{c}") * F.col(q), det)
+        solve = lambda p, q, c: F.try_divide(F.col(f"a_{c}") * F.col(p) - F.col(f"b_{c}") * F.col(q), det)
         one = [solve("bb", "ab", c) for c in "rgb"]
-        two = [F.try_divide(F.col(f"b{c}") * F.col("aa") - F.col(f"a{c}") * F.col("ab"), det) for c in "rgb"]
+        two = [F.try_divide(F.col(f"b_{c}") * F.col("aa") - F.col(f"a_{c}") * F.col("ab"), det) for c in "rgb"]
         keep = lambda new, old: F.coalesce(F.when(F.abs(det) > 1e-9, _nearest_565(*new)), F.col(old))
         rows = _ordered(rows, keep(one, "fit.c0"), keep(two, "fit.c1")).select(*blocks.columns, "fit", "c0", "c1")
         rows = _with_indices(rows, "again")
