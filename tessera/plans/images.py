@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import texel as T
 from tessera.operators import filters as W
+from tessera.operators import sampling as N
 from tessera.operators import space as P
 from tessera.operators import stats as A
 from tessera.plans.maps import BLOCKS, HDR, SIGNED, UNIT, rounded, sql
@@ -203,6 +204,26 @@ def normal_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(W.to_normal_map(S.gray(spark, sf_dir), (8, 8)))
 
 
+def _points(spark, sf_dir):
+    """Five places of each surface, inside and outside of it."""
+    ids = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("surface_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("id"))
+    return ids.select("surface_id", "id", (F.col("id") * 0.4375 - 0.53125).alias("u"), (F.col("id") * 0.28125 - 0.171875).alias("v"))
+
+
+def _sampled(of, mode):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = of(_points(spark, sf_dir), S.gray(spark, sf_dir), 8, 8, mode)
+        return out.select("surface_id", "id", F.round("r", 6).alias("value"))
+
+    return run
+
+
+def bilinear_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each surface against its next mip level."""
+    k = S.gray(spark, sf_dir)
+    return _round(N.bilinear_rms(k, (8, 8), W.fast_down_sample(k, (8, 8)), (4, 4)), "rms")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The atlas to linear light, one mip level down and back to gamma: its error against 5-6-5 levels."""
     t = S.atlas(spark, sf_dir)
@@ -276,6 +297,15 @@ LAB = """lab AS (SELECT surface_id, y, x, n, 116 * fx - 16 AS l, 500 * (fx - fy)
     FROM (SELECT surface_id, y, x, 1 AS n, r, g, b FROM b UNION ALL SELECT surface_id, y, x, 2, r2, g2, b2 FROM q)))),
   two AS (SELECT o.surface_id, o.l AS l1, o.aa AS a1, o.bb AS b1, p.l AS l2, p.aa AS a2, p.bb AS b2 FROM lab o JOIN lab p USING (surface_id, y, x) WHERE o.n = 1 AND p.n = 2)"""
 
+def _sample_sql(linear: bool, mode: str) -> str:
+    wrap = {"clamp": "greatest(0, least(7, {i}))", "repeat": "(({i}) % 8 + 8) % 8", "mirror": "CASE WHEN (({i}) % 14 + 14) % 14 < 8 THEN (({i}) % 14 + 14) % 14 ELSE 14 - (({i}) % 14 + 14) % 14 END"}[mode]
+    points = "p AS (SELECT vec_id AS surface_id, i::INT AS id, (i * 0.4375::DOUBLE - 0.53125) * 8 AS fx, (i * 0.28125::DOUBLE - 0.171875) * 8 AS fy FROM embeddings, range(5) AS xs(i))"
+    if not linear:
+        return f"WITH {GRAY}, {points}, q AS (SELECT surface_id, id, floor(fx + 0.5)::INT AS i, floor(fy + 0.5)::INT AS j FROM p) SELECT q.surface_id, id, round(v, 6) AS value FROM q JOIN k ON k.surface_id = q.surface_id AND k.x = {wrap.format(i='i')} AND k.y = {wrap.format(i='j')}"
+    return f"""WITH {GRAY}, {points}, q AS (SELECT surface_id, id, floor(fx)::INT + dx AS i, floor(fy)::INT + dy AS j, (CASE dx WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) * (CASE dy WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) AS w
+        FROM p, (VALUES (0), (1)) AS xs(dx), (VALUES (0), (1)) AS ys(dy)) SELECT q.surface_id, id, round(sum(v * w), 6) AS value FROM q JOIN k ON k.surface_id = q.surface_id AND k.x = {wrap.format(i='i')} AND k.y = {wrap.format(i='j')} GROUP BY 1, 2"""
+
+
 CASES = {
     "surface_average": (average, f"WITH {BLOCKS} SELECT surface_id, round(CASE WHEN sum(a) = 0 THEN 0 ELSE pow(sum(pow(r, 2.2) * a) / sum(a), 1 / 2.2::DOUBLE) END, 6) AS average FROM b GROUP BY 1"),
     "surface_range": (value_range, f"WITH {BLOCKS} SELECT surface_id, round(coalesce(min(r) FILTER (a > 0.6), 3.4028234663852886e38), 6) AS low, round(coalesce(max(r) FILTER (a > 0.6), -3.4028234663852886e38), 6) AS high FROM b GROUP BY 1"),
@@ -350,6 +380,13 @@ CASES = {
         SELECT 0 AS surface_id, ws.dst AS y, wx.dst AS x, round(sum(r * wx.w * ws.w), 6) AS r, round(sum(g * wx.w * ws.w), 6) AS g, round(sum(b * wx.w * ws.w), 6) AS b, round(sum(a * wx.w * ws.w), 6) AS a
         FROM t JOIN wx ON wx.src = x JOIN ws ON ws.src = y GROUP BY 1, 2, 3"""),
     "coverage_scale": (coverage_scale, None),
+    "bilinear_error": (bilinear_error, f"""WITH {GRAY}, m AS (SELECT surface_id, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM k GROUP BY 1, 2, 3),
+        t AS (SELECT k.surface_id, k.y, k.x, any_value(k.v) AS v, sum(m.v * (CASE WHEN k.x % 2 = 0 THEN 1 - dx ELSE 0.5::DOUBLE END) * (CASE WHEN k.y % 2 = 0 THEN 1 - dy ELSE 0.5::DOUBLE END)) AS s FROM k, (VALUES (0), (1)) AS xs(dx), (VALUES (0), (1)) AS ys(dy), m
+              WHERE m.surface_id = k.surface_id AND m.x = least(k.x // 2 + dx, 3) AND m.y = least(k.y // 2 + dy, 3) GROUP BY 1, 2, 3)
+        SELECT surface_id, round(sqrt(avg(4 * (v - s) ** 2)), 6) AS rms FROM t GROUP BY 1"""),
 }
+for _mode in ("clamp", "repeat", "mirror"):
+    CASES[f"sample_nearest_{_mode}"] = (_sampled(N.sample_nearest, _mode), _sample_sql(False, _mode))
+    CASES[f"sample_linear_{_mode}"] = (_sampled(N.sample_linear, _mode), _sample_sql(True, _mode))
 QUERIES = {name: run for name, (run, _) in CASES.items()}
 SQL = {name: text for name, (_, text) in CASES.items() if text}
