@@ -24,6 +24,7 @@ class _Channels:
 
 C = _Channels()
 RGB = ("r", "g", "b")
+NEWTON_STEPS = 12
 
 
 def changed(texels: DataFrame, **channels: Column) -> DataFrame:
@@ -333,7 +334,8 @@ def expand_normals(texels):
 
 
 def transform_normals(texels, kind: str):
-    """To a plane: orthographic, stereographic or paraboloid; normals are made unit vectors first."""
+    """To a plane: orthographic, stereographic, paraboloid or quartic; normals are made unit vectors first. The quartic
+    surface z = (1 - x x)(1 - y y) is met by Newton steps from the paraboloid."""
     n = normalize(texels)
     if kind == "orthographic":
         return changed(n, b=F.lit(0.0))
@@ -341,7 +343,16 @@ def transform_normals(texels, kind: str):
         return changed(n, r=F.try_divide(C.r, C.b + 1), g=F.try_divide(C.g, C.b + 1), b=F.lit(0.0))
     square = C.r * C.r + C.g * C.g
     t = F.try_divide(F.sqrt(C.b * C.b + square * 4) - C.b, square * 2)
-    return changed(n, r=C.r * t, g=C.g * t, b=F.lit(0.0))
+    if kind == "quartic":
+        both = C.r * C.r * C.g * C.g
+
+        def step(t, _):
+            value = 1 - C.b * t - square * t * t + both * t * t * t * t
+            return t - F.try_divide(value, both * t * t * t * 4 - square * t * 2 - C.b)
+
+        t = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), t, step)
+    # a column of its own: a fold that two columns of one projection share isn't evaluated twice alike
+    return changed(n.withColumn("_t", t), r=C.r * C._t, g=C.g * C._t, b=F.lit(0.0)).drop("_t")
 
 
 def reconstruct_normals(texels, kind: str):

@@ -136,6 +136,26 @@ def covariance(texels: DataFrame, weight: str | None = None) -> DataFrame:
     return texels.groupBy("surface_id").agg(*[mean[c].alias(f"mean_{c}") for c in T.RGB], *second)
 
 
+def principal_axis(moments: DataFrame, steps: int = 8) -> DataFrame:
+    """moments (from covariance) with axis: the unit direction of most spread, by power iteration from the row of the
+    matrix with the largest diagonal; zero without any spread."""
+    m = {frozenset((p, q)): F.col(f"{p}{q}") for i, p in enumerate(T.RGB) for q in T.RGB[i:]}
+    rows = [F.array(*[m[frozenset((p, q))] for q in T.RGB]) for p in T.RGB]
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    start = F.when((F.col("rr") >= F.col("gg")) & (F.col("rr") >= F.col("bb")), rows[0]).when(F.col("gg") >= F.col("bb"), rows[1]).otherwise(rows[2])
+
+    def step(v, _):
+        return unit(F.array(*[dot(r, v) for r in rows]))
+
+    def unit(v):
+        most = F.array_max(F.transform(v, F.abs))
+        return F.transform(v, lambda x: F.coalesce(F.try_divide(x, most), F.lit(0.0)))
+
+    out = moments.withColumn("_v", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), unit(start), step))
+    length = F.sqrt(dot(F.col("_v"), F.col("_v")))
+    return out.withColumn("axis", F.transform("_v", lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))).drop("_v")
+
+
 def quantize_ceil(value: Column, bits: int, out: int = 8) -> Column:
     """The least value of ``bits`` bits, replicated to ``out``, that isn't below value."""
     levels = F.transform(F.sequence(F.lit(0), F.lit(2**bits - 1)), lambda i: T.replicate(i, bits, out) / float(2**out - 1))

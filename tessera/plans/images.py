@@ -100,6 +100,26 @@ def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(out, *[c for c in out.columns if c != "surface_id"])
 
 
+def principal_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The direction of most spread of each surface's colours, and how much of the spread lies along it."""
+    out = A.principal_axis(A.covariance(S.blocks(spark, sf_dir)))
+    axis = {c: F.element_at("axis", i + 1) for i, c in enumerate(T.RGB)}
+    m = {p + q: F.col(p + q) if p <= q or p + q in out.columns else F.col(q + p) for p in T.RGB for q in T.RGB if p + q in out.columns}
+    along = sum((v * axis[k[0]] * axis[k[1]] * (1 if k[0] == k[1] else 2) for k, v in m.items()), F.lit(0.0))
+    share = F.coalesce(F.try_divide(along, F.col("rr") + F.col("gg") + F.col("bb")), F.lit(0.0))
+    return out.select("surface_id", *[F.round(a, 6).alias(f"axis_{c}") for c, a in axis.items()], F.round(share, 6).alias("share"))
+
+
+def normals_quartic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the transformed normals are from the quartic surface along their rays."""
+    n = T.normalize(T.scale_bias(S.blocks(spark, sf_dir), 2.0, -1.0, T.RGB)).where("b > 0.1")
+    flat = T.transform_normals(n, "quartic").select(*S.PLACE, F.col("r").alias("fx"), F.col("g").alias("fy"))
+    height = (1 - F.col("fx") * F.col("fx")) * (1 - F.col("fy") * F.col("fy"))
+    t = F.greatest(F.try_divide(F.col("fx"), F.col("r")), F.try_divide(F.col("fy"), F.col("g")))
+    rows = n.join(flat, list(S.PLACE)).withColumn("off", F.abs(height - F.col("b") * t))
+    return rows.groupBy("surface_id").agg(F.count(F.lit(1)).alias("texels"), F.round(F.max("off"), 6).alias("off"))
+
+
 def block_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.scale_chroma(T.to_ycocg(S.atlas(spark, sf_dir))))
 
@@ -380,6 +400,8 @@ CASES = {
         SELECT 0 AS surface_id, ws.dst AS y, wx.dst AS x, round(sum(r * wx.w * ws.w), 6) AS r, round(sum(g * wx.w * ws.w), 6) AS g, round(sum(b * wx.w * ws.w), 6) AS b, round(sum(a * wx.w * ws.w), 6) AS a
         FROM t JOIN wx ON wx.src = x JOIN ws ON ws.src = y GROUP BY 1, 2, 3"""),
     "coverage_scale": (coverage_scale, None),
+    "principal_axis": (principal_axis, None),
+    "normals_quartic": (normals_quartic, f"WITH {BLOCKS}, {SIGNED}, {UNIT} SELECT surface_id, count(*) AS texels, 0.0::DOUBLE AS off FROM n WHERE b > 0.1 GROUP BY 1"),
     "bilinear_error": (bilinear_error, f"""WITH {GRAY}, m AS (SELECT surface_id, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM k GROUP BY 1, 2, 3),
         t AS (SELECT k.surface_id, k.y, k.x, any_value(k.v) AS v, sum(m.v * (CASE WHEN k.x % 2 = 0 THEN 1 - dx ELSE 0.5::DOUBLE END) * (CASE WHEN k.y % 2 = 0 THEN 1 - dy ELSE 0.5::DOUBLE END)) AS s FROM k, (VALUES (0), (1)) AS xs(dx), (VALUES (0), (1)) AS ys(dy), m
               WHERE m.surface_id = k.surface_id AND m.x = least(k.x // 2 + dx, 3) AND m.y = least(k.y // 2 + dy, 3) GROUP BY 1, 2, 3)

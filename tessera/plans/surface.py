@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import texel as T
 from tessera.operators import codecs, filters, space, stats
 from tessera.operators.layout import target_extent
+from tessera.operators.sampling import bilinear_rms
 from tessera.sources.files import to_dds
 
 
@@ -50,6 +51,18 @@ class Surface:
     def has_next_mip(self, least: int = 1) -> bool:
         return max(self.width, self.height) > least
 
+    def auto_resized(self, tolerance: float, shape: filters.Filter | None = None) -> Surface:
+        """Halved (odd extents up) as long as the result, sampled back, stays within the bilinear error on average and
+        both sides are at least four: one aggregate a step."""
+        out = self
+        while min(out.width, out.height) >= 4:
+            half = out.resize((out.width + 1) // 2, (out.height + 1) // 2, shape)
+            rms = bilinear_rms(out.df, (out.width, out.height), half.df, (half.width, half.height)).agg(F.avg("rms")).first()[0]
+            if rms is None or rms >= tolerance:
+                break
+            out = half
+        return out
+
     def flip(self, axis: str) -> Surface:
         return self.map(space.flip, axis, {"x": self.width, "y": self.height}[axis])
 

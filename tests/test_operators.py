@@ -129,3 +129,60 @@ def test_extents():
     assert layout.target_extent(300, 100, 200) == (200, 66)
     assert layout.target_extent(7, 5, rounding="next_four") == (8, 8) and layout.target_extent(7, 5, rounding="nearest_four") == (7, 5)
     assert len(filters.mip_extents((300, 100))) == math.floor(math.log2(300)) + 1
+
+
+def test_principal_axis(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(8, 8, 1)) * np.array([3.0, 2.0, 1.0, 0.0]) + rng.normal(size=(8, 8, 4)) * 0.1
+    row = stats.principal_axis(stats.covariance(image(spark, v))).first()
+    assert abs(np.dot(row["axis"], np.array([3, 2, 1]) / 14**0.5)) > 0.999
+    assert stats.principal_axis(stats.covariance(image(spark, np.full((2, 2), 0.5)))).first()["axis"] == pytest.approx([0, 0, 0], abs=1.0)
+
+
+def test_auto_resize(spark):
+    from tessera.plans.surface import Surface
+
+    flat = Surface(image(spark, np.full((9, 6), 0.25)), 6, 9).auto_resized(0.01)
+    assert (flat.width, flat.height) == (3, 5) and np.allclose(plane(flat.df), 0.25)
+    noise = Surface(image(spark, np.random.default_rng(1).random((8, 8))), 8, 8).auto_resized(0.01)
+    assert (noise.width, noise.height) == (8, 8)
+
+
+@pytest.mark.parametrize("carried", [False, True])
+def test_diffusion(carried):
+    from tessera.operators.diffusion import diffused
+
+    v = np.full((8, 8), 0.3)
+    out = diffused(v, lambda x: float(x > 0.5), carried)
+    assert set(out.ravel()) <= {0.0, 1.0}
+    if carried:
+        assert abs(out.mean() - 0.3) < 0.08
+
+
+def test_files(spark, tmp_path):
+    import struct
+    import zlib
+
+    from tessera.sources import files
+
+    v = np.random.default_rng(6).integers(0, 256, (5, 7, 4), dtype=np.uint8)
+    lines = []
+    for y in range(5):  # each line with another filter
+        kind, line = y, v[y].astype(int).ravel()
+        left = np.concatenate((np.zeros(4, int), line[:-4]))
+        up = v[y - 1].astype(int).ravel() if y else np.zeros(28, int)
+        corner = np.concatenate((np.zeros(4, int), up[:-4]))
+        nearest = [min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2] for a, b, c in zip(left, up, corner, strict=True)]
+        guess = {0: 0, 1: left, 2: up, 3: (left + up) // 2, 4: np.array(nearest)}[kind]
+        lines.append(bytes([kind]) + ((line - guess) & 255).astype(np.uint8).tobytes())
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 5, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+    assert np.array_equal(files.png(data), v / 255)
+    (tmp_path / "a.png").write_bytes(data)
+    t = files.read_images(spark.read.format("binaryFile").load(f"file://{tmp_path}/a.png"))
+    assert t.count() == 35 and np.allclose(plane(t, "b"), v[..., 2] / 255)
+    extents = t.select("surface_id").distinct().select("surface_id", F.lit(7).alias("width"), F.lit(5).alias("height"))
+    made = files.to_tga(T.changed(t, **{c: F.round(F.col(c) * 255) for c in "rgba"}), extents).first().content
+    assert np.array_equal(files.tga(bytes(made)), v / 255)
+    head = b"#?RADIANCE\nFORMAT=32-bit_rle_rgbe\n\n-Y 1 +X 2\n"
+    assert files.radiance(head + bytes([128, 64, 0, 129, 0, 0, 0, 0])).tolist() == [[[1.0, 0.5, 0.0, 1.0], [0.0, 0.0, 0.0, 1.0]]]
