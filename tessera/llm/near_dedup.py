@@ -90,6 +90,11 @@ def enough(inter: Column, n_a: Column, n_b: Column) -> Column:
     return (100 + PERCENT) * inter >= PERCENT * (n_a + n_b)
 
 
+def spread(c: str, runs: int = 64) -> Column:
+    """One of so many runs: a key that very many rows share is joined run by run."""
+    return F.pmod(F.xxhash64(c, F.lit("run")), F.lit(runs))
+
+
 def candidate_buckets(nodes: DataFrame) -> DataFrame:
     """(key, node) of the buckets with several nodes."""
     rows = nodes.select("node", F.explode("bands").alias("key"))
@@ -109,7 +114,8 @@ def compared(edges: DataFrame, sets: DataFrame, a: str, b: str, per_chunk: int =
     out again for each ``per_chunk`` of them."""
     chunks = edges.groupBy(a).agg((F.floor(F.count(F.lit(1)) / per_chunk) + 1).alias("chunks"))
     many = sets.withColumnRenamed("node", a).join(chunks, a).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = edges.join(chunks, a).withColumn("chunk", F.pmod(F.xxhash64(b), F.col("chunks"))).drop("chunks")
+    dealt = attach(edges.withColumn("run", spread(b)), chunks, [a], "run", "inner")
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(b), F.col("chunks"))).drop("chunks", "run")
     dealt = dealt.join(many.select(a, "chunk", F.col("items").alias("items_a")), [a, "chunk"])
     return dealt.join(sets.withColumnsRenamed({"node": b, "items": "items_b"}), b)
 
@@ -139,9 +145,9 @@ def rest_links(star: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
     """
     labels = components(links)
     label = lambda c, out: labels.withColumnsRenamed({"node": c, "label": out})
-    family = star.join(label("node", "l"), "node", "left").join(label("pivot", "lp"), "pivot", "left")
-    family = family.select("pivot", "node", "n", "inside", "rest", F.coalesce("l", "node").alias("l"), (F.coalesce("l", "node") != F.coalesce("lp", "pivot")).alias("apart"))
-    family = family.join(family.where("apart").select("pivot").distinct(), "pivot", "left_semi")
+    family = attach(star.withColumn("run", spread("node")).join(label("node", "l"), "node", "left"), label("pivot", "lp"), ["pivot"], "run")
+    family = family.select("pivot", "node", "run", "n", "inside", "rest", F.coalesce("l", "node").alias("l"), (F.coalesce("l", "node") != F.coalesce("lp", "pivot")).alias("apart"))
+    family = attach(family, family.where("apart").select("pivot").distinct(), ["pivot"], "run", "inner").drop("run")
     items = family.select("pivot", "node", F.explode("rest").alias("item"))
     common = items.groupBy("pivot", "item").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > COMMON)
     held = items.join(common, ["pivot", "item"]).groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("held"))
@@ -158,7 +164,7 @@ def rest_links(star: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
     near = near.where(enough(least + F.col("both"), F.col("n_a"), F.col("n_b")))
     plain = side(family.where("apart"), "_a").join(side(family, "_b"), "pivot").where(differ & enough(least, F.col("n_a"), F.col("n_b")))
     pairs = near.select("node_a", "node_b").union(plain.select("node_a", "node_b"))
-    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    pairs = written(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "pairs")
     pairs = compared(pairs, sets, "a", "b")
     inter = F.size(F.array_intersect("items_a", "items_b"))
     return pairs.where(enough(inter, F.size("items_a"), F.size("items_b"))).select("a", "b")
