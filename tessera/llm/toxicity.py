@@ -9,6 +9,8 @@ Scoring is a column expression, one pass over the texts with a weight table of f
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -96,9 +98,9 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, float | None]:
-    """At most SAMPLE rows of each class outside the held-out third, with whole texts, to the driver; and the odds of
-    label 1 among all labelled rows outside it."""
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """fit() of at most SAMPLE rows of each class outside the held-out third, with whole texts, in one task, and with
+    the odds of label 1 among all labelled rows outside it. The driver gets the weights that aren't 0."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
     picked = None
@@ -106,11 +108,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.n
         some = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = some if picked is None else picked.union(some)
     picked = picked.withColumnRenamed("doc_id", "_id")  # at most sum(SAMPLE) rows of 12 bytes: broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["_id", "toxic"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_id", "text", "toxic")
     of = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     odds = of[1] / of[0] if len(of) == 2 else None
-    return rows["text"].fillna("").tolist(), rows["toxic"].to_numpy(np.int64), odds
+
+    def learn(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        sample = pd.concat(parts).sort_values(["_id", "toxic", "text"])
+        weights, intercept = fit(sample["text"].fillna("").tolist(), sample["toxic"].to_numpy(np.int64), odds)
+        used = np.flatnonzero(weights)
+        yield pd.DataFrame({"bucket": np.append(used, -1), "weight": np.append(weights[used].astype(np.float64), intercept)})
+
+    found = rows.repartition(1).mapInPandas(learn, "bucket long, weight double").toPandas() if of else pd.DataFrame({"bucket": [-1], "weight": [0.0]})
+    found = dict(zip(found["bucket"].tolist(), found["weight"].tolist(), strict=True))
+    intercept = found.pop(-1, 0.0)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[np.array(list(found), np.int64)] = list(found.values())
+    return weights, intercept
 
 
 def scorer(spark: SparkSession, weights: np.ndarray, intercept: float):
@@ -134,12 +150,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts get the score of a text without features. Without labelled rows the score of every text is
     0.5. Labels that are null or neither 0 nor 1 are not learnt from; of a document with both labels, both are.
     """
-    score = scorer(docs.sparkSession, *fit(*labelled_sample(docs, labels)))
+    score = scorer(docs.sparkSession, *fitted(docs, labels))
     return docs.withColumn("toxicity_score", score(docs["text"].cast("string"))).withColumn("toxicity_predicted", (F.col("toxicity_score") >= REJECT).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    score = scorer(docs.sparkSession, *fit(*labelled_sample(docs, labels)))
+    score = scorer(docs.sparkSession, *fitted(docs, labels))
     return docs.where(score(docs["text"].cast("string")) < REJECT)
 
 
