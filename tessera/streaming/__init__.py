@@ -1 +1 @@
-
+"""Nothing here: the operators take batch and streaming DataFrames alike where Spark allows it."""
