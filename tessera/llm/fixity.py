@@ -100,13 +100,6 @@ def fixity(primary: DataFrame, replica: DataFrame) -> DataFrame:
     return out.select("archive", "slot", F.coalesce("page_id", "other_id").alias("page_id"), "offset", "length", "content_hash", "replica_hash")
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = SLOTS) -> DataFrame:
-    """records (page_id, url, html) as WARC bytes, one row and file of the binary table at path for each archive chunk."""
-    rows = records.where(F.col("page_id").isNotNull()).select(F.floor(F.col("page_id") / per_file).alias("archive"), "page_id", warc_record(F.col("url"), F.col("html"), F.col("page_id")).alias("record"))
-    rows.repartition("archive").sortWithinPartitions("archive", "page_id").write.partitionBy("archive").parquet(path)
-    return records.sparkSession.read.parquet(path)
-
-
 def read_warc(files: DataFrame) -> DataFrame:
     """(path, offset, length, url, content) of the records of whole WARC files (binaryFile rows: path, content)."""
 
