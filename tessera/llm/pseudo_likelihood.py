@@ -1,11 +1,13 @@
 """LM scoring by masked pseudo-likelihood: each token is predicted from the two tokens on either side.
 
-Three passes over the whole texts. The first counts hashed words over the corpus (``BUCKETS`` of them): the most
-frequent are classes of their own, the rest fall into classes of equal mass, and a word's share of its class is its
-count's. The second trains the window network (position-wise class embeddings, tanh, softmax over classes) in numpy,
-each partition from the same weights on every ``STRIDE``-th token of all its texts, and averages the weights by tokens;
-this is done ``ROUNDS`` times. The third sums log P(class | window) + log P(word | class) over every token of a
-document. Counts and weights have a fixed size; what is gathered grows with the number of partitions.
+The texts are read once: each slice of them becomes a row with the words it holds, by 64-bit hash, and the number of
+each token's word. Spark counts every word of the corpus into a table. The most frequent words are classes of their own,
+the rest fall by their counts into classes of equal mass, and a word's share of its class is its count's. The counts are
+joined back to the words of each slice, which leaves a byte for each token: its class. On these the window network
+(position-wise class embeddings, tanh, softmax over classes) is trained in numpy, each partition from the same weights on
+every ``STRIDE``-th token of all its texts, and the weights are averaged by tokens; this is done ``ROUNDS`` times. The
+last pass sums log P(class | window) + log P(word | class) over every token of a document. No word shares another's
+count. The network has a fixed size; the driver gets one row for each different count and each partition's weights.
 """
 
 from __future__ import annotations
@@ -15,15 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
-from tessera.llm.texthash import U, slices, word_hashes
+from tessera.llm.common import table, written
+from tessera.llm.texthash import SLICE, U, slices, word_hashes
 
 BITS = 18
-BUCKETS = 1 << BITS
-CLASSES, OWN = 128, 96  # of all classes so many hold one bucket
+BUCKETS = 1 << BITS  # so many words at most are sent to all tasks with their counts; the others are joined
+TEXT = 1 << 20  # bytes of a slice, which then seldom has more than 2^16 different words
+CLASSES, OWN = 128, 96  # of all classes so many hold one word
 WINDOW = (-2, -1, 1, 2)
 DIM = 24
 STRIDE, ROUNDS, RATE, STEP_TOKENS = 8, 2, 0.15, 256
@@ -97,11 +101,11 @@ class Network:
             np.subtract.at(self.embed[place], padded[at + shift], back)
 
 
-def tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bucket of each word, words before each row and after the last), slice by slice."""
-    for first, data, offsets in slices(column):
+def tokens(column: pa.Array, bits: int = BITS, most: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, the first bits of each word's hash, words before each row and after the last), slice by slice."""
+    for first, data, offsets in slices(column, most):
         hashes, at = word_hashes(data, offsets)
-        yield first, (hashes >> U(64 - BITS)).astype(np.int64), at
+        yield first, hashes if bits == 64 else (hashes >> U(64 - bits)).astype(np.int64), at
 
 
 def padded_classes(classes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,35 +117,168 @@ def padded_classes(classes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
     return out, place
 
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """How often each bucket comes in all texts."""
+CODED = "chunk long, doc_ids array<long>, at array<long>, tokens binary, words array<long>, n array<long>"
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+
+def sliced(docs: DataFrame) -> DataFrame:
+    """A row for each slice of texts: its documents, the tokens before each and after the last, the distinct words (their
+    hashes) with their counts in the slice, and the number of each token's word among them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for first, hashes, at in tokens(batch.column("text"), 64, TEXT):
+                words, number, n = np.unique(hashes, return_inverse=True, return_counts=True)
+                ids = batch.column("doc_id")[first : first + len(at) - 1]
+                row = [[chunk], [ids.to_pylist()], [at], [number.astype(_width(len(words))).tobytes()], [words.view(np.int64)], [n]]
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "doc_ids", "at", "tokens", "words", "n"])
+                chunk += 1
+
+    return docs.mapInArrow(run, CODED)
+
+
+def _width(words: int) -> type:
+    return np.uint16 if words <= 1 << 16 else np.uint32
+
+
+@dataclass
+class Vocabulary:
+    """What gives each word its class and share: the hashes of the OWN most frequent words; of the others, for each
+    different count, rising, the mass of all words that are more frequent and of those with this count; the mass of each
+    class. The words of one count follow each other by hash. hot: the hashes, rising, and the counts of frequent words."""
+
+    own: np.ndarray
+    counts: np.ndarray
+    before: np.ndarray
+    mass: np.ndarray
+    total: np.ndarray
+    hot: np.ndarray
+    hot_n: np.ndarray
+
+    def shares(self, classes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.log(n / np.maximum(self.total[classes], 1))
+
+    def classes(self, words: np.ndarray, n: np.ndarray) -> np.ndarray:
+        level = np.minimum(np.searchsorted(self.counts, n), max(len(self.counts) - 1, 0))
+        out = np.full(len(words), OWN, np.uint8)
+        if len(self.counts):
+            place = self.before[level] + (words >> U(11)).astype(np.float64) / 2.0**53 * self.mass[level]
+            out = (OWN + np.minimum(place / self.mass.sum() * (CLASSES - OWN), CLASSES - OWN - 1)).astype(np.uint8)
+        rank = np.argsort(self.own)
+        at = rank[np.minimum(np.searchsorted(self.own, words, sorter=rank), len(self.own) - 1)]
+        return np.where(self.own[at] == words, at, out).astype(np.uint8)
+
+
+def vocabulary(counts: DataFrame, most: int = BUCKETS) -> Vocabulary:
+    """counts: (word, n), each word once; most: how many hot words there are at most beside the OWN first ones."""
+    top = counts.orderBy(F.desc("n"), "word").limit(OWN).collect()
+    levels = dict(counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect())  # at most (2 * tokens) ** 0.5 rows
+    upto = dict(zip(sorted(levels, reverse=True), np.cumsum([levels[k] for k in sorted(levels, reverse=True)]).tolist(), strict=True))
+    least = min((k for k, words in upto.items() if words <= most), default=2**62)
+    hot = counts.where((F.col("n") >= least) | F.col("word").isin([r.word for r in top])).toPandas()
+    order = np.argsort(hot_words := hot["word"].to_numpy(np.int64).view(U))
+    for row in top:
+        levels[row.n] -= 1
+    n = np.array(sorted(k for k, members in levels.items() if members), np.int64)
+    mass = n.astype(np.float64) * np.array([levels[k] for k in n.tolist()], np.float64)
+    own = np.array([r.word for r in top], np.int64).view(U)
+    found = Vocabulary(own, n, mass.sum() - np.cumsum(mass), mass, np.zeros(CLASSES), hot_words[order], hot["n"].to_numpy(np.int64)[order])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES, np.int64)
         for batch in batches:
-            for _, buckets, _ in tokens(batch.column("text")):
-                total += np.bincount(buckets, minlength=BUCKETS)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["bucket", "n"])
+            words, n = (batch.column(c).to_numpy() for c in ("word", "n"))
+            np.add.at(total, found.classes(words.view(U), n), n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total)], names=["class", "n"])
+
+    if top:
+        for row in counts.mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+            found.total[row["class"]] = row.n
+    return found
+
+
+def corpus_counts(slices: DataFrame) -> DataFrame:
+    """(word, n): how often each word comes in all texts."""
+    rows = slices.select(F.explode(F.arrays_zip("words", "n")).alias("x"))
+    return rows.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.n").alias("n"))
 
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(BUCKETS, np.float64)  # the driver gets BUCKETS rows at most
-    counts[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return counts
 
+REST = "chunk long, doc_ids array<long>, at array<long>, classes binary, shares array<double>, words array<long>, rare binary, tokens binary"
 
-def trained(docs: DataFrame, words: Words, counts: np.ndarray) -> Network:
-    spark = docs.sparkSession
-    net = Network.start(np.bincount(words.classes, counts + 1.0, CLASSES))
+
+def classed(slices: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_ids, at, classes, shares) of each slice: a byte for each token, and for each document the sum of the logs of
+    its words' shares. Hot words are looked up, the others joined; those that the join leaves out come once."""
+    spark = slices.sparkSession
+    shared = spark.sparkContext.broadcast(vocabulary)
+    rare = 255  # instead of a class, until the join
+
+    def looked_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, at = batch.column("words")[i].values.to_numpy().view(U), batch.column("at")[i].values.to_numpy()
+                number = np.frombuffer(batch.column("tokens")[i].as_buffer(), _width(len(words)))
+                classes, logs, other = np.zeros(len(words), np.uint8), np.zeros(len(words)), np.ones(len(words), bool)
+                if len(words):
+                    place = np.minimum(np.searchsorted(found.hot, words), len(found.hot) - 1)
+                    other, n = found.hot[place] != words, found.hot_n[place]
+                    classes = np.where(other, rare, found.classes(words, n)).astype(np.uint8)
+                    logs = np.where(other, 0.0, found.shares(np.where(other, 0, classes), n))
+                sums = np.concatenate(([0.0], np.cumsum(logs[number])))
+                left = number[other[number]]
+                left = (np.cumsum(other) - 1)[left].astype(_width(int(other.sum())))
+                row = [batch.column("chunk")[i].as_py()], [batch.column("doc_ids")[i].as_py()], [at], [classes[number].tobytes()], [sums[at[1:]] - sums[at[:-1]]]
+                row += [words[other].view(np.int64)], [np.packbits(other).tobytes()], [left.tobytes()]
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+                names = ["chunk", "doc_ids", "at", "classes", "shares", "words", "rare", "tokens"]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=names)
+
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        found, out = shared.value, []
+        for row in left.combine_chunks().to_batches():
+            words, at = row.column("words")[0].values.to_numpy().view(U), row.column("at")[0].values.to_numpy()
+            places = np.flatnonzero(np.unpackbits(np.frombuffer(row.column("rare")[0].as_buffer(), np.uint8)))
+            n = np.ones(len(words), np.int64)
+            n[np.searchsorted(places, right.column("place").to_numpy())] = right.column("n").to_numpy()
+            kinds = found.classes(words, n)
+            number = np.frombuffer(row.column("tokens")[0].as_buffer(), _width(len(words)))
+            classes = np.frombuffer(row.column("classes")[0].as_buffer(), np.uint8).copy()
+            spots = np.flatnonzero(classes == rare)
+            classes[spots] = kinds[number]
+            logs = np.zeros(len(classes))
+            logs[spots] = found.shares(kinds, n)[number]
+            sums = np.concatenate(([0.0], np.cumsum(logs)))
+            out.append([row.column("doc_ids")[0].as_py(), at, classes.tobytes(), row.column("shares")[0].values.to_numpy() + sums[at[1:]] - sums[at[:-1]]])
+        kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64())]
+        return pa.table([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["doc_ids", "at", "classes", "shares"])
+
+    hot = F.broadcast(spark.createDataFrame(pa.table({"word": vocabulary.hot.view(np.int64)})))
+    rows = slices.select(F.col("chunk").alias("of"), F.posexplode("words").alias("place", "word")).join(hot, "word", "left_anti")
+    known = rows.join(counts.where("n > 1").join(hot, "word", "left_anti"), "word").select("of", "place", "n")
+    pairs = slices.mapInArrow(looked_up, REST).groupBy("chunk").cogroup(known.groupBy("of"))
+    return pairs.applyInArrow(joined, "doc_ids array<long>, at array<long>, classes binary, shares array<double>")
+
+
+def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, class of each token, tokens before each document and after the last) of each slice."""
+    for i in range(batch.num_rows):
+        yield i, np.frombuffer(batch.column("classes")[i].as_buffer(), np.uint8).astype(np.int64), batch.column("at")[i].values.to_numpy()
+
+
+def trained(slices: DataFrame, total: np.ndarray) -> Network:
+    """slices: (at, classes); total: the mass of each class."""
+    spark = slices.sparkSession
+    net = Network.start(total + 1.0)
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((net.flat, words.classes))
+        shared = spark.sparkContext.broadcast(net.flat)
 
         def train(batches: Iterable[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
-            flat, classes = shared.value
-            own, seen = Network(flat.copy()), 0
+            own, seen = Network(shared.value.copy()), 0
             for batch in batches:
-                for _, buckets, at in tokens(batch.column("text")):
-                    padded, place = padded_classes(classes[buckets].astype(np.int64), at)
+                for _, classes, at in texts_of(batch):
+                    padded, place = padded_classes(classes, at)
                     place = place[(turn * STRIDE // ROUNDS) :: STRIDE]
                     place = place[np.random.default_rng(len(place)).permutation(len(place))]
                     for first in range(0, len(place), STEP_TOKENS):
@@ -152,7 +289,7 @@ def trained(docs: DataFrame, words: Words, counts: np.ndarray) -> Network:
                     part = own.flat[first : first + 4096].astype(np.float64) * seen
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(part), dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), seen))], names=["i", "w", "n"])
 
-        sums = docs.select("text").mapInArrow(train, "i int, w double, n long").groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).toPandas()
+        sums = slices.select("at", "classes").mapInArrow(train, "i int, w double, n long").groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).toPandas()
         if len(sums):  # a row for each weight
             flat = np.zeros(Network.size)
             flat[sums["i"].to_numpy()] = sums["w"].to_numpy() / sums["n"].to_numpy()
@@ -168,27 +305,26 @@ def scored(docs: DataFrame) -> DataFrame:
     aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = corpus_counts(docs)
-    words = word_classes(counts)
-    shared = docs.sparkSession.sparkContext.broadcast((trained(docs, words, counts).flat, words.classes, words.share))
+    parts = written(sliced(docs), "slices")
+    counts = written(corpus_counts(parts), "words")
+    words = vocabulary(counts)
+    parts = written(classed(parts, counts, words), "classes")
+    shared = docs.sparkSession.sparkContext.broadcast(trained(parts, words.total).flat)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, classes, share = shared.value
-        net = Network(flat)
+        net = Network(shared.value)
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for first, buckets, at in tokens(batch.column("text")):
-                padded, place = padded_classes(classes[buckets].astype(np.int64), at)
-                logs = share[buckets]
+            for i, classes, at in texts_of(batch):
+                padded, place = padded_classes(classes, at)
+                logs = np.zeros(len(place))
                 for b in range(0, len(place), BLOCK):
-                    logs[b : b + BLOCK] += net.log_probabilities(padded, place[b : b + BLOCK])
-                sums = np.concatenate(([0.0], np.cumsum(logs)))
-                n[first : first + len(at) - 1] = np.diff(at)
-                total[first : first + len(at) - 1] = sums[at[1:]] - sums[at[:-1]]
-            mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total), mean], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return docs.mapInArrow(score, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+                    logs[b : b + BLOCK] = net.log_probabilities(padded, place[b : b + BLOCK])
+                sums, n = np.concatenate(([0.0], np.cumsum(logs))), np.diff(at)
+                total = sums[at[1:]] - sums[at[:-1]] + batch.column("shares")[i].values.to_numpy()
+                mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(n), pa.array(total), mean], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+
+    return parts.mapInArrow(score, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
 
 
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
