@@ -5,7 +5,8 @@ each token's word. Spark counts every word of the corpus into a table. The most
 the rest fall by their counts into classes of equal mass, and a word's share of its class is its count's. The counts are
 joined back to the words of each slice, which leaves a byte for each token: its class. On these the window network
 (position-wise class embeddings, tanh, softmax over classes) is trained in numpy, each partition from the same weights on
-every ``STRIDE``-th token of all its texts, and the weights are averaged by tokens; this is done ``ROUNDS`` times. The
+every ``STRIDE``-th token of all its texts, and the weights are averaged by tokens; this is done ``ROUNDS`` times, each
+time on other tokens, until every token was predicted once. The
 last pass sums log P(class | window) + log P(word | class) over every token of a document. No word shares another's
 count. The network has a fixed size; the driver gets one row for each different count and each partition's weights.
 """
@@ -30,7 +31,7 @@ TEXT = 1 << 20  # bytes of a slice, which then seldom has more than 2^16 differe
 CLASSES, OWN = 128, 96  # of all classes so many hold one word
 WINDOW = (-2, -1, 1, 2)
 DIM = 24
-STRIDE, ROUNDS, RATE, STEP_TOKENS = 8, 2, 0.15, 256
+STRIDE, ROUNDS, RATE, STEP_TOKENS = 2, 2, 0.15, 256  # as many rounds as the stride: every token is learnt from
 BLOCK = 16384  # tokens that are scored at once
 
 
@@ -97,8 +98,11 @@ class Network:
         self.out -= h.T @ p
         self.base -= p.sum(axis=0)
         self.bias -= back.sum(axis=0)
+        row = np.arange(len(at))
         for place, shift in enumerate(WINDOW):
-            np.subtract.at(self.embed[place], padded[at + shift], back)
+            one = np.zeros((CLASSES + 1, len(at)), np.float32)  # the sum over the tokens of each class, as a product
+            one[padded[at + shift], row] = 1
+            self.embed[place] -= one @ back
 
 
 def tokens(column: pa.Array, bits: int = BITS, most: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -267,6 +271,11 @@ def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield i, np.frombuffer(batch.column("classes")[i].as_buffer(), np.uint8).astype(np.int64), batch.column("at")[i].values.to_numpy()
 
 
+def turn_of(turn: int) -> slice:
+    """The tokens that a round learns from."""
+    return slice(turn * STRIDE // ROUNDS, None, STRIDE)
+
+
 def trained(slices: DataFrame, total: np.ndarray) -> Network:
     """slices: (at, classes); total: the mass of each class."""
     spark = slices.sparkSession
@@ -279,7 +288,7 @@ def trained(slices: DataFrame, total: np.ndarray) -> Network:
             for batch in batches:
                 for _, classes, at in texts_of(batch):
                     padded, place = padded_classes(classes, at)
-                    place = place[(turn * STRIDE // ROUNDS) :: STRIDE]
+                    place = place[turn_of(turn)]
                     place = place[np.random.default_rng(len(place)).permutation(len(place))]
                     for first in range(0, len(place), STEP_TOKENS):
                         own.learn(padded, place[first : first + STEP_TOKENS], RATE / (1 + 0.0005 * seen / STEP_TOKENS))

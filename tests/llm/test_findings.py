@@ -42,3 +42,8 @@ def test_words_of_one_bucket_have_their_own_counts(spark, most):
     got = {i: s for r in pseudo_likelihood.classed(parts, counts, words).collect() for i, s in zip(r.doc_ids, r.shares, strict=True)}
     for i, text in texts.items():
         assert np.isclose(got[i], sum(np.log(want[w] / mass[classes[w]]) for w in (text or "").lower().split()))
+
+
+def test_training_predicts_every_token():
+    rounds = [np.arange(1003)[pseudo_likelihood.turn_of(turn)] for turn in range(pseudo_likelihood.ROUNDS)]
+    assert np.array_equal(np.sort(np.concatenate(rounds)), np.arange(1003))
