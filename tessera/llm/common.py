@@ -35,6 +35,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The column of with_rows.
+ROW = "_tessera_row"
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written: a plan that numbers rows twice may split its input in another way."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def only_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of with_rows whose number is among kept's (row). A merge join at any size."""
+    return rows.join(kept.select(F.col("row").alias(ROW)).hint("merge"), ROW, "left_semi")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z only become a-z; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -10,20 +10,24 @@ back down the same tree to the rows, again at most ``fan`` entries of a digest a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lower_ascii, table, written
+from tessera.llm.common import ROW, lower_ascii, only_rows, table, with_rows, written
 
 KEY = ["digest", "check", "n_bytes"]
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, row, run, digest, check, n_bytes) of each row; texts are equal if identical after lower-casing A-Z."""
+    return numbered_digests(docs, F.monotonically_increasing_id())
+
+
+def numbered_digests(docs: DataFrame, row: Column) -> DataFrame:
     norm = lower_ascii(F.col("text")).cast("binary")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
+        row.alias("row"),
         F.spark_partition_id().cast("long").alias("run"),
         F.unhex(F.sha2(norm, 256)).alias("digest"),
         F.xxhash64(norm).alias("check"),
@@ -53,7 +57,12 @@ def exact_dedup(docs: DataFrame, fan: int = 16) -> DataFrame:
     other; of rows that repeat a doc_id and its text one stays. An empty table gives an empty result. Other columns of
     docs aren't read.
     """
-    rows = written(digest_rows(docs), "digests")
+    out = decided(written(digest_rows(docs), "digests"), fan)
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def decided(rows: DataFrame, fan: int = 16) -> DataFrame:
+    """exact_dedup of written digest rows, with row."""
     levels = merge_tree(rows, fan)
     facts = levels[-1].where("copies > 1").select(*KEY, "run", "keep", "copies")
     for lower in reversed(levels[:-1]):  # the winners go down, level by level
@@ -62,6 +71,7 @@ def exact_dedup(docs: DataFrame, fan: int = 16) -> DataFrame:
     out = rows.join(facts, [*KEY, "run"], "left")
     keep = F.coalesce(F.col("keep"), F.struct("doc_id", "row"))
     return out.select(
+        "row",
         "doc_id",
         keep["doc_id"].alias("keep_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
@@ -71,9 +81,10 @@ def exact_dedup(docs: DataFrame, fan: int = 16) -> DataFrame:
 
 
 def keep_unique(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their columns; rows that repeat a doc_id share its decision."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi").select(docs.columns)
+    """The rows of docs that stay, with their columns: one row of each group of equal texts."""
+    rows = with_rows(docs)
+    out = decided(written(numbered_digests(rows, F.col(ROW)), "digests"))
+    return only_rows(rows, out.where("kept")).select(docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

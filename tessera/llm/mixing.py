@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, running_offsets, table, written
+from tessera.llm.common import ROW, WORD, running_offsets, table, with_rows, written
 
 REPEATS = 3  # no document is taken more often
 BITS = 44  # of a slot number
@@ -22,7 +22,7 @@ def sized(docs: DataFrame, seed: str) -> DataFrame:
     """(doc_id, row, source, size, mix): mix is a seeded hash that orders the documents."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("mix"),
@@ -109,18 +109,24 @@ def mix(docs: DataFrame, block: int = 256, seed: str = "mix", repeats: int = REP
 
 def mixed_sizes(docs: DataFrame, block: int = 256, seed: str = "mix") -> DataFrame:
     """One row for each row of docs: doc_id, source, size, source_size, target, taken."""
+    return taken_words(docs, block, seed).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def taken_words(docs: DataFrame, block: int, seed: str) -> DataFrame:
+    """mixed_sizes with row."""
     placed, taken = mix(docs, block, seed)
     words = taken.groupBy("row").agg(F.sum("words").alias("taken"))
     out = placed.join(words, "row", "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, block: int = 256, seed: str = "mix") -> DataFrame:
     """docs as the mix reads them: a document comes as often as the words taken from it, rounded, fill its size."""
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.greatest("size", F.lit(1)))).otherwise(0).cast("int")
-    kept = mixed_sizes(docs, block, seed).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max(times).alias("_mix_times")).where("_mix_times > 0")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_mix_id"]))
-    out = out.select(*docs.columns, F.explode(F.sequence(F.lit(1), kept["_mix_times"])).alias("_mix_copy"))
+    rows = with_rows(docs)
+    kept = taken_words(rows, block, seed).select(F.col("row").alias(ROW), times.alias("_mix_times")).where("_mix_times > 0")
+    out = rows.join(kept.hint("merge"), ROW)
+    out = out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_mix_times")).alias("_mix_copy"))
     return out.select(docs.columns)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import attach, table, written
+from tessera.llm.common import ROW, attach, only_rows, table, with_rows, written
 from tessera.llm.components import components
 from tessera.llm.texthash import U, mixed, shingle_sets
 
@@ -81,7 +81,7 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.spark_partition_id().cast("long").alias("run"), F.col("text").cast("string").alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"), F.spark_partition_id().cast("long").alias("run"), F.col("text").cast("string").alias("text")
     )
 
 
@@ -178,22 +178,31 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Null and blank texts have an empty set and are linked with nothing: each stays as its own component. Rows that
     repeat a doc_id share its component; a null doc_id never names a component. An empty table gives an empty result.
     """
+    return decided(docs).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def decided(docs: DataFrame) -> DataFrame:
+    """near_dedup with row, and alike: what the rows of a component have in common and no others."""
     signed = written(numbered(docs).mapInArrow(_sign, SIGNED_SQL), "signed")
     nodes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
     labels = components(confirmed(docs, nodes))
     lows = nodes.select("digest", "node", "low").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = lows.groupBy("label").agg(F.min("low").alias("component_id"))
-    facts = lows.join(least, "label").select("digest", "component_id")
+    facts = lows.join(least, "label").select("digest", "label", "component_id")
     out = attach(signed.drop("bands"), facts, ["digest"], "run")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    full = F.col("n_shingles") > 0
+    component = F.when(full, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("row", "run", "doc_id", "n_shingles", component.alias("component_id"), F.when(full, F.col("label")).otherwise(F.col("row")).alias("alike"))
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one document of each component."""
-    kept = near_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi").select(docs.columns)
+    """The rows of docs that stay: one row of each component, the first by doc_id (null last)."""
+    rows = with_rows(docs)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    some = decided(rows).groupBy("alike", "run").agg(F.min(order).alias("first"))
+    kept = some.groupBy("alike").agg(F.min("first")["row"].alias("row"))
+    return only_rows(rows, kept).select(docs.columns)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import pseudo_likelihood
+from tessera.llm import exact_dedup, mixing, near_dedup, pseudo_likelihood
 
 
 def colliding_words():
@@ -47,3 +47,16 @@ def test_words_of_one_bucket_have_their_own_counts(spark, most):
 def test_training_predicts_every_token():
     rounds = [np.arange(1003)[pseudo_likelihood.turn_of(turn)] for turn in range(pseudo_likelihood.ROUNDS)]
     assert np.array_equal(np.sort(np.concatenate(rounds)), np.arange(1003))
+
+
+def test_stages_decide_by_row(spark):
+    texts = [f"{w} is a text of its own with some words" for w in ("alpha", "beta", "gamma")]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[0]), (3, texts[1]), (3, texts[2]), (4, texts[1]), (None, "p"), (None, "q"), (None, "q"), (6, None), (6, None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(3)
+    tuples = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.collect())
+    whole = {("2", texts[0]), ("4", texts[1]), ("3", texts[2]), ("None", "p"), ("None", "q"), ("6", "None")}
+    assert tuples(exact_dedup.keep_unique(docs)) == sorted(whole)
+    near = (whole - {("2", texts[0]), ("4", texts[1])}) | {("1", texts[0]), ("3", texts[1])}
+    assert tuples(near_dedup.keep_distinct(docs)) == sorted([*near, ("6", "None")])  # blank texts are linked with nothing
+    one = spark.createDataFrame([(7, "a b", "s"), (7, "a b", "s"), (7, "c d e f", "s"), (None, "g", "s")], docs.schema)
+    assert mixing.mixed_documents(one).count() == 4  # of one source every row is taken once
