@@ -15,15 +15,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import attach, running_offsets, table, written
+from tessera.llm.common import ROW, attach, running_offsets, table, with_rows, written
 
 MIN_LINES = 2  # a power of two; shorter repeated runs stay
 RUNS = 256
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, run, pos, h1, h2) of each line; two hashes tell lines apart."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    """(doc_id, row, run, pos, h1, h2) of each line of what with_rows wrote; two hashes tell lines apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ROW).alias("row"), "text")
     rows = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     run = F.pmod(F.xxhash64("row"), F.lit(RUNS))
     return rows.select("doc_id", "row", run.alias("run"), "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
@@ -83,8 +83,9 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     goes as far as it reaches beyond the first line. A null text has no lines and stays null; an empty text has one
     empty line; a text without lines left is empty. An empty table gives an empty result.
     """
+    docs = with_rows(docs.select("doc_id", "text"))
     marks = later_copies(written(line_ids(docs), "lines"), min_lines)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("lines"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ROW).alias("row"), F.split("text", "\n").alias("lines"))
     gone = runs_of(marks).groupBy("row").agg(F.collect_list(F.struct("first", "lines")).alias("runs"))
     # a merge join at any size: what it moves then grows with the input alone
     places = F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], (r["first"] + r["lines"] - 1).cast("int"))))

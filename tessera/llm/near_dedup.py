@@ -80,8 +80,9 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
+    """docs as with_rows wrote them, so that every plan finds the same rows by their numbers."""
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"), F.spark_partition_id().cast("long").alias("run"), F.col("text").cast("string").alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(ROW).alias("row"), F.spark_partition_id().cast("long").alias("run"), F.col("text").cast("string").alias("text")
     )
 
 
@@ -183,6 +184,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 def decided(docs: DataFrame) -> DataFrame:
     """near_dedup with row, and alike: what the rows of a component have in common and no others."""
+    if ROW not in docs.columns:
+        docs = with_rows(docs.select("doc_id", "text"))
     signed = written(numbered(docs).mapInArrow(_sign, SIGNED_SQL), "signed")
     nodes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import exact_dedup, mixing, near_dedup, pseudo_likelihood
+from tessera.llm import exact_dedup, line_dedup, mixing, near_dedup, pseudo_likelihood
 
 
 def colliding_words():
@@ -60,3 +60,29 @@ def test_stages_decide_by_row(spark):
     assert tuples(near_dedup.keep_distinct(docs)) == sorted([*near, ("6", "None")])  # blank texts are linked with nothing
     one = spark.createDataFrame([(7, "a b", "s"), (7, "a b", "s"), (7, "c d e f", "s"), (None, "g", "s")], docs.schema)
     assert mixing.mixed_documents(one).count() == 4  # of one source every row is taken once
+
+
+@pytest.mark.parametrize("module", [near_dedup, line_dedup], ids=["near", "lines"])
+def test_other_splits_between_the_passes(spark, tmp_path, monkeypatch, module):
+    base = [f"t{i}" for i in range(60)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) if k % 3 else f"only {k}\nline a\nline b" for k in range(12)]
+    path = f"file://{tmp_path}/docs"
+    for k, text in enumerate(texts):
+        spark.createDataFrame([(k, text)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    docs, key = spark.read.parquet(path), "spark.sql.files.maxPartitionBytes"
+    run = module.near_dedup if module is near_dedup else module.line_dedup
+    want, usual, written = sorted(map(tuple, run(docs).collect()), key=str), spark.conf.get(key), module.written
+
+    def resplit(df, name):
+        out = written(df, name)
+        spark.conf.set(key, "8k")  # as when other cores are registered
+        return out
+
+    monkeypatch.setattr(module, "written", resplit)
+    try:
+        spark.conf.set(key, "1g")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        assert sorted(map(tuple, run(docs).collect()), key=str) == want
+    finally:
+        spark.conf.set(key, usual)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
