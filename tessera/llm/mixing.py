@@ -1,29 +1,50 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The k-th point of the base-2 van der Corput sequence, mapped through the cumulative target shares, names the source of
-slot k, so that every stretch of the schedule has the sources in their shares. The slots of a source are ranked. The
-documents of a source, in a seeded random order, form a line of words which is repeated as often as its target needs
-and cut into blocks of ``block`` words; the slot of rank r takes block r. What the ranks leave open at the end of a
-source's line (a few blocks) is settled in one closing slot for each source. Only DataFrame functions are used.
+The k-th point of a low-discrepancy sequence (van der Corput's of base 2, or multiples of the golden ratio), mapped
+through the cumulative target shares, names the source of slot k, so that every stretch of the schedule has the sources
+in their shares. The slots of a source are ranked. The documents of a source, in a seeded random order, form a line of
+words which is read up to ``REPEATS`` times over and cut into blocks of equal size; the slot of rank r reads block r.
+What a document gives is the words of its blocks that have a slot, and no more: the schedule alone decides it. By the
+sequence's discrepancy a source gets its target but for a few blocks. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ROW, WORD, running_offsets, table, with_rows, written
+from tessera.llm.common import ROW, WORD, attach, running_offsets, table, with_rows, written
 
 REPEATS = 3  # no document is taken more often
-BITS = 44  # of a slot number
+BLOCK = 64  # words of a block, at most
+SLOTS = 65536  # of a schedule at least, or as many as there are words
+MOST_SOURCES = 1_000_000
+GOLDEN = 0.6180339887498949  # fixed value: the golden ratio less one
+
+
+def van_der_corput(k: Column) -> Column:
+    """The k-th point: the bits of k in reverse behind the binary point. Neighbours, pairs, ... are swapped by masks."""
+    for half in range(6):
+        step = 1 << half
+        mask = sum(((1 << step) - 1) << at for at in range(0, 64, 2 * step))
+        low = F.lit(mask if mask < 2**63 else mask - 2**64)
+        k = F.shiftleft(k.bitwiseAND(low), step).bitwiseOR(F.shiftrightunsigned(k, step).bitwiseAND(low))
+    return F.shiftrightunsigned(k, 11) / F.lit(float(2**53))
+
+
+def golden(k: Column) -> Column:
+    return F.pmod(k * F.lit(GOLDEN), F.lit(1.0))
 
 
 def sized(docs: DataFrame, seed: str) -> DataFrame:
-    """(doc_id, row, source, size, mix): mix is a seeded hash that orders the documents."""
+    """(doc_id, row, source, key, size, mix): key stands for the source and isn't null, mix is a seeded hash that orders
+    the documents."""
+    source = F.col("source").cast("string")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"),
-        F.col("source").cast("string").alias("source"),
+        source.alias("source"),
+        F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("mix"),
     )
@@ -34,10 +55,12 @@ def targets(sizes: DataFrame, repeats: int = REPEATS) -> DataFrame:
     words; a target stops at repeats times the source's size and the excess is shared anew by weight.
 
     Sources ordered by limit / weight fill up in this order. With the first ones full, the rest get level * weight;
-    the first source whose limit isn't below its share tells the level. The windows hold one row for each source.
+    the first source whose limit isn't below its share tells the level. The windows hold one row for each source, of
+    which there may be MOST_SOURCES: more raise an error when this runs.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     src = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("s", F.row_number().over(by_name) - 1)
+    src = src.where(F.when(F.col("s") < MOST_SOURCES, True).otherwise(F.raise_error(F.lit(f"more than {MOST_SOURCES} sources"))))
     src = src.withColumn("weight", (F.col("s") % 3 + 1).cast("double"))
     src = src.withColumn("most", (F.col("source_size") * repeats).cast("double"))
     src = src.withColumn("ratio", F.col("most") / F.col("weight"))
@@ -51,15 +74,20 @@ def targets(sizes: DataFrame, repeats: int = REPEATS) -> DataFrame:
     return src.select("s", "source", "source_size", F.least(F.col("most"), level * F.col("weight")).alias("target"))
 
 
-def schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
-    """(slot, s, rank): the source of each slot and the slot's rank among those of its source."""
-    point = F.conv(F.reverse(F.lpad(F.bin("id"), BITS, "0")), 2, 10).cast("long") / F.lit(float(2**BITS))
-    upto = F.sum("target").over(Window.orderBy("s")) / F.sum("target").over(Window.partitionBy(F.lit(0)))
-    ends = sources.select("s", upto.alias("end"))
-    ends = ends.agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "end"))), lambda x: x["end"]).alias("ends")).scalar()
-    at = F.size(F.filter("ends", lambda end: end <= F.col("u")))
-    slot = spark.range(slots).select("id", point.alias("u"), ends.alias("ends"))
-    slot = slot.select(F.col("id").alias("slot"), F.least(at, F.size("ends") - 1).alias("s"), F.floor(F.col("id") / 1024).alias("chunk"))
+def schedule(spark: SparkSession, sources: DataFrame, slots: int, point=van_der_corput) -> DataFrame:
+    """(slot, s, rank): the source of each slot and the slot's rank among those of its source.
+
+    Points and the sources' stretches of 0..1 meet by the cell that they lie in, of which there are a few for each
+    source; the points of a low-discrepancy sequence fill cells evenly. Ends are rounded to twelve places.
+    """
+    upto = F.round(F.sum("target").over(Window.orderBy("s")) / F.sum("target").over(Window.partitionBy(F.lit(0))), 12)
+    ends = sources.where("target > 0").select("s", upto.alias("high"))
+    ends = ends.select("s", F.coalesce(F.lag("high").over(Window.orderBy("s")), F.lit(0.0)).alias("low"), "high")
+    cells = 1 << max(8, (4 * sources.count() - 1).bit_length())
+    inside = F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))
+    ends = ends.where("low < high").select("s", "low", "high", F.explode(inside).alias("cell"))
+    slot = spark.range(slots).select(F.col("id").alias("slot"), point(F.col("id")).alias("u")).withColumn("cell", F.floor(F.col("u") * cells))
+    slot = slot.join(ends, "cell").where("low <= u AND u < high").select("slot", "s", F.floor(F.col("slot") / 1024).alias("chunk"))
     counts = slot.groupBy("s", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = running_offsets(counts, "s", "chunk", "n", slots // 1024 + 1)
     within = F.row_number().over(Window.partitionBy("s", "chunk").orderBy("slot")) - 1
@@ -69,9 +97,8 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
 def lines(sizes: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
     """sizes with s, source_size, target and start, the document's place on its source's line."""
     buckets = rows // 512 + 1
-    few = sources.count() <= 100_000  # a row of about 60 bytes each
-    facts = sources.withColumnRenamed("source", "_source")
-    docs = sizes.join(F.broadcast(facts) if few else facts, sizes["source"].eqNullSafe(facts["_source"])).drop("_source")
+    facts = sources.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "s", "source_size", "target")
+    docs = attach(sizes.withColumn("run", F.pmod(F.xxhash64("row"), F.lit(256))), facts, ["key"], "run", "inner").drop("key", "run")
     unit = F.conv(F.substring("mix", 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
     docs = docs.withColumn("bucket", F.floor(unit * buckets))
     sums = docs.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
@@ -81,50 +108,53 @@ def lines(sizes: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
     return docs.join(before, ["s", "bucket"]).withColumn("start", F.col("within") + F.col("offset")).drop("within", "offset", "bucket", "mix")
 
 
-def mix(docs: DataFrame, block: int = 256, seed: str = "mix", repeats: int = REPEATS) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: str = "mix", repeats: int = REPEATS, point=van_der_corput) -> tuple[DataFrame, DataFrame]:
     """The documents with their sizes and targets, and the mix: (slot, row, doc_id, s, from_word, words).
 
-    A row of the mix says that this slot reads words from_word and on of the document. Null texts and texts without
-    words have size 0 and are never taken; a null source is a source; an empty table gives empty results.
+    A row of the mix says that this slot reads words from_word and on of the document. Blocks have ``block`` words, or
+    fewer where the schedule would have less than ``slots`` slots. Null texts and texts without words have size 0 and
+    are never taken; a null source is a source; an empty table gives empty results.
     """
     spark = docs.sparkSession
     sizes = written(sized(docs, seed), "sizes")
     sources = written(targets(sizes, repeats), "sources")
     rows, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    slots = -(-total // block)
+    block = max(1, min(block, total // slots))
+    planned = written(schedule(spark, sources, -(-total // block), point), "schedule")
     placed = written(lines(sizes, sources, rows), "lines")
-    quota = F.floor("target")
+    # blocks beyond a source's last slot would find none: they needn't be made
+    reach = planned.groupBy("s").agg((F.count(F.lit(1)) * block).alias("reach"))
     begin = F.col("epoch") * F.col("source_size") + F.col("start")
-    pieces = placed.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    pieces = pieces.withColumn("begin", begin).withColumn("end", F.least(F.col("begin") + F.col("size"), quota)).where("begin < end")
+    pieces = placed.where("size > 0").withColumn("run", F.pmod(F.xxhash64("row"), F.lit(256)))
+    pieces = attach(pieces, reach, ["s"], "run", "inner").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    pieces = pieces.withColumn("begin", begin).withColumn("end", F.least(F.col("begin") + F.col("size"), "reach")).where("begin < end")
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block)
     pieces = pieces.withColumn("rank", F.explode(F.sequence(first, last)))
     low = F.greatest(F.col("begin"), F.col("rank") * block)
     high = F.least(F.col("end"), (F.col("rank") + 1) * block)
     pieces = pieces.select("row", "doc_id", "s", "rank", (low - F.col("begin")).alias("from_word"), (high - low).alias("words"))
-    taken = pieces.join(schedule(spark, sources, slots), ["s", "rank"], "left")
-    slot = F.coalesce(F.col("slot"), F.lit(slots) + F.col("s"))
-    return placed, taken.select(slot.alias("slot"), "row", "doc_id", "s", "from_word", "words")
+    return placed, pieces.join(planned, ["s", "rank"]).select("slot", "row", "doc_id", "s", "from_word", "words")
 
 
-def mixed_sizes(docs: DataFrame, block: int = 256, seed: str = "mix") -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, taken."""
-    return taken_words(docs, block, seed).select("doc_id", "source", "size", "source_size", "target", "taken")
+def mixed_sizes(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: str = "mix", point=van_der_corput) -> DataFrame:
+    """One row for each row of docs: doc_id, source, size, source_size, target, taken, blocks (how many slots read it)
+    and first_slot (null if none)."""
+    return taken_words(docs, block, slots, seed, point).select("doc_id", "source", "size", "source_size", "target", "taken", "blocks", "first_slot")
 
 
-def taken_words(docs: DataFrame, block: int, seed: str) -> DataFrame:
+def taken_words(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: str = "mix", point=van_der_corput) -> DataFrame:
     """mixed_sizes with row."""
-    placed, taken = mix(docs, block, seed)
-    words = taken.groupBy("row").agg(F.sum("words").alias("taken"))
-    out = placed.join(words, "row", "left")
-    return out.select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    placed, taken = mix(docs, block, slots, seed, point=point)
+    words = taken.groupBy("row").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("blocks"), F.min("slot").alias("first_slot"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return placed.join(words, "row", "left").select("row", "doc_id", "source", "size", "source_size", "target", none("taken"), none("blocks"), "first_slot")
 
 
-def mixed_documents(docs: DataFrame, block: int = 256, seed: str = "mix") -> DataFrame:
-    """docs as the mix reads them: a document comes as often as the words taken from it, rounded, fill its size."""
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.greatest("size", F.lit(1)))).otherwise(0).cast("int")
+def mixed_documents(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: str = "mix") -> DataFrame:
+    """docs as the mix reads them: a document comes as often as its slots read it, the last time perhaps in part."""
+    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).otherwise(0).cast("int")
     rows = with_rows(docs)
-    kept = taken_words(rows, block, seed).select(F.col("row").alias(ROW), times.alias("_mix_times")).where("_mix_times > 0")
+    kept = taken_words(rows, block, slots, seed).select(F.col("row").alias(ROW), times.alias("_mix_times")).where("_mix_times > 0")
     out = rows.join(kept.hint("merge"), ROW)
     out = out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_mix_times")).alias("_mix_copy"))
     return out.select(docs.columns)
@@ -157,11 +187,27 @@ SQL = {
           FROM fill WHERE step = 64),
         placed AS (
           SELECT d.*, source_size, target,
-                 sum(size) OVER (PARTITION BY d.source ORDER BY mix, doc_id) - size AS start
-          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, source, size, source_size, target,
-               (SELECT sum(greatest(0, least(e * source_size + start + size, floor(target)) - (e * source_size + start)))
-                FROM (VALUES (0), (1), (2)) AS epochs(e))::BIGINT AS taken
-        FROM placed"""
+                 (sum(size) OVER (PARTITION BY d.source ORDER BY mix, doc_id) - size)::BIGINT AS start
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        size AS (
+          SELECT total, greatest(1, least(64, total // 65536)) AS block FROM (SELECT sum(size)::BIGINT AS total FROM d)),
+        points AS (  -- the bits of the slot's number behind the binary point, the lowest first
+          SELECT slot, sum(((slot >> bit) & 1) / pow(2.0, bit + 1)) AS u
+          FROM (SELECT unnest(range(((total + block - 1) // block)::BIGINT)) AS slot FROM size), range(40) AS bits(bit) GROUP BY slot),
+        ends AS (
+          SELECT source, round(sum(target) OVER (ORDER BY source NULLS LAST) / sum(target) OVER (), 12) AS high FROM t WHERE target > 0),
+        parts AS (SELECT source, coalesce(lag(high) OVER (ORDER BY source NULLS LAST), 0) AS low, high FROM ends),
+        slots AS (
+          SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+          FROM points JOIN parts ON low <= u AND u < high),
+        pieces AS (
+          SELECT doc_id, p.source, size, e * source_size + start AS first, e * source_size + start + size AS last,
+                 unnest(range((e * source_size + start) // block, (e * source_size + start + size - 1) // block + 1)) AS rank
+          FROM placed AS p, (SELECT block FROM size), (VALUES (0), (1), (2)) AS epochs(e) WHERE size > 0),
+        taken AS (
+          SELECT doc_id, sum(least(last, (p.rank + 1) * block) - greatest(first, p.rank * block))::BIGINT AS taken, count(*) AS blocks, min(slot) AS first_slot
+          FROM pieces AS p JOIN slots AS s ON p.rank = s.rank AND p.source IS NOT DISTINCT FROM s.source, (SELECT block FROM size) GROUP BY doc_id)
+        SELECT p.doc_id, p.source, p.size, source_size, target, coalesce(taken, 0) AS taken, coalesce(blocks, 0) AS blocks, first_slot
+        FROM placed AS p LEFT JOIN taken AS t ON p.doc_id = t.doc_id"""
 }
 QUERIES = {"op8_mixing": op8_mixing}

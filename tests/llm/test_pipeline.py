@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 
@@ -13,6 +12,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from tessera.llm import mixing, pieces, toxicity  # noqa: E402
 from tessera.llm.common import table, written  # noqa: E402
 from tests.llm.test_against_brute_force import brute_components  # noqa: E402
+from tests.llm.test_mixing import brute_mix  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
@@ -38,17 +38,10 @@ def test_stages(spark):
     assert sorted(ids[1]) == sorted(last.values())
     _, label = brute_components({i: whole[i] for i in ids[1]})
     assert sorted(ids[2]) == sorted({label[i] for i in ids[1]})
-    # the mix: documents in the order of their hashes until the target is met
-    rows = kept[3][0].select("doc_id", "source").collect()
-    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", whole[r.doc_id])) for r in rows}
-    target = {r.source: (r.source_size, r.target) for r in mixing.mixed_sizes(kept[3][0]).collect()}
-    want = Counter()
-    for s in target:
-        at = 0
-        for r in sorted((r for r in rows if r.source == s), key=lambda r: hashlib.md5(f"mix{r.doc_id}".encode()).hexdigest()):
-            taken = sum(max(0, min(e * target[s][0] + at + size[r.doc_id], int(target[s][1])) - (e * target[s][0] + at)) for e in range(3))
-            want[r.doc_id] += int(taken / size[r.doc_id] + 0.5) if size[r.doc_id] else 0
-            at += size[r.doc_id]
+    # the mix: as often as the slots of a schedule, walked one by one, read a document
+    rows = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", whole[r.doc_id]))) for r in kept[3][0].select("doc_id", "source").collect()]
+    taken, _ = brute_mix(rows, {r.source: r.target for r in mixing.mixed_sizes(kept[3][0]).collect()})
+    want = Counter({i: -(-taken[i] // n) for i, _, n in rows if n})
     assert Counter(ids[3]) == +want
     final = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
     encoder = pieces.Encoder(pieces.Vocabulary.load())
