@@ -67,7 +67,7 @@ def test_mixing(docs, none):
 
 
 def test_lines(docs, none):
-    rows = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
+    rows = {r.doc_id: r for r in line_dedup.line_dedup(docs, min_words=4).collect()}
     assert rows[9].text == "other" and rows[9].n_deleted == 2 and rows[8].n_deleted == 0 and rows[8].n_lines == 3
     assert rows[3].text is None and rows[3].n_lines == 0 and rows[4].text == "" and rows[4].n_lines == 1
     assert line_dedup.line_dedup(none).count() == 0
