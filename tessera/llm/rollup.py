@@ -1,9 +1,9 @@
 """Token counts: rollups by source, language and tokenizer version that are maintained from deltas.
 
 Each batch holds signed changes: an insert adds a document's tokens, a delete takes them away, a revised count takes
-the old one away and adds the new one. A batch is folded to one row for each group and committed as its own Parquet
-folder, named by the batch; committing a batch again replaces it by the same rows, so it counts once. The totals are
-sums over the committed batches, and they are additive: no text is read twice to keep them.
+the old one away and adds the new one. A batch is folded to one row for each group, written, and then committed by one
+line of a log in the same folder; a batch that the log has is never counted again. The totals are sums over the
+committed batches, and they are additive: no text is read twice to keep them.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,28 +59,53 @@ def signed(counts: DataFrame, sign: int) -> DataFrame:
     return counts.select(*KEY, F.lit(sign).cast("long").alias("docs"), (F.coalesce("tokens", F.lit(0)) * sign).alias("tokens"))
 
 
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at path, empty if nothing was written there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 class Rollup:
-    """The committed batches in a shared folder: their names here, their rows there. Each method is a Spark job."""
+    """The committed batches in a shared folder, which is all the state there is: another object on the same folder goes
+    on where this one ended.
+
+    ``rows`` holds what every write attempt brought, under the attempt's own name; ``log`` names the attempt that counts
+    for a batch. A commit writes its rows first and then its line of the log, one file that the job's commit puts in
+    place at once. Rows of an attempt that broke off have no line and never count; of two attempts of one batch that both
+    got a line the first by name counts. Each method is a Spark job.
+    """
 
-    schema = "batch string, source string, lang string, version string, docs long, tokens long"
+    rows_schema = "attempt string, source string, lang string, version string, docs long, tokens long"
+    log_schema = "batch string, attempt string"
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or f"{shared_folder(spark)}/tessera-rollup-{uuid.uuid4().hex}"
-        self.batches: list[str] = []
 
-    def commit(self, batch: str, changes: DataFrame) -> None:
-        """Commit the changes (KEY, docs, tokens) under this name. The folder is replaced as a whole: a batch that was
-        committed before, or whose job broke off, counts once."""
+    def stage(self, changes: DataFrame) -> str:
+        """Write changes (KEY, docs, tokens), folded, and return the attempt's name. They don't count yet."""
+        attempt = uuid.uuid4().hex
         folded = changes.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        folded.select(F.lit(batch).alias("batch"), *KEY, "docs", "tokens").write.mode("overwrite").parquet(f"{self.path}/{batch}")
-        if batch not in self.batches:
-            self.batches.append(batch)
+        folded.select(F.lit(attempt).alias("attempt"), *KEY, "docs", "tokens").write.mode("append").parquet(f"{self.path}/rows")
+        return attempt
+
+    def publish(self, batch: str, attempt: str) -> None:
+        self.spark.createDataFrame([(batch, attempt)], self.log_schema).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+    def commit(self, batch: str, changes: DataFrame) -> bool:
+        """Commit the changes under this name, any string; False, and nothing is read, if it was committed before."""
+        if not _stored(self.spark, f"{self.path}/log", self.log_schema).where(F.col("batch") == batch).isEmpty():
+            return False
+        self.publish(batch, self.stage(changes))
+        return True
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens): groups whose documents are all gone have no row."""
-        if not self.batches:
-            return self.spark.createDataFrame([], self.schema).drop("batch")
-        rows = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{b}" for b in self.batches])
+        counting = _stored(self.spark, f"{self.path}/log", self.log_schema).groupBy("batch").agg(F.min("attempt").alias("attempt"))
+        rows = _stored(self.spark, f"{self.path}/rows", self.rows_schema).join(counting, "attempt", "left_semi")
         return rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where((F.col("docs") != 0) | (F.col("tokens") != 0))
 
 
