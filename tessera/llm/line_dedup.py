@@ -66,27 +66,26 @@ def repeated_windows(lines: DataFrame) -> list[DataFrame]:
     return levels
 
 
+GROUP = ["lines", "of_row", "of_pos"]
+ITEM = [*SUFFIX, "weight", *GROUP, "words"]
+
+
 def deeper(items: DataFrame, key: list[str], width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """items (SUFFIX, weight, lines, words, key, more) by groups of equal keys: the members of groups of two and more,
-    ``width`` lines deeper; the first of each such group, as it was, standing for all of them; and the others. A group is
-    named by its depth and its first suffix. weight is the number of suffixes that a member stands for."""
-    first = F.min(F.struct("doc_id", "row", "pos"))
-    alike = items.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.sum("weight").alias("all"), first["row"].alias("first_row"), first["pos"].alias("first_pos"))
-    items = written(attach(items, alike, key, "run", "inner"), "members")
-    several = items.where("members > 1")
+    """items (ITEM, rank, more) by groups of equal keys and ranks: the members of groups of two and more, ``width`` lines
+    deeper; the first of each such group, as it was, standing for all of them; and the others, as those without a rank.
+    A group is named by its depth and its first suffix. weight is the number of suffixes that a member stands for."""
+    key, first = [*key, "rank"], F.min(F.struct("doc_id", "row", "pos"))
+    alike = items.where("rank IS NOT NULL").groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.sum("weight").alias("all"), first["row"].alias("first_row"), first["pos"].alias("first_pos"))
+    items = written(attach(items, alike.where("members > 1").drop("members"), key, "run"), "members")
+    several = items.where("all IS NOT NULL")
     moved = several.withColumns({"lines": F.col("lines") + width, "words": F.col("words") + F.col("more"), "of_row": F.col("first_row"), "of_pos": F.col("first_pos")})
     heads = several.where("row = first_row AND pos = first_pos").withColumn("weight", F.col("all"))
-    return moved, heads, items.where("members = 1")
-
-
-GROUP = ["lines", "of_row", "of_pos"]
+    return moved.select(ITEM), heads.select(ITEM), items.where("all IS NULL").select(ITEM)
 
 
 def intervals(levels: list[DataFrame], min_words: int = 0) -> DataFrame:
-    """(SUFFIX, weight, lines, words, of_row, of_pos): the members of each interval of the suffix array with a common
-    prefix, by GROUP; weight is the number of suffixes of the member's part. Of intervals of one line only those of
-    min_words words are there."""
-    columns = [*SUFFIX, "weight", *GROUP, "words"]
+    """(ITEM): the members of each interval of the suffix array with a common prefix, by GROUP; weight is the number of
+    suffixes of the member's part. Of intervals of one line only those of min_words words are there."""
     groups = None
     for k in range(len(levels) - 1, -1, -1):
         level, width = levels[k], 1 << k
@@ -99,15 +98,14 @@ def intervals(levels: list[DataFrame], min_words: int = 0) -> DataFrame:
         if k == 0:
             fresh = fresh.where(F.col("words") >= min_words)
         zero = F.lit(0).cast("long")
-        fresh = fresh.select(*SUFFIX, "weight", F.lit(0).alias("lines"), zero.alias("words"), zero.alias("of_row"), F.lit(0).alias("of_pos"), "rank", F.col("words").alias("more"))
-        out = deeper(fresh, ["rank"], width)[0].select(columns)
+        fresh = fresh.select(*SUFFIX, "weight", F.lit(0).alias("lines"), zero.alias("of_row"), F.lit(0).alias("of_pos"), zero.alias("words"), "rank", F.col("words").alias("more"))
+        out = deeper(fresh, [], width)[0]
         if groups is not None:
             here = level.select("row", F.col("pos").alias("at"), "rank", F.col("words").alias("more"))
             items = groups.withColumn("at", F.col("pos") + F.col("lines")).join(here, ["row", "at"], "left").drop("at")
-            items = written(items, "items")
-            for part in (items.where("rank IS NULL"), *deeper(items.where("rank IS NOT NULL"), [*GROUP, "rank"], width)):
-                out = out.unionByName(part.select(columns))
-        groups = written(out, "groups")
+            for part in deeper(items, GROUP, width):
+                out = out.unionByName(part)
+        groups = out  # of tables written in this round
     return groups
 
 
