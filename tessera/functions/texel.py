@@ -120,6 +120,37 @@ def to_lab(texels, strict: bool = False):
     return changed(texels, **dict(zip(RGB, lab(C.r, C.g, C.b, strict), strict=True)))
 
 
+def lch(lightness: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Lightness, chroma and hue of Lab; the hue angle is that of (b, a), as in the engine whose results are matched."""
+    return lightness, F.sqrt(a * a + b * b), F.atan2(a, b)
+
+
+def to_lch(texels, strict: bool = False):
+    rows = to_lab(texels, strict)
+    return changed(rows, **dict(zip(RGB, lch(C.r, C.g, C.b), strict=True)))
+
+
+def to_xyz(texels):
+    return changed(texels, **dict(zip(RGB, xyz(C.r, C.g, C.b), strict=True)))
+
+
+def from_xyz(texels):
+    """Gamma-2.2 colours of CIE XYZ; what is below zero is zero."""
+    # fixed values: the matrix to linear RGB
+    rows = ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252))
+    out = [F.pow(F.greatest(C.r * m[0] + C.g * m[1] + C.b * m[2], F.lit(0.0)), F.lit(1 / 2.2)) for m in rows]
+    return changed(texels, **dict(zip(RGB, out, strict=True)))
+
+
+def from_lab(texels):
+    """CIE XYZ colours of true Lab (lightness from Y) through from_xyz."""
+    fy = (C.r + 16) / 116
+    part = lambda t: F.when(t > 6 / 29, t * t * t).otherwise((t - 4 / 29) * (3 * (6 / 29) ** 2))
+    white = (0.950456, 1.0, 1.088754)
+    back = [part(t) * w for t, w in zip((fy + C.g / 500, fy, fy - C.b / 200), white, strict=True)]
+    return from_xyz(changed(texels, **dict(zip(RGB, back, strict=True))))
+
+
 def to_ycocg(texels):
     return changed(texels, r=C.r - C.b, g=(C.g * 2 - C.r - C.b) / 2, b=F.lit(1.0), a=(C.g * 2 + C.r + C.b) / 4)
 
@@ -224,15 +255,19 @@ def to_rgbm(texels, threshold: float = 0.25):
 
 
 def from_rgbm(texels, range_: float = 1.0, threshold: float = 0.25):
-    m = C.a * (range_ - threshold) + threshold
+    t = min(max(threshold, 1e-6), 1.0)
+    m = C.a * (range_ - t) + t
     return changed(texels, r=C.r * m, g=C.g * m, b=C.b * m, a=F.lit(1.0))
 
 
-def to_lm(texels, range_: float = 1.0, threshold: float = 0.0):
-    r, g, b = (clamp(c / range_) for c in (C.r, C.g, C.b))
-    m = F.greatest(r, g, b, F.lit(max(threshold, 1e-6)))
+def to_lm(texels, threshold: float = 0.25):
+    """Grey over M in all colours, and M in alpha: M is the largest channel of the colour clamped to 0..1. There is no
+    range: the engine whose results are matched takes one and leaves it out. A threshold of 1 makes alpha NaN."""
+    t = min(max(threshold, 1e-6), 1.0)
+    r, g, b = (clamp(c) for c in (C.r, C.g, C.b))
+    m = F.greatest(r, g, b, F.lit(t))
     light = (r + g + b) / 3 / m
-    return changed(texels, r=light, g=light, b=light, a=(m - threshold) / (1 - threshold))
+    return changed(texels, r=light, g=light, b=light, a=(m - t) / (1 - t) if t < 1 else F.lit(float("nan")))
 
 
 def to_rgbe(texels, mantissa: int = 9, exponent: int = 5):

@@ -120,6 +120,17 @@ def polyphase(spark: SparkSession, shape: Filter, src: int, dst: int, mode: str
     return rows.groupBy("dst", "src").agg(F.sum("w").alias("w")).where("w <> 0")
 
 
+def kernel1(spark: SparkSession, shape: Filter, scale: int, samples: int = 32) -> DataFrame:
+    """(i, w): a filter widened ``scale`` times as weights of sum 1 of whole offsets, each the mean of ``samples`` values
+    of the filter within its texel; offset 0 is at i = window / 2."""
+    width, f = shape
+    window = math.ceil(2 * width * scale)
+    rows = spark.range(window).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k"))
+    at = (F.col("i") - window / 2 + (F.col("k") + 0.5) / samples) / scale
+    rows = rows.groupBy("i").agg(F.avg(f(at)).alias("w"))
+    return rows.select("i", (F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(0)))).alias("w"))  # window rows, a parameter
+
+
 def resample_axis(texels: DataFrame, weights: DataFrame, axis: str) -> DataFrame:
     rest = [c for c in ("surface_id", "z", "y", "x") if c != axis]
     rows = texels.join(weights, F.col(axis) == F.col("src"))
@@ -127,13 +138,22 @@ def resample_axis(texels: DataFrame, weights: DataFrame, axis: str) -> DataFrame
     return out.withColumnRenamed("dst", axis).select("surface_id", "z", "y", "x", *CHANNELS)
 
 
-def resize(texels: DataFrame, size: tuple[int, int], to: tuple[int, int], shape: Filter | None = None, mode: str = "mirror") -> DataFrame:
-    """Surfaces of extent ``size`` (width, height) at the extent ``to``; the same extent changes nothing."""
-    if size == to:
-        return texels
+def resize(texels: DataFrame, size: tuple[int, ...], to: tuple[int, ...], shape: Filter | None = None, mode: str = "mirror") -> DataFrame:
+    """Surfaces of extent ``size`` (width, height and, of volumes, depth) at the extent ``to``; an axis that keeps its
+    extent isn't touched."""
     shape, spark = shape or box(), texels.sparkSession
-    across = resample_axis(texels, polyphase(spark, shape, size[0], to[0], mode), "x")
-    return resample_axis(across, polyphase(spark, shape, size[1], to[1], mode), "y")
+    for axis, src, dst in zip("xyz", size, to, strict=False):
+        if src != dst:
+            texels = resample_axis(texels, polyphase(spark, shape, src, dst, mode), axis)
+    return texels
+
+
+def solid_mip(texels: DataFrame, colour) -> DataFrame:
+    """The next mip level of each surface (slice 0), of one colour; none of a surface of one texel."""
+    extents = texels.groupBy("surface_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), (F.max("z") + 1).alias("d")).where("w > 1 OR h > 1 OR d > 1")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.floor(F.col(c) / 2).cast("int")) - 1))
+    rows = extents.select("surface_id", "w", F.lit(0).alias("z"), every("h").alias("y")).select("surface_id", "z", "y", every("w").alias("x"))
+    return rows.select("*", *[F.lit(float(v)).alias(c) for c, v in zip(CHANNELS, colour, strict=True)])
 
 
 def halving(spark: SparkSession, extent: int) -> DataFrame:
@@ -178,13 +198,15 @@ def mip_chain(texels: DataFrame, size: tuple[int, int], shape: Filter | None = N
 
 
 def kernel(name: str) -> list[list[float]]:
-    """Square kernels by name: laplacian, edge, prewitt3, sobel3, sobel5, sobel7, sobel9."""
+    """Square kernels by name: laplacian, edge, prewitt3, prewitt5, sobel3, sobel5, sobel7, sobel9."""
     if name == "laplacian":
-        return [[-1, -1, -1], [-1, 8, -1], [-1, -1, -1]]
+        return [[0, -1, 0], [-1, 4, -1], [0, -1, 0]]
     if name == "edge":
         return [[0, 0, 0], [-1, 0, 1], [0, 0, 0]]
     if name == "prewitt3":  # both outer columns, as in the engine whose results are matched
         return [[-1, 0, -1]] * 3
+    if name == "prewitt5":
+        return [[-2, -1, 0, 1, 2]] * 5
     n = int(name.removeprefix("sobel"))
     h = (n - 1) // 2
     return [[math.copysign(2 * h + 1 - abs(c - h) - abs(r - h), c - h) if c != h else 0.0 for c in range(n)] for r in range(n)]
@@ -207,16 +229,25 @@ def normalized(k: list[list[float]]) -> list[list[float]]:
 
 
 def convolved(texels: DataFrame, kernels: dict[str, list[list[float]]], size: tuple[int, int], channel: str, mode: str = "mirror") -> DataFrame:
-    """texels (slice 0) with a column for each kernel: the sum of its weights and ``channel`` about each texel. Taps
-    are dealt out by exploding the kernel, which is small, and met by one equi-join."""
-    n = len(next(iter(kernels.values())))
+    """texels (slice 0) with a column for each kernel: the sum of its weights and ``channel`` about each texel.
+
+    A line of texels is gathered to one row, which goes to the lines that its values count for: a kernel of n lines
+    moves each texel n times, not once for each of its taps. The taps are summed inside the row."""
+    n, width = len(next(iter(kernels.values()))), size[0]
     h = n // 2
-    taps = [F.struct(F.lit(c - h).alias("dx"), F.lit(r - h).alias("dy"), *[F.lit(float(k[r][c])).alias(name) for name, k in kernels.items()]) for r in range(n) for c in range(n) if any(k[r][c] for k in kernels.values())]
-    rows = texels.where("z = 0").select("surface_id", "y", "x", F.explode(F.array(*taps)).alias("t"))
-    rows = rows.select("surface_id", F.col("y").alias("_y"), F.col("x").alias("_x"), wrapped(F.col("y") + F.col("t.dy"), size[1], mode).cast("int").alias("y"), wrapped(F.col("x") + F.col("t.dx"), size[0], mode).cast("int").alias("x"), "t")
-    values = texels.where("z = 0").select("surface_id", "y", "x", F.col(channel).alias("_v"))
-    sums = rows.join(values, ["surface_id", "y", "x"]).groupBy("surface_id", "_y", "_x").agg(*[F.sum(F.col("_v") * F.col(f"t.{name}")).alias(name) for name in kernels])
-    return texels.join(sums.withColumnsRenamed({"_y": "y", "_x": "x"}), ["surface_id", "y", "x"])
+    flat = texels.where("z = 0")
+    line = F.transform(F.sort_array(F.collect_list(F.struct("x", F.col(channel).alias("v")))), lambda t: t["v"])
+    lines = flat.groupBy("surface_id", "y").agg(line.alias("line"))
+    padded = F.transform(F.sequence(F.lit(-h), F.lit(width - 1 + h)), lambda i: F.get("line", wrapped(i, width, mode).cast("int")))
+    about = lines.select("surface_id", F.col("y").alias("_y"), F.explode(F.sequence(F.lit(-h), F.lit(h))).alias("dy"))
+    about = about.withColumn("y", wrapped(F.col("_y") + F.col("dy"), size[1], mode).cast("int"))
+    rows = about.join(lines.select("surface_id", "y", padded.alias("line")), ["surface_id", "y"])
+    rows = rows.groupBy("surface_id", "_y").agg(F.transform(F.sort_array(F.collect_list(F.struct("dy", "line"))), lambda t: t["line"]).alias("lines"))
+    window = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda x: F.flatten(F.transform("lines", lambda line: F.slice(line, x, n))))
+    rows = rows.select("surface_id", F.col("_y").alias("y"), F.posexplode(window).alias("x", "_w"))
+    weights = {name: F.array(*[F.lit(float(v)) for row in k for v in row]) for name, k in kernels.items()}
+    sums = [F.aggregate(F.zip_with("_w", k, lambda v, w: v * w), F.lit(0.0), lambda t, v: t + v).alias(name) for name, k in weights.items()]
+    return texels.join(rows.select("surface_id", "y", "x", *sums), ["surface_id", "y", "x"])
 
 
 def convolve(texels: DataFrame, k: list[list[float]], size: tuple[int, int], channel: str, mode: str = "mirror") -> DataFrame:
@@ -234,12 +265,13 @@ def to_normal_map(texels: DataFrame, size: tuple[int, int], weights=(1 / 1.875,
 
 def scale_to_coverage(texels: DataFrame, size: tuple[int, int], wanted: float, reference: float, channel: str = "a", steps: int = 10) -> tuple[DataFrame, float]:
     """One surface with ``channel`` scaled so that its alpha-test coverage comes nearest to wanted, and the scale: a
-    bisection of [0, 4], one aggregate a step."""
-    from tessera.operators.stats import coverage
+    bisection of [0, 4], one aggregate a step over quads that are gathered once and kept until the end."""
+    from tessera.operators.stats import quads, quad_coverage
 
     low, high, scale, best, least = 0.0, 4.0, 1.0, 1.0, math.inf
+    kept = quads(texels, *size, channel).persist()
     for _ in range(steps):
-        row = coverage(texels, *size, reference, channel, scale).first()
+        row = quad_coverage(kept, *size, reference, scale).first()
         got = row["coverage"] if row else 0.0
         if abs(got - wanted) < least:
             best, least = scale, abs(got - wanted)
@@ -247,4 +279,15 @@ def scale_to_coverage(texels: DataFrame, size: tuple[int, int], wanted: float, r
             break
         low, high = (scale, high) if got < wanted else (low, scale)
         scale = (low + high) / 2
+    kept.unpersist()
     return T.each(texels, lambda c: clamp(c * best), (channel,)), best
+
+
+def bytes_to_normal_map(texels: DataFrame, size: tuple[int, int], height=(0.0, 0.0, 0.0, 1.0), sobel: int | tuple = 3, mode: str = "mirror") -> DataFrame:
+    """Packed normals (0..1) of texels of 0..255: the height is a weighted sum of the channels, and goes to alpha. sobel
+    is the size of the kernel, or the four weights of a blended one."""
+    weighted = sum((F.col(c) / 255 * w for c, w in zip(CHANNELS, height, strict=True)), F.lit(0.0))
+    rows = T.changed(texels, a=weighted)
+    du = normalized(kernel(f"sobel{sobel}") if isinstance(sobel, int) else blended_sobel(*sobel))
+    rows = convolved(rows, {"_du": du, "_dv": [list(row) for row in zip(*du, strict=True)]}, size, "a", mode)
+    return T.pack_normals(T.normalize(T.changed(rows, r=F.col("_du"), g=F.col("_dv"), b=F.lit(1 / 16)))).select(texels.columns)

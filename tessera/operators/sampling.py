@@ -1,4 +1,4 @@
-"""Sampling at real coordinates: nearest and linear, for each wrap."""
+"""Sampling at real coordinates: nearest and linear, for each wrap, in two and three dimensions."""
 
 from __future__ import annotations
 
@@ -9,27 +9,33 @@ from tessera.operators.filters import wrapped
 from tessera.sources.relations import CHANNELS
 
 
-def sample_nearest(points: DataFrame, texels: DataFrame, width: int, height: int, mode: str = "clamp") -> DataFrame:
-    """points (surface_id, id, u, v) with the texel nearest to (u width, v height), rounded half up; u and v of 0..1
-    without a half-texel shift."""
-    y = wrapped(F.floor(F.col("v") * height + 0.5), height, mode).cast("int").alias("y")
-    x = wrapped(F.floor(F.col("u") * width + 0.5), width, mode).cast("int").alias("x")
-    rows = points.select("surface_id", "id", y, x)
-    return rows.join(texels.where("z = 0"), ["surface_id", "y", "x"]).select("surface_id", "id", *CHANNELS)
-
-
-def sample_linear(points: DataFrame, texels: DataFrame, width: int, height: int, mode: str = "clamp") -> DataFrame:
-    """points with the bilinear mean of four texels: those below and above (u width, v height), each wrapped."""
-    fx, fy = F.col("u") * width, F.col("v") * height
-    x0, y0 = F.floor(fx), F.floor(fy)
-
-    def tap(dx: int, dy: int):
-        wx, wy = (fx - x0 if dx else 1 - (fx - x0)), (fy - y0 if dy else 1 - (fy - y0))
-        return F.struct(wrapped(x0 + dx, width, mode).cast("int").alias("x"), wrapped(y0 + dy, height, mode).cast("int").alias("y"), (wx * wy).alias("w"))
-
-    taps = points.select("surface_id", "id", F.explode(F.array(*[tap(dx, dy) for dy in (0, 1) for dx in (0, 1)])).alias("t"))
-    taps = taps.select("surface_id", "id", "t.x", "t.y", "t.w").join(texels.where("z = 0"), ["surface_id", "y", "x"])
-    return taps.groupBy("surface_id", "id").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in CHANNELS])
+def _axes(extents: tuple[int, ...]) -> list[tuple[str, str, int]]:
+    return list(zip("uvw", "xyz", extents, strict=False))
+
+
+def sample_nearest(points: DataFrame, texels: DataFrame, width: int, height: int, mode: str = "clamp", depth: int | None = None) -> DataFrame:
+    """points (surface_id, id, u, v, and w of volumes) with the texel nearest to (u width, v height, w depth), rounded
+    half up; coordinates of 0..1 without a half-texel shift. Without a depth slice 0 is sampled."""
+    axes = _axes((width, height) if depth is None else (width, height, depth))
+    rows = points.select("surface_id", "id", *[wrapped(F.floor(F.col(c) * n + 0.5), n, mode).cast("int").alias(axis) for c, axis, n in axes])
+    source = texels.where("z = 0") if depth is None else texels
+    return rows.join(source, ["surface_id", *[axis for _, axis, _ in axes]]).select("surface_id", "id", *CHANNELS)
+
+
+def sample_linear(points: DataFrame, texels: DataFrame, width: int, height: int, mode: str = "clamp", depth: int | None = None, corrected: bool = False) -> DataFrame:
+    """points with the linear mean of the two texels below and above the place on each axis, each wrapped. Mirrored
+    sampling begins at the rounded place, as in the engine whose results are matched, and at the place below, as the
+    other modes do, if corrected."""
+    axes = _axes((width, height) if depth is None else (width, height, depth))
+    taps = [([], F.lit(1.0))]
+    for c, axis, n in axes:
+        at = F.col(c) * n
+        below = F.floor(at)
+        start = F.floor(at + 0.5) if mode == "mirror" and not corrected else below
+        taps = [([*fields, wrapped(start + d, n, mode).cast("int").alias(axis)], w * (at - below if d else 1 - (at - below))) for fields, w in taps for d in (0, 1)]
+    rows = points.select("surface_id", "id", F.explode(F.array(*[F.struct(*fields, w.alias("weight")) for fields, w in taps])).alias("t"))
+    rows = rows.select("surface_id", "id", "t.*").join(texels.where("z = 0") if depth is None else texels, ["surface_id", *[axis for _, axis, _ in axes]])
+    return rows.groupBy("surface_id", "id").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in CHANNELS])
 
 
 def bilinear_rms(texels: DataFrame, size: tuple[int, int], image: DataFrame, image_size: tuple[int, int], legacy: bool = True) -> DataFrame:

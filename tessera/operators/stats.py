@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,23 +34,33 @@ def histogram(rows: DataFrame, value: Column, low: float, high: float, bins: int
     return rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(found, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def coverage(texels: DataFrame, width: int, height: int, reference: float, channel: str = "a", scale: float = 1.0) -> DataFrame:
-    """(surface_id, coverage): the share of 4 x 4 bilinear samples in each quad of texels of slice 0 that pass."""
-    c = clamp(F.col(channel) * scale).alias("v")
-    t = texels.where("z = 0").select("surface_id", "y", "x", c)
+def quads(texels: DataFrame, width: int, height: int, channel: str = "a") -> DataFrame:
+    """(surface_id, y, x, v00, v01, v10, v11): the corners of each quad of texels of slice 0."""
+    t = texels.where("z = 0").select("surface_id", "y", "x", F.col(channel).alias("v"))
     # each texel goes to the four quads that it is a corner of
     corner = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (0, 1) for dx in (0, 1)]))
     at = t.select("surface_id", "y", "x", "v", corner.alias("k")).select("surface_id", (F.col("y") - F.col("k.dy")).alias("y"), (F.col("x") - F.col("k.dx")).alias("x"), "k", "v")
     at = at.where(F.col("y").between(0, height - 2) & F.col("x").between(0, width - 2))
     pick = lambda dy, dx: F.max(F.when((F.col("k.dy") == dy) & (F.col("k.dx") == dx), F.col("v"))).alias(f"v{dy}{dx}")
-    quads = at.groupBy("surface_id", "y", "x").agg(pick(0, 0), pick(0, 1), pick(1, 0), pick(1, 1))
+    return at.groupBy("surface_id", "y", "x").agg(pick(0, 0), pick(0, 1), pick(1, 0), pick(1, 1))
+
+
+def quad_coverage(corners: DataFrame, width: int, height: int, reference: float, scale: float = 1.0) -> DataFrame:
+    """(surface_id, coverage) of quads()."""
+    corners = corners.withColumns({c: clamp(F.col(c) * scale) for c in ("v00", "v01", "v10", "v11")})
     passed = F.lit(0)
     for fy in (0.125, 0.375, 0.625, 0.875):
         for fx in (0.125, 0.375, 0.625, 0.875):
             top = F.col("v00") * (1 - fx) + F.col("v01") * fx
             low = F.col("v10") * (1 - fx) + F.col("v11") * fx
             passed = passed + ((top * (1 - fy) + low * fy) > min(max(reference, 1 / 256), 255 / 256)).cast("int")
-    return quads.groupBy("surface_id").agg((F.sum(passed) / 16 / F.lit(float((width - 1) * (height - 1)))).alias("coverage"))
+    return corners.groupBy("surface_id").agg((F.sum(passed) / 16 / F.lit(float((width - 1) * (height - 1)))).alias("coverage"))
+
+
+def coverage(texels: DataFrame, width: int, height: int, reference: float, channel: str = "a", scale: float = 1.0) -> DataFrame:
+    """(surface_id, coverage): the share of 4 x 4 bilinear samples in each quad of texels of slice 0 that pass. A surface
+    of one line or column has no quads and no row."""
+    return quad_coverage(quads(texels, width, height, channel), width, height, reference, scale)
 
 
 def paired(reference: DataFrame, image: DataFrame) -> DataFrame:
@@ -156,6 +168,35 @@ def principal_axis(moments: DataFrame, steps: int = 8) -> DataFrame:
     return out.withColumn("axis", F.transform("_v", lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))).drop("_v")
 
 
+def spreads(moments: DataFrame) -> DataFrame:
+    """moments (from covariance) with spread1 >= spread2 >= spread3, the eigenvalues of the matrix in closed form, and
+    normal: the unit direction of least spread, (0, 0, 1) where no plane is defined."""
+    m = {frozenset((p, q)): F.col(f"{p}{q}") for i, p in enumerate(T.RGB) for q in T.RGB[i:]}
+    at = lambda p, q: m[frozenset((p, q))]
+    mean = (at("r", "r") + at("g", "g") + at("b", "b")) / 3
+    rows = moments.withColumn("_q", mean)
+    off = {c: at(c, c) - F.col("_q") for c in T.RGB}
+    size = F.sqrt((off["r"] * off["r"] + off["g"] * off["g"] + off["b"] * off["b"] + (at("r", "g") * at("r", "g") + at("r", "b") * at("r", "b") + at("g", "b") * at("g", "b")) * 2) / 6)
+    det = off["r"] * (off["g"] * off["b"] - at("g", "b") * at("g", "b")) - at("r", "g") * (at("r", "g") * off["b"] - at("g", "b") * at("r", "b")) + at("r", "b") * (at("r", "g") * at("g", "b") - off["g"] * at("r", "b"))
+    rows = rows.withColumn("_p", size)
+    turn = F.acos(clamp(F.coalesce(F.try_divide(det, F.col("_p") * F.col("_p") * F.col("_p") * 2), F.lit(1.0)), -1.0, 1.0)) / 3
+    rows = rows.withColumn("_t", turn)
+    rows = rows.withColumns({"spread1": F.col("_q") + F.col("_p") * 2 * F.cos("_t"), "spread3": F.col("_q") + F.col("_p") * 2 * F.cos(F.col("_t") + 2 * math.pi / 3)})
+    rows = rows.withColumn("spread2", F.col("_q") * 3 - F.col("spread1") - F.col("spread3"))
+    line = {p: [at(p, q) - (F.col("spread3") if p == q else 0.0) for q in T.RGB] for p in T.RGB}
+    cross = lambda a, b: F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+    best = F.array_max(F.array(*[F.struct(square(v).alias("n"), v.alias("v")) for v in (cross(line["r"], line["g"]), cross(line["r"], line["b"]), cross(line["g"], line["b"]))]))
+    rows = rows.withColumn("_best", best)
+    normal = F.when(F.col("_best.n") > 1e-24, F.transform("_best.v", lambda x: x / F.sqrt("_best.n"))).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    return rows.withColumn("normal", normal).drop("_q", "_p", "_t", "_best")
+
+
+def planar(moments: DataFrame, epsilon: float = 1e-4) -> DataFrame:
+    """moments with planar: whether the least spread is below epsilon."""
+    return spreads(moments).withColumn("planar", F.col("spread3") < epsilon)
+
+
 def quantize_ceil(value: Column, bits: int, out: int = 8) -> Column:
     """The least value of ``bits`` bits, replicated to ``out``, that isn't below value."""
     levels = F.transform(F.sequence(F.lit(0), F.lit(2**bits - 1)), lambda i: T.replicate(i, bits, out) / float(2**out - 1))

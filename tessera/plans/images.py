@@ -111,13 +111,11 @@ def principal_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normals_quartic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far the transformed normals are from the quartic surface along their rays."""
-    n = T.normalize(T.scale_bias(S.blocks(spark, sf_dir), 2.0, -1.0, T.RGB)).where("b > 0.1")
-    flat = T.transform_normals(n, "quartic").select(*S.PLACE, F.col("r").alias("fx"), F.col("g").alias("fy"))
-    height = (1 - F.col("fx") * F.col("fx")) * (1 - F.col("fy") * F.col("fy"))
-    t = F.greatest(F.try_divide(F.col("fx"), F.col("r")), F.try_divide(F.col("fy"), F.col("g")))
-    rows = n.join(flat, list(S.PLACE)).withColumn("off", F.abs(height - F.col("b") * t))
-    return rows.groupBy("surface_id").agg(F.count(F.lit(1)).alias("texels"), F.round(F.max("off"), 6).alias("off"))
+    """The normals of the upper half, where a ray meets the quartic surface once; the others as they are."""
+    n = T.normalize(T.scale_bias(S.blocks(spark, sf_dir), 2.0, -1.0, T.RGB))
+    flat = T.transform_normals(n, "quartic").withColumnsRenamed({c: f"_{c}" for c in T.RGB}).drop("a")
+    rows = n.join(flat, list(S.PLACE))
+    return rounded(T.changed(rows, **{c: F.when(F.col("b") > 0.1, F.col(f"_{c}")).otherwise(F.col(c)) for c in T.RGB}))
 
 
 def block_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +206,12 @@ def resize_kaiser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = W.mip_chain(S.gray(spark, sf_dir), (8, 8))
-    return out.groupBy("surface_id", "mip").agg(F.count(F.lit(1)).alias("texels"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.max("r"), 6).alias("high"))
+    return out.select("surface_id", "mip", "y", "x", F.round("r", 6).alias("r"), F.round("a", 6).alias("a"))
+
+
+def mip_chain_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = W.mip_chain(S.gray(spark, sf_dir), (8, 8), W.triangle(), 3)
+    return out.select("surface_id", "mip", "y", "x", F.round("r", 6).alias("r"))
 
 
 def convolve_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +262,127 @@ def coverage_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("surface_id").agg(F.round(F.avg("a"), 6).alias("mean_alpha"), F.round(F.lit(scale), 6).alias("scale"))
 
 
+def resized_with(shape: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(W.resize(S.gray(spark, sf_dir), (8, 8), (5, 3), getattr(W, shape)()))
+
+    return run
+
+
+def resize_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = W.resize(S.volume(spark, sf_dir), (4, 4, 4), (2, 3, 6), W.triangle(), "repeat")
+    return out.select("surface_id", "z", "y", "x", F.round("r", 6).alias("value"))
+
+
+def flip_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.flip(S.volume(spark, sf_dir), "z", 4).select("surface_id", "z", "y", "x", F.round("r", 6).alias("value"))
+
+
+def kernel_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each surface's first line under a triangle that is three times as wide."""
+    w = W.kernel1(spark, W.triangle(), 3)
+    k = S.gray(spark, sf_dir).where("y = 0")
+    return k.join(F.broadcast(w), F.col("x") == F.col("i")).groupBy("surface_id").agg(F.round(F.sum(F.col("r") * F.col("w")), 6).alias("value"))
+
+
+def solid_mip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(W.solid_mip(S.blocks(spark, sf_dir), (0.25, 0.5, 0.75, 1.0)))
+
+
+def normal_map_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(W.bytes_to_normal_map(T.to_bytes(S.atlas(spark, sf_dir)), size_of(S.atlas(spark, sf_dir)), (0.25, 0.5, 0.25, 0.0), 3, "clamp"))
+
+
+def convolve_prewitt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(W.convolve(S.gray(spark, sf_dir), W.normalized(W.kernel("prewitt5")), (8, 8), "r", "clamp"))
+
+
+def best_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least spread of each surface's colours, and the size of the normal's parts."""
+    out = A.planar(A.covariance(S.blocks(spark, sf_dir)), 0.05)
+    return out.select("surface_id", F.round("spread1", 6).alias("most"), F.round("spread2", 6).alias("middle"), F.round("spread3", 6).alias("least"), "planar", *[F.round(F.abs(F.col("normal")[i]), 5).alias(c) for i, c in enumerate("xyz")])
+
+
+def byte_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 64 bytes of each document's digest and its repetition as a 4 x 4 surface, blue first."""
+    d = S.table(spark, sf_dir, "documents")
+    digest = F.unhex(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256))
+    return rounded(S.from_bytes(d.select("doc_id", F.concat(digest, digest).alias("data")), "doc_id", "data", 4, 4))
+
+
+def half_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four halves of each event's number."""
+    e = S.table(spark, sf_dir, "events")
+    bits = F.array(*[F.pmod(F.col("event_id") * m + a, F.lit(0x7C00)).cast("int") for m, a in ((1, 0), (37, 11), (101, 5), (997, 1))])
+    out = S.from_halves(e.select("event_id", bits.alias("data")), "event_id", "data", 1, 1)
+    return out.select("surface_id", *[F.round(c, 6).alias(c) for c in S.CHANNELS])
+
+
+def _volume_points(spark, sf_dir):
+    ids = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("surface_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("id"))
+    return ids.select("surface_id", "id", (F.col("id") * 0.4375 - 0.53125).alias("u"), (F.col("id") * 0.28125 - 0.171875).alias("v"), (F.col("id") * 0.34375 - 0.28125).alias("w"))
+
+
+def _volume_sampled(of, mode):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = of(_volume_points(spark, sf_dir), S.volume(spark, sf_dir), 4, 4, mode, depth=4)
+        return out.select("surface_id", "id", F.round("r", 6).alias("value"))
+
+    return run
+
+
+VOLUME = """v AS (SELECT vec_id AS surface_id, (t // 16)::INT AS z, (t // 4 % 4)::INT AS y, (t % 4)::INT AS x, greatest(0.0, least(1.0, embedding[t + 1]::DOUBLE + 0.5)) AS v
+  FROM embeddings, range(64) AS ts(t))"""
+
+
+def _volume_sql(linear: bool, mode: str) -> str:
+    wrap = {"clamp": "greatest(0, least(3, {i}))", "repeat": "(({i}) % 4 + 4) % 4", "mirror": "CASE WHEN (({i}) % 6 + 6) % 6 < 4 THEN (({i}) % 6 + 6) % 6 ELSE 6 - (({i}) % 6 + 6) % 6 END"}[mode]
+    points = "p AS (SELECT vec_id AS surface_id, i::INT AS id, (i * 0.4375::DOUBLE - 0.53125) * 4 AS fx, (i * 0.28125::DOUBLE - 0.171875) * 4 AS fy, (i * 0.34375::DOUBLE - 0.28125) * 4 AS fz FROM embeddings, range(5) AS xs(i))"
+    on = " AND ".join(f"v.{axis} = {wrap.format(i='i' + axis)}" for axis in "xyz")
+    if not linear:
+        near = ", ".join(f"floor(f{axis} + 0.5)::INT AS i{axis}" for axis in "xyz")
+        return f"WITH {VOLUME}, {points}, q AS (SELECT surface_id, id, {near} FROM p) SELECT q.surface_id, id, round(v.v, 6) AS value FROM q JOIN v ON v.surface_id = q.surface_id AND {on}"
+    start = "floor({} + 0.5)::INT" if mode == "mirror" else "floor({})::INT"
+    near = ", ".join(f"{start.format('f' + axis)} + d{axis} AS i{axis}" for axis in "xyz")
+    weight = " * ".join(f"(CASE d{axis} WHEN 1 THEN f{axis} - floor(f{axis}) ELSE 1 - f{axis} + floor(f{axis}) END)" for axis in "xyz")
+    return f"""WITH {VOLUME}, {points}, q AS (SELECT surface_id, id, {near}, {weight} AS w FROM p, (VALUES (0), (1)) AS xs(dx), (VALUES (0), (1)) AS ys(dy), (VALUES (0), (1)) AS zs(dz))
+        SELECT q.surface_id, id, round(sum(v.v * w), 6) AS value FROM q JOIN v ON v.surface_id = q.surface_id AND {on} GROUP BY 1, 2"""
+
+
+def _axis_sql(steps: int = 8) -> str:
+    """Power iteration, one step a view."""
+    unit = lambda x, y, z, source: f"SELECT surface_id, rr, rg, rb, gg, gb, bb, x / m AS x, y / m AS y, z / m AS z FROM (SELECT *, greatest(abs(x), abs(y), abs(z)) AS m FROM (SELECT surface_id, rr, rg, rb, gg, gb, bb, {x} AS x, {y} AS y, {z} AS z FROM {source}))"
+    pick = lambda a, b, c: f"CASE WHEN rr >= gg AND rr >= bb THEN {a} WHEN gg >= bb THEN {b} ELSE {c} END"
+    views = [f"v0 AS ({unit(pick('rr', 'rg', 'rb'), pick('rg', 'gg', 'gb'), pick('rb', 'gb', 'bb'), 'c')})"]
+    views += [f"v{i + 1} AS ({unit('rr * x + rg * y + rb * z', 'rg * x + gg * y + gb * z', 'rb * x + gb * y + bb * z', f'v{i}')})" for i in range(steps)]
+    return ", ".join(views)
+
+
+def _newton_sql(steps: int = 12) -> str:
+    """Steps to the root of (1 - x x t t)(1 - y y t t) - z t along the normal's ray, one a view."""
+    value, slope = "((1 - r * r * t * t) * (1 - g * g * t * t) - b * t)", "(-2 * r * r * t * (1 - g * g * t * t) - 2 * g * g * t * (1 - r * r * t * t) - b)"
+    return ", ".join(f"t{i + 1} AS (SELECT * REPLACE (t - {value} / {slope} AS t) FROM t{i})" for i in range(steps))
+
+
+COVARIANCE = "m AS (SELECT surface_id, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb FROM b GROUP BY 1), c AS (SELECT surface_id, " + ", ".join(f"sum(({p} - m{p}) * ({q} - m{q})) AS {p}{q}" for p, q in ("rr", "rg", "rb", "gg", "gb", "bb")) + " FROM b JOIN m USING (surface_id) GROUP BY 1)"
+PLANE = f"""WITH {BLOCKS}, {COVARIANCE}, q AS (SELECT *, (rr + gg + bb) / 3 AS q FROM c),
+  p AS (SELECT *, sqrt(((rr - q) ** 2 + (gg - q) ** 2 + (bb - q) ** 2 + 2 * (rg * rg + rb * rb + gb * gb)) / 6) AS p FROM q),
+  t AS (SELECT *, acos(greatest(-1.0, least(1.0, ((rr - q) * ((gg - q) * (bb - q) - gb * gb) - rg * (rg * (bb - q) - gb * rb) + rb * (rg * gb - (gg - q) * rb)) / (2 * p ** 3)))) / 3 AS t FROM p),
+  e AS (SELECT *, q + 2 * p * cos(t) AS e1, q + 2 * p * cos(t + 2 * pi() / 3) AS e3 FROM t),
+  k AS (SELECT *, unnest([[rg * gb - rb * (gg - e3), rb * rg - (rr - e3) * gb, (rr - e3) * (gg - e3) - rg * rg], [rg * (bb - e3) - rb * gb, rb * rb - (rr - e3) * (bb - e3), (rr - e3) * gb - rg * rb],
+        [(gg - e3) * (bb - e3) - gb * gb, gb * rb - rg * (bb - e3), rg * gb - (gg - e3) * rb]]) AS n FROM e),
+  o AS (SELECT * FROM (SELECT *, sqrt(n[1] ** 2 + n[2] ** 2 + n[3] ** 2) AS l FROM k) QUALIFY row_number() OVER (PARTITION BY surface_id ORDER BY l DESC) = 1)
+  SELECT surface_id, round(e1, 6) AS most, round(3 * q - e1 - e3, 6) AS middle, round(e3, 6) AS least, e3 < 0.05 AS planar, round(abs(n[1] / l), 5) AS x, round(abs(n[2] / l), 5) AS y, round(abs(n[3] / l), 5) AS z FROM o"""
+SHAPES = {  # the filters' formulas in u, and how far they reach
+    "quadratic": ("CASE WHEN abs(u) < 0.5 THEN 0.75 - u * u WHEN abs(u) < 1.5 THEN 0.5 * (abs(u) - 1.5) ** 2 ELSE 0.0 END", 1.5),
+    "cubic": ("CASE WHEN abs(u) < 1 THEN (2 * abs(u) - 3) * u * u + 1 ELSE 0.0 END", 1),
+    "bspline": ("CASE WHEN abs(u) < 1 THEN (4 + u * u * (3 * abs(u) - 6)) / 6 WHEN abs(u) < 2 THEN (2 - abs(u)) ** 3 / 6 ELSE 0.0 END", 2),
+    "lanczos": ("CASE WHEN abs(u) < 1e-9 THEN 1.0 WHEN abs(u) < 3 THEN sin(pi() * u) / (pi() * u) * sin(pi() * u / 3) / (pi() * u / 3) ELSE 0.0 END", 3),
+    "sinc": ("CASE WHEN abs(u) < 1e-9 THEN 1.0 ELSE sin(pi() * u) / (pi() * u) END", 3),
+    "gaussian": ("exp(-u * u / 2) / sqrt(2 * pi())", 3),
+}
+
+
 def _resized(source: str, sw: int, sh: int, wx: str, wy: str) -> str:
     return f"""SELECT surface_id, wy.dst AS y, wx.dst AS x, round(sum(v * wx.w * wy.w), 6) AS r, round(sum(v * wx.w * wy.w), 6) AS g, round(sum(v * wx.w * wy.w), 6) AS b,
         round(sum(v * wx.w * wy.w), 6) AS a FROM {source} JOIN {wx} wx ON wx.src = x JOIN {wy} wy ON wy.src = y GROUP BY 1, 2, 3"""
@@ -309,6 +433,7 @@ def _blend_sql() -> list[list[float]]:
 
 GRAY_OUT = "round(v, 6) AS r, round(v, 6) AS g, round(v, 6) AS b, round(v, 6) AS a"
 SAMPLES = " + ".join(f"((v00 * {(1 - x) * (1 - y)} + v01 * {x * (1 - y)} + v10 * {(1 - x) * y} + v11 * {x * y}) > 0.5)::INT" for y in (0.125, 0.375, 0.625, 0.875) for x in (0.125, 0.375, 0.625, 0.875))
+PASSED = SAMPLES.replace("> 0.5)", "> 0.6)")
 LAB = """lab AS (SELECT surface_id, y, x, n, 116 * fx - 16 AS l, 500 * (fx - fy) AS aa, 200 * (fy - fz) AS bb FROM (
   SELECT *, CASE WHEN tx > 216 / 24389.0::DOUBLE THEN cbrt(tx) ELSE tx * 841 / 108 + 4 / 29.0::DOUBLE END AS fx,
   CASE WHEN ty > 216 / 24389.0::DOUBLE THEN cbrt(ty) ELSE ty * 841 / 108 + 4 / 29.0::DOUBLE END AS fy, CASE WHEN tz > 216 / 24389.0::DOUBLE THEN cbrt(tz) ELSE tz * 841 / 108 + 4 / 29.0::DOUBLE END AS fz FROM (
@@ -322,7 +447,8 @@ def _sample_sql(linear: bool, mode: str) -> str:
     points = "p AS (SELECT vec_id AS surface_id, i::INT AS id, (i * 0.4375::DOUBLE - 0.53125) * 8 AS fx, (i * 0.28125::DOUBLE - 0.171875) * 8 AS fy FROM embeddings, range(5) AS xs(i))"
     if not linear:
         return f"WITH {GRAY}, {points}, q AS (SELECT surface_id, id, floor(fx + 0.5)::INT AS i, floor(fy + 0.5)::INT AS j FROM p) SELECT q.surface_id, id, round(v, 6) AS value FROM q JOIN k ON k.surface_id = q.surface_id AND k.x = {wrap.format(i='i')} AND k.y = {wrap.format(i='j')}"
-    return f"""WITH {GRAY}, {points}, q AS (SELECT surface_id, id, floor(fx)::INT + dx AS i, floor(fy)::INT + dy AS j, (CASE dx WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) * (CASE dy WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) AS w
+    start = "floor({} + 0.5)::INT" if mode == "mirror" else "floor({})::INT"  # mirrored taps begin at the rounded place
+    return f"""WITH {GRAY}, {points}, q AS (SELECT surface_id, id, {start.format('fx')} + dx AS i, {start.format('fy')} + dy AS j, (CASE dx WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) * (CASE dy WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) AS w
         FROM p, (VALUES (0), (1)) AS xs(dx), (VALUES (0), (1)) AS ys(dy)) SELECT q.surface_id, id, round(sum(v * w), 6) AS value FROM q JOIN k ON k.surface_id = q.surface_id AND k.x = {wrap.format(i='i')} AND k.y = {wrap.format(i='j')} GROUP BY 1, 2"""
 
 
@@ -372,10 +498,14 @@ CASES = {
     "resize_box": (resize_box, f"WITH {GRAY}, {weights('wx', BOX, 0.5, 8, 3, 'mirror')}, {weights('wy', BOX, 0.5, 8, 5, 'mirror')} {_resized('k', 8, 8, 'wx', 'wy')}"),
     "resize_triangle": (resize_triangle, f"WITH {GRAY}, {weights('wx', TRIANGLE, 1, 8, 5, 'clamp')}, {weights('wy', TRIANGLE, 1, 8, 12, 'clamp')} {_resized('k', 8, 8, 'wx', 'wy')}"),
     "resize_kaiser": (resize_kaiser, f"WITH {GRAY}, {weights('wx', KAISER, 3, 8, 4, 'mirror')}, {weights('wy', KAISER, 3, 8, 4, 'mirror')} {_resized('k', 8, 8, 'wx', 'wy')}"),
-    "mip_chain": (mip_chain, f"""WITH {GRAY}, m AS (SELECT surface_id, mip, y // (1 << mip) AS v, x // (1 << mip) AS u, avg(v) AS c FROM k, (VALUES (0), (1), (2), (3)) AS ms(mip) GROUP BY 1, 2, 3, 4)
-        SELECT surface_id, mip, count(*) AS texels, round(avg(c), 6) AS mean, round(max(c), 6) AS high FROM m GROUP BY 1, 2"""),
+    "mip_chain": (mip_chain, f"""WITH {GRAY} SELECT surface_id, mip, (y // (1 << mip))::INT AS y, (x // (1 << mip))::INT AS x, round(avg(v), 6) AS r, round(avg(v), 6) AS a
+        FROM k, (VALUES (0), (1), (2), (3)) AS ms(mip) GROUP BY 1, 2, 3, 4"""),
+    "mip_chain_triangle": (mip_chain_triangle, f"""WITH {GRAY}, {weights('wa', TRIANGLE, 1, 8, 4, 'mirror')}, {weights('wb', TRIANGLE, 1, 4, 2, 'mirror')},
+        one AS (SELECT surface_id, wy.dst AS y, wx.dst AS x, sum(v * wx.w * wy.w) AS v FROM k JOIN wa wx ON wx.src = x JOIN wa wy ON wy.src = y GROUP BY 1, 2, 3),
+        two AS (SELECT surface_id, wy.dst AS y, wx.dst AS x, sum(v * wx.w * wy.w) AS v FROM one JOIN wb wx ON wx.src = x JOIN wb wy ON wy.src = y GROUP BY 1, 2, 3)
+        SELECT surface_id, 0 AS mip, y, x, round(v, 6) AS r FROM k UNION ALL SELECT surface_id, 1, y, x, round(v, 6) FROM one UNION ALL SELECT surface_id, 2, y, x, round(v, 6) FROM two"""),
     "convolve_laplacian": (convolve_laplacian, f"""WITH {GRAY}, k9(dy, dx) AS (SELECT y::INT, x::INT FROM range(-1, 2) AS ys(y), range(-1, 2) AS xs(x)),
-        o AS (SELECT k.surface_id, k.y, k.x, any_value(k.v) AS v, sum(s.v * CASE WHEN dx = 0 AND dy = 0 THEN 8 ELSE -1 END) AS c FROM k, k9, k s WHERE s.surface_id = k.surface_id AND s.y = {_mirror('k.y + dy', 8)} AND s.x = {_mirror('k.x + dx', 8)} GROUP BY 1, 2, 3)
+        o AS (SELECT k.surface_id, k.y, k.x, any_value(k.v) AS v, sum(s.v * CASE WHEN dx = 0 AND dy = 0 THEN 4 WHEN dx = 0 OR dy = 0 THEN -1 ELSE 0 END) AS c FROM k, k9, k s WHERE s.surface_id = k.surface_id AND s.y = {_mirror('k.y + dy', 8)} AND s.x = {_mirror('k.x + dx', 8)} GROUP BY 1, 2, 3)
         SELECT surface_id, y, x, round(c, 6) AS r, round(v, 6) AS g, round(v, 6) AS b, round(v, 6) AS a FROM o"""),
     "convolve_sobel": (convolve_sobel, f"""WITH {ATLAS}, k9(dy, dx, w) AS (VALUES (-1, -1, -1), (-1, 1, 1), (0, -1, -2), (0, 1, 2), (1, -1, -1), (1, 1, 1)),
         o AS (SELECT t.y, t.x, any_value(t.r) AS r, any_value(t.b) AS b, any_value(t.a) AS a, sum(s.g * k9.w) / 8 AS c FROM t, h, k9, t s WHERE s.y = (t.y + dy + h.h) % h.h AND s.x = (t.x + dx + 80) % 80 GROUP BY 1, 2)
@@ -399,15 +529,48 @@ CASES = {
         ws AS (SELECT (y // 2)::INT AS dst, ((y - 3 + j + n) % n)::INT AS src, w / (SELECT sum(w) FROM m) AS w FROM n, m, (SELECT DISTINCT y FROM t WHERE y % 2 = 0))
         SELECT 0 AS surface_id, ws.dst AS y, wx.dst AS x, round(sum(r * wx.w * ws.w), 6) AS r, round(sum(g * wx.w * ws.w), 6) AS g, round(sum(b * wx.w * ws.w), 6) AS b, round(sum(a * wx.w * ws.w), 6) AS a
         FROM t JOIN wx ON wx.src = x JOIN ws ON ws.src = y GROUP BY 1, 2, 3"""),
-    "coverage_scale": (coverage_scale, None),
-    "principal_axis": (principal_axis, None),
-    "normals_quartic": (normals_quartic, f"WITH {BLOCKS}, {SIGNED}, {UNIT} SELECT surface_id, count(*) AS texels, 0.0::DOUBLE AS off FROM n WHERE b > 0.1 GROUP BY 1"),
+    "coverage_scale": (coverage_scale, f"""WITH RECURSIVE {ATLAS}, q AS (SELECT o.a AS v00, r.a AS v01, d.a AS v10, e.a AS v11 FROM t o JOIN t r ON r.y = o.y AND r.x = o.x + 1 JOIN t d ON d.y = o.y + 1 AND d.x = o.x JOIN t e ON e.y = o.y + 1 AND e.x = o.x + 1),
+        s AS (  -- a step tests the scale that the one before it chose
+          SELECT 0 AS step, 0.0::DOUBLE AS low, 4.0::DOUBLE AS high, 1.0::DOUBLE AS scale, NULL::DOUBLE AS tried, NULL::DOUBLE AS got
+          UNION ALL
+          SELECT step + 1, CASE WHEN c < 0.5 THEN scale ELSE low END, CASE WHEN c < 0.5 THEN high ELSE scale END, CASE WHEN c < 0.5 THEN (scale + high) / 2 ELSE (low + scale) / 2 END, scale, c
+          FROM (SELECT step, low, high, scale, sum({PASSED}) / 16.0::DOUBLE / (79 * (SELECT h - 1 FROM h)) AS c
+                FROM (SELECT step, low, high, scale, least(1.0, v00 * scale) AS v00, least(1.0, v01 * scale) AS v01, least(1.0, v10 * scale) AS v10, least(1.0, v11 * scale) AS v11 FROM s, q WHERE step < 10 AND coalesce(got, 0) <> 0.5) GROUP BY 1, 2, 3, 4)),
+        f AS (SELECT tried AS scale FROM s WHERE tried IS NOT NULL ORDER BY abs(got - 0.5), step LIMIT 1)
+        SELECT 0 AS surface_id, round(avg(least(1.0, a * scale)), 6) AS mean_alpha, round(any_value(scale), 6) AS scale FROM t, f"""),
+    "principal_axis": (principal_axis, f"""WITH {BLOCKS}, {COVARIANCE}, {_axis_sql()}, u AS (SELECT *, sqrt(x * x + y * y + z * z) AS l FROM v8)
+        SELECT surface_id, round(x / l, 6) AS axis_r, round(y / l, 6) AS axis_g, round(z / l, 6) AS axis_b,
+               round((rr * x * x + gg * y * y + bb * z * z + 2 * (rg * x * y + rb * x * z + gb * y * z)) / (l * l) / (rr + gg + bb), 6) AS share FROM u"""),
+    "resize_volume": (resize_volume, f"""WITH {VOLUME}, {weights('wx', TRIANGLE, 1, 4, 2, 'repeat')}, {weights('wy', TRIANGLE, 1, 4, 3, 'repeat')}, {weights('wz', TRIANGLE, 1, 4, 6, 'repeat')}
+        SELECT surface_id, wz.dst AS z, wy.dst AS y, wx.dst AS x, round(sum(v * wx.w * wy.w * wz.w), 6) AS value FROM v JOIN wx ON wx.src = x JOIN wy ON wy.src = y JOIN wz ON wz.src = z GROUP BY 1, 2, 3, 4"""),
+    "flip_z": (flip_z, f"WITH {VOLUME} SELECT surface_id, 3 - z AS z, y, x, round(v, 6) AS value FROM v"),
+    "kernel1_weights": (kernel_weights, f"""WITH {GRAY}, m AS (SELECT i, avg(greatest(0.0, 1 - abs((i - 3 + (s + 0.5) / 32) / 3))) AS w FROM range(6) AS xs(i), range(32) AS ss(s) GROUP BY 1)
+        SELECT surface_id, round(sum(v * w) / (SELECT sum(w) FROM m), 6) AS value FROM k JOIN m ON i = x WHERE y = 0 GROUP BY 1"""),
+    "solid_mip": (solid_mip, "SELECT vec_id AS surface_id, y::INT AS y, x::INT AS x, 0.25::DOUBLE AS r, 0.5::DOUBLE AS g, 0.75::DOUBLE AS b, 1.0::DOUBLE AS a FROM embeddings, range(2) AS ys(y), range(2) AS xs(x)"),
+    "normal_map_bytes": (normal_map_bytes, f"""WITH {ATLAS}, i AS (SELECT y, x, (trunc(r * 255) + 2 * trunc(g * 255) + trunc(b * 255)) / 4 / 255.0::DOUBLE AS v FROM t), k9(dy, dx, w) AS (VALUES (-1, -1, -1), (-1, 1, 1), (0, -1, -2), (0, 1, 2), (1, -1, -1), (1, 1, 1)),
+        u AS (SELECT i.y, i.x, any_value(i.v) AS v, sum(s.v * k9.w) / 8 AS du FROM i, h, k9, i s WHERE s.y = greatest(0, least(h.h - 1, i.y + dy)) AND s.x = greatest(0, least(79, i.x + dx)) GROUP BY 1, 2),
+        d AS (SELECT i.y, i.x, sum(s.v * k9.w) / 8 AS dv FROM i, h, k9, i s WHERE s.y = greatest(0, least(h.h - 1, i.y + dx)) AND s.x = greatest(0, least(79, i.x + dy)) GROUP BY 1, 2),
+        l AS (SELECT *, sqrt(du * du + dv * dv + 1 / 256.0::DOUBLE) AS l FROM u JOIN d USING (y, x))
+        SELECT 0 AS surface_id, y, x, round(0.5 * du / l + 0.5, 6) AS r, round(0.5 * dv / l + 0.5, 6) AS g, round(0.5 / 16 / l + 0.5, 6) AS b, round(v, 6) AS a FROM l"""),
+    "convolve_prewitt": (convolve_prewitt, f"""WITH {GRAY}, o AS (SELECT k.surface_id, k.y, k.x, any_value(k.v) AS v, sum(s.v * dx) / 30 AS c FROM k, range(-2, 3) AS ys(dy), range(-2, 3) AS xs(dx), k s
+        WHERE s.surface_id = k.surface_id AND s.y = greatest(0, least(7, k.y + dy)) AND s.x = greatest(0, least(7, k.x + dx)) GROUP BY 1, 2, 3) SELECT surface_id, y, x, round(c, 6) AS r, round(v, 6) AS g, round(v, 6) AS b, round(v, 6) AS a FROM o"""),
+    "best_plane": (best_plane, PLANE),
+    "byte_import": (byte_import, "WITH d AS (SELECT doc_id, sha256(doc_id::VARCHAR) || sha256(doc_id::VARCHAR) AS h FROM documents), " + "p AS (SELECT doc_id, t, " + ", ".join(f"(instr('0123456789abcdef', substr(h, (8 * t + {2 * i + 1})::INT, 1)) - 1) * 16 + instr('0123456789abcdef', substr(h, (8 * t + {2 * i + 2})::INT, 1)) - 1 AS {c}" for i, c in enumerate("bgra"))
+        + " FROM d, range(16) AS ts(t)) SELECT doc_id AS surface_id, (t // 4)::INT AS y, (t % 4)::INT AS x, round(r / 255, 6) AS r, round(g / 255, 6) AS g, round(b / 255, 6) AS b, round(a / 255, 6) AS a FROM p"),
+    "half_import": (half_import, "WITH i AS (SELECT event_id AS surface_id, " + ", ".join(f"(event_id * {m} + {a}) % 31744 AS {c}" for c, m, a in (("r", 1, 0), ("g", 37, 11), ("b", 101, 5), ("a", 997, 1))) + " FROM events) SELECT surface_id, "
+        + ", ".join(f"round(CASE WHEN {c} < 1024 THEN {c} * pow(2.0, -24) ELSE (1 + ({c} % 1024) / 1024.0::DOUBLE) * pow(2.0, {c} // 1024 - 15) END, 6) AS {c}" for c in "rgba") + " FROM i"),
+    "normals_quartic": (normals_quartic, f"""WITH {BLOCKS}, {SIGNED}, {UNIT}, t0 AS (SELECT *, (sqrt(b * b + 4 * (r * r + g * g)) - b) / (2 * (r * r + g * g)) AS t FROM n), {_newton_sql()}
+        SELECT surface_id, y, x, round(CASE WHEN b > 0.1 THEN r * t ELSE r END, 6) AS r, round(CASE WHEN b > 0.1 THEN g * t ELSE g END, 6) AS g, round(CASE WHEN b > 0.1 THEN 0 ELSE b END, 6) AS b, round(a, 6) AS a FROM t12"""),
     "bilinear_error": (bilinear_error, f"""WITH {GRAY}, m AS (SELECT surface_id, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM k GROUP BY 1, 2, 3),
         t AS (SELECT k.surface_id, k.y, k.x, any_value(k.v) AS v, sum(m.v * (CASE WHEN k.x % 2 = 0 THEN 1 - dx ELSE 0.5::DOUBLE END) * (CASE WHEN k.y % 2 = 0 THEN 1 - dy ELSE 0.5::DOUBLE END)) AS s FROM k, (VALUES (0), (1)) AS xs(dx), (VALUES (0), (1)) AS ys(dy), m
               WHERE m.surface_id = k.surface_id AND m.x = least(k.x // 2 + dx, 3) AND m.y = least(k.y // 2 + dy, 3) GROUP BY 1, 2, 3)
         SELECT surface_id, round(sqrt(avg(4 * (v - s) ** 2)), 6) AS rms FROM t GROUP BY 1"""),
 }
+for _shape, (_formula, _reach) in SHAPES.items():
+    CASES[f"resize_{_shape}"] = (resized_with(_shape), f"WITH {GRAY}, {weights('wx', _formula, _reach, 8, 5, 'mirror')}, {weights('wy', _formula, _reach, 8, 3, 'mirror')} {_resized('k', 8, 8, 'wx', 'wy')}")
 for _mode in ("clamp", "repeat", "mirror"):
+    CASES[f"volume_nearest_{_mode}"] = (_volume_sampled(N.sample_nearest, _mode), _volume_sql(False, _mode))
+    CASES[f"volume_linear_{_mode}"] = (_volume_sampled(N.sample_linear, _mode), _volume_sql(True, _mode))
     CASES[f"sample_nearest_{_mode}"] = (_sampled(N.sample_nearest, _mode), _sample_sql(False, _mode))
     CASES[f"sample_linear_{_mode}"] = (_sampled(N.sample_linear, _mode), _sample_sql(True, _mode))
 QUERIES = {name: run for name, (run, _) in CASES.items()}

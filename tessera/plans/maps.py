@@ -38,6 +38,18 @@ def signed(t: DataFrame) -> DataFrame:
     return T.scale_bias(t, 2.0, -1.0, T.RGB)
 
 
+LAB_PARTS = """l AS (SELECT surface_id, y, x, a AS alpha, pow(r, 2.2) AS lr, pow(g, 2.2) AS lg, pow(b, 2.2) AS lb FROM b),
+  q AS (SELECT *, (0.412453 * lr + 0.357580 * lg + 0.180423 * lb) / 0.950456 AS tx, 0.212671 * lr + 0.715160 * lg + 0.072169 * lb AS ty,
+        (0.019334 * lr + 0.119193 * lg + 0.950227 * lb) / 1.088754 AS tz FROM l),
+  f AS (SELECT *, CASE WHEN tx > 216 / 24389.0::DOUBLE THEN cbrt(tx) ELSE tx * 841 / 108 + 4 / 29.0::DOUBLE END AS fx,
+        CASE WHEN ty > 216 / 24389.0::DOUBLE THEN cbrt(ty) ELSE ty * 841 / 108 + 4 / 29.0::DOUBLE END AS fy,
+        CASE WHEN tz > 216 / 24389.0::DOUBLE THEN cbrt(tz) ELSE tz * 841 / 108 + 4 / 29.0::DOUBLE END AS fz FROM q)"""
+#: There and back again: what is left of a colour after both matrices.
+ROUND_TRIP = f"""WITH {BLOCKS}, v AS (SELECT surface_id, y, x, a, 0.412453 * pow(r, 2.2) + 0.357580 * pow(g, 2.2) + 0.180423 * pow(b, 2.2) AS vx,
+  0.212671 * pow(r, 2.2) + 0.715160 * pow(g, 2.2) + 0.072169 * pow(b, 2.2) AS vy, 0.019334 * pow(r, 2.2) + 0.119193 * pow(g, 2.2) + 0.950227 * pow(b, 2.2) AS vz FROM b)
+  SELECT surface_id, y, x, round(pow(greatest(0.0, 3.2404542 * vx - 1.5371385 * vy - 0.4985314 * vz), 1 / 2.2::DOUBLE), 6) AS r,
+         round(pow(greatest(0.0, 1.8760108 * vy - 0.9692660 * vx + 0.0415560 * vz), 1 / 2.2::DOUBLE), 6) AS g,
+         round(pow(greatest(0.0, 0.0556434 * vx - 0.2040259 * vy + 1.0572252 * vz), 1 / 2.2::DOUBLE), 6) AS b, round(a, 6) AS a FROM v"""
 MATRIX = ((0.5, 0.1, 0.0, 0.0), (0.2, 0.7, 0.3, 0.0), (0.1, 0.2, 0.6, 0.0), (0.0, 0.0, 0.1, 1.0))
 CLAMP01 = "greatest(0.0, least(1.0, {c}))"
 CASES = {
@@ -74,7 +86,7 @@ CASES = {
         SELECT surface_id, y, x, round(least(r / k, 1.0), 6) AS r, round(least(g / k, 1.0), 6) AS g, round(least(b / k, 1.0), 6) AS b, round((k - 0.25) / 0.75, 6) AS a FROM o""",
     ),
     "from_rgbm": (S.blocks, lambda t: T.from_rgbm(t, 2.0, 0.25), same(BLOCKS, "b", "{c} * (1.75 * a + 0.25)", "1")),
-    "to_lm": (S.blocks, lambda t: T.to_lm(t, 1.0, 0.25), sql(BLOCKS, "b", *["(r + g + b) / 3 / greatest(r, g, b, 0.25)"] * 3, "(greatest(r, g, b, 0.25) - 0.25) / 0.75")),
+    "to_lm": (S.blocks, lambda t: T.to_lm(t, 0.25), sql(BLOCKS, "b", *["(r + g + b) / 3 / greatest(r, g, b, 0.25)"] * 3, "(greatest(r, g, b, 0.25) - 0.25) / 0.75")),
     "to_rgbe": (
         S.hdr, T.to_rgbe,
         f"""WITH {HDR}, e AS (SELECT *, CASE WHEN greatest(r, g, b) > 0 THEN greatest(-16, floor(log2(greatest(r, g, b)))) ELSE -16 END + 16 AS e0 FROM b),
@@ -100,6 +112,16 @@ CASES = {
     "reconstruct_orthographic": (S.blocks, lambda t: T.reconstruct_normals(signed(t), "orthographic"), sql(f"{BLOCKS}, {SIGNED}", "s", b="sqrt(1 - least(1.0, r * r + g * g))")),
     "reconstruct_stereographic": (S.blocks, lambda t: T.reconstruct_normals(signed(t), "stereographic"), sql(f"{BLOCKS}, {SIGNED}", "s", "2 * r / (1 + least(1.0, r * r + g * g))", "2 * g / (1 + least(1.0, r * r + g * g))", "2 / (1 + least(1.0, r * r + g * g)) - 1")),
     "clean_normals": (S.blocks, lambda t: T.clean_normals(signed(t)), sql(f"{BLOCKS}, {SIGNED}", "s", b="r * r + g * g")),
+    "to_xyz": (S.blocks, T.to_xyz, sql(BLOCKS, "b", *[f"{m} * pow(r, 2.2) + {n} * pow(g, 2.2) + {o} * pow(b, 2.2)" for m, n, o in ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))])),
+    "from_xyz": (S.blocks, T.from_xyz, sql(BLOCKS, "b", *[f"pow(greatest(0.0, {m} * r + {n} * g + {o} * b), 1 / 2.2::DOUBLE)" for m, n, o in ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252))])),
+    "lab_round_trip": (S.blocks, lambda t: T.from_lab(T.to_lab(t, strict=True)), ROUND_TRIP),
+    "to_lch": (
+        S.blocks, lambda t: T.to_lch(t, strict=True),
+        f"""WITH {BLOCKS}, {LAB_PARTS} SELECT surface_id, y, x, round(116 * fy - 16, 6) AS r, round(sqrt(pow(500 * (fx - fy), 2) + pow(200 * (fy - fz), 2)), 6) AS g,
+            round(atan2(500 * (fx - fy), 200 * (fy - fz)), 6) AS b, round(alpha, 6) AS a FROM f""",
+    ),
+    "to_lm_dark": (S.blocks, lambda t: T.to_lm(t, 0.6), sql(BLOCKS, "b", *["(r + g + b) / 3 / greatest(r, g, b, 0.6)"] * 3, "(greatest(r, g, b, 0.6) - 0.6) / 0.4")),
+    "from_rgbm_least": (S.blocks, lambda t: T.from_rgbm(t, 2.0, 0.0), same(BLOCKS, "b", "{c} * (a * (2 - 1e-6) + 1e-6)", "1")),
     "to_lab": (
         S.blocks, T.to_lab,
         f"""WITH {BLOCKS}, l AS (SELECT surface_id, y, x, a AS alpha, pow(r, 2.2) AS lr, pow(g, 2.2) AS lg, pow(b, 2.2) AS lb FROM b),

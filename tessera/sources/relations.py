@@ -72,3 +72,39 @@ def hdr(spark: SparkSession, sf_dir: str, width: int = 50) -> DataFrame:
     r = F.coalesce(F.col("value"), F.lit(0.0)) / 100
     y = F.floor(F.col("event_id") / width).cast("int")
     return e.select(F.lit(0).alias("surface_id"), F.lit(0).alias("z"), y.alias("y"), F.pmod("event_id", F.lit(width)).cast("int").alias("x"), r.alias("r"), (r / 2).alias("g"), (r / 4).alias("b"), F.lit(1.0).alias("a"))
+
+
+def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a 4 x 4 x 4 volume of one channel, in all four."""
+    rows = gray(spark, sf_dir)
+    at = F.col("y") * 8 + F.col("x")
+    place = [F.floor(at / 16).cast("int").alias("z"), F.floor(at % 16 / 4).cast("int").alias("y"), (at % 4).cast("int").alias("x")]
+    return rows.select("surface_id", *place, *CHANNELS)
+
+
+def from_bytes(rows: DataFrame, surface: str, data: str, width: int, height: int, order: Sequence[str] = ("b", "g", "r", "a")) -> DataFrame:
+    """Texels of binary values with one byte for each channel of a texel, 0..1; blue is first where nothing else is said."""
+    n = len(order)
+    digits = rows.select(F.col(surface).alias("_id"), F.hex(data).alias("_hex"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(width * height * n - 1)), lambda i: F.conv(F.call_function("substring", F.col("_hex"), i * 2 + 1, F.lit(2)), 16, 10).cast("int") / 255)
+    return interleaved(digits.select("_id", values.alias("_values")), "_id", "_values", width, height, order)
+
+
+def from_halves(rows: DataFrame, surface: str, data: str, width: int, height: int, order: Sequence[str] = CHANNELS) -> DataFrame:
+    """Texels of arrays of 16-bit half floats, given as unsigned integers."""
+    from tessera.functions.packing import from_half
+
+    texels = interleaved(rows, surface, data, width, height, order)
+    return texels.select(*PLACE, *[(from_half(F.col(c).cast("int")) if c in order else F.lit(0.0)).alias(c) for c in CHANNELS])
+
+
+def from_image_source(images: DataFrame) -> DataFrame:
+    """Texels of what spark.read.format("image") gives: JPEG, PNG and others, 8 bits, blue first, one, three or four
+    channels; without alpha there is 0, as of other files. surface_id is the origin."""
+    i = images.select(F.col("image.origin").alias("surface_id"), F.col("image.width").alias("w"), F.col("image.height").alias("h"), F.col("image.nChannels").alias("n"), F.hex("image.data").alias("hex"))
+    i = i.where("w > 0 AND h > 0").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)))
+    byte = lambda k: F.conv(F.call_function("substring", F.col("hex"), (F.col("t") * F.col("n") + k) * 2 + 1, F.lit(2)), 16, 10).cast("int") / 255
+    first = byte(F.lit(0))
+    red, green = F.when(F.col("n") == 1, first).otherwise(byte(F.lit(2))), F.when(F.col("n") == 1, first).otherwise(byte(F.lit(1)))
+    alpha = F.when(F.col("n") == 4, byte(F.lit(3))).otherwise(0.0)
+    return i.select("surface_id", F.lit(0).alias("z"), F.floor(F.col("t") / F.col("w")).cast("int").alias("y"), (F.col("t") % F.col("w")).cast("int").alias("x"), red.alias("r"), green.alias("g"), first.alias("b"), alpha.alias("a"))
