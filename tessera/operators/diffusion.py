@@ -1,43 +1,65 @@
-"""Quantisation with error diffusion: a scan over a surface, so surfaces are the unit of work."""
+"""Quantisation with error diffusion: a scan over a surface, so surfaces are the unit of work.
+
+A surface is gathered to one row of arrays and must fit a task. A task scans many surfaces of one extent at a time: each
+step takes the same texel of all of them.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tessera.sources.relations import CHANNELS
 
 
 def diffused(values: np.ndarray, quantize, carried: bool) -> np.ndarray:
-    """One channel (height, width), quantised texel by texel: 7, 3, 5 and 1 sixteenths of the error go to the right and
+    """Channels (n, height, width), quantised texel by texel: 7, 3, 5 and 1 sixteenths of the error go to the right and
     to the three texels below. Without ``carried`` the error leaves out what was carried in, as in the engine whose
-    results are matched."""
-    height, width = values.shape
-    out, row, below = np.zeros_like(values), np.zeros(width + 2), np.zeros(width + 2)
+    results are matched. A channel may also be given alone."""
+    alone = values.ndim == 2
+    values = values[None] if alone else values
+    n, height, width = values.shape
+    out, row = np.zeros_like(values), np.zeros((n, width + 2))
     for y in range(height):
+        below = np.zeros((n, width + 2))
         for x in range(width):
-            wanted = values[y, x] + row[x + 1]
-            out[y, x] = quantize(wanted)
-            d = (wanted if carried else values[y, x]) - out[y, x]
-            row[x + 2] += 7 / 16 * d
-            below[x] += 3 / 16 * d
-            below[x + 1] += 5 / 16 * d
-            below[x + 2] += 1 / 16 * d
-        row, below = below, np.zeros(width + 2)
-    return out
+            wanted = values[:, y, x] + row[:, x + 1]
+            out[:, y, x] = quantize(wanted)
+            d = (wanted if carried else values[:, y, x]) - out[:, y, x]
+            row[:, x + 2] += 7 / 16 * d
+            below[:, x] += 3 / 16 * d
+            below[:, x + 1] += 5 / 16 * d
+            below[:, x + 2] += 1 / 16 * d
+        row = below
+    return out[0] if alone else out
 
 
 def diffuse(texels: DataFrame, bits: int = 1, threshold: float | None = None, channels=CHANNELS, carried: bool = False) -> DataFrame:
-    """Slice 0 of each surface quantised to ``bits``, or to 0 and 1 about a threshold, with error diffusion."""
+    """Slice 0 of each surface quantised to ``bits``, or to 0 and 1 about a threshold, with error diffusion. Surfaces are
+    whole rectangles from the origin."""
     top = 2**bits - 1
 
-    def level(v: float) -> float:
-        return float(v > threshold) if threshold is not None else min(max(np.floor(v * top + 0.5) / top, 0.0), 1.0)
+    def level(v: np.ndarray) -> np.ndarray:
+        return (v > threshold).astype(float) if threshold is not None else np.clip(np.floor(v * top + 0.5) / top, 0.0, 1.0)
 
-    def run(surface: pd.DataFrame) -> pd.DataFrame:
-        surface = surface.sort_values(["y", "x"])
-        shape = surface["y"].nunique(), surface["x"].nunique()
-        return surface.assign(**{c: diffused(surface[c].to_numpy().reshape(shape), level, carried).ravel() for c in channels})
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def scan(values: pd.Series, width: pd.Series) -> pd.Series:
+        out = [None] * len(values)
+        shapes = {}
+        for i, (v, w) in enumerate(zip(values, width, strict=True)):
+            shapes.setdefault((len(v) // w, w), []).append(i)
+        for (height, w), rows in shapes.items():
+            some = np.stack([np.asarray(values.iloc[i], float) for i in rows]).reshape(len(rows), height, w)
+            for i, done in zip(rows, diffused(some, level, carried), strict=True):
+                out[i] = done.ravel()
+        return pd.Series(out)
 
-    return texels.where("z = 0").groupBy("surface_id").applyInPandas(run, texels.schema)
+    place = ["z", "y", "x"]
+    whole = texels.where("z = 0").groupBy("surface_id").agg(F.sort_array(F.collect_list(F.struct(*place, *CHANNELS))).alias("t"), (F.max("x") + 1).alias("w"))
+    column = lambda c: F.transform("t", lambda t: t[c].cast("double"))
+    rows = whole.select("surface_id", "t", *[(scan(column(c), F.col("w")) if c in channels else column(c)).alias(c) for c in CHANNELS])
+    rows = rows.select("surface_id", F.explode(F.arrays_zip(F.col("t"), *CHANNELS)).alias("v"))
+    return rows.select("surface_id", *[F.col(f"v.t.{c}").alias(c) for c in place], *[F.col(f"v.{c}").alias(c) for c in CHANNELS]).select(texels.columns)

@@ -80,9 +80,9 @@ def _row_sql(value: str, bits: int, pad: str = "") -> str:
 
 
 _EXPONENT = "floor(log2(abs({v})))"
-_HALF = """CASE WHEN {v} = 0 THEN 0 WHEN abs({v}) >= pow(2.0, -14) THEN CASE WHEN floor(abs({v}) / pow(2.0, floor(log2(abs({v}))) - 10) + 0.5) = 2048 THEN (floor(log2(abs({v}))) + 16) * 1024 ELSE (floor(log2(abs({v}))) + 15) * 1024 + floor(abs({v}) / pow(2.0, floor(log2(abs({v}))) - 10) + 0.5) - 1024 END
+HALF = """CASE WHEN {v} = 0 THEN 0 WHEN abs({v}) >= pow(2.0, -14) THEN CASE WHEN floor(abs({v}) / pow(2.0, floor(log2(abs({v}))) - 10) + 0.5) = 2048 THEN (floor(log2(abs({v}))) + 16) * 1024 ELSE (floor(log2(abs({v}))) + 15) * 1024 + floor(abs({v}) / pow(2.0, floor(log2(abs({v}))) - 10) + 0.5) - 1024 END
   ELSE floor(CASE WHEN floor(abs({v}) / pow(2.0, floor(log2(abs({v}))) - 10) + 0.5) = 2048 THEN 1024 ELSE floor(abs({v}) / pow(2.0, floor(log2(abs({v}))) - 10) + 0.5) END * pow(2.0, floor(log2(abs({v}))) + 14)) END"""
-_UNHALF = "CASE WHEN bits % 32768 < 1024 THEN bits % 1024 * pow(2.0, -24) WHEN bits % 32768 >= 31744 THEN 'inf'::DOUBLE ELSE (1 + bits % 1024 / 1024.0::DOUBLE) * pow(2.0, bits % 32768 // 1024 - 15) END * CASE WHEN bits >= 32768 THEN -1 ELSE 1 END"
+_BACK = "CASE WHEN bits % 32768 < 1024 THEN bits % 1024 * pow(2.0, -24) WHEN bits % 32768 >= 31744 THEN 'inf'::DOUBLE ELSE (1 + bits % 1024 / 1024.0::DOUBLE) * pow(2.0, bits % 32768 // 1024 - 15) END * CASE WHEN bits >= 32768 THEN -1 ELSE 1 END"
 _SMALL = "(CASE WHEN {c} < pow(2.0, -14) THEN 0 ELSE (floor(log2({c})) + 15) * {m} + floor(({c} / pow(2.0, floor(log2({c}))) - 1) * {m}) END)::BIGINT"
 _UNSMALL = "CASE WHEN {c} < {m} THEN 0 ELSE (1 + {c} % {m} / {m}.0::DOUBLE) * pow(2.0, {c} // {m} - 15) END"
 QUERIES = {
@@ -91,8 +91,8 @@ QUERIES = {
 }
 SQL = {
     "half_floats": f"""WITH v AS (SELECT l_orderkey, l_partkey, l_suppkey, v, v::FLOAT::DOUBLE AS f FROM (SELECT *, unnest([l_extendedprice, l_discount * -1e-4::DOUBLE, l_tax * 1e-6::DOUBLE, l_quantity * l_discount]) AS v FROM lineitem)),
-        h AS (SELECT *, CASE WHEN abs(f) >= 65520 THEN 31744 ELSE ({_HALF.format(v='f')})::BIGINT END + CASE WHEN f < 0 THEN 32768 ELSE 0 END AS bits FROM v)
-        SELECT l_orderkey, l_partkey, l_suppkey, round(v, 9) AS v, bits, round({_UNHALF}, 9) AS back FROM h""",
+        h AS (SELECT *, CASE WHEN abs(f) >= 65520 THEN 31744 ELSE ({HALF.format(v='f')})::BIGINT END + CASE WHEN f < 0 THEN 32768 ELSE 0 END AS bits FROM v)
+        SELECT l_orderkey, l_partkey, l_suppkey, round(v, 9) AS v, bits, round({_BACK}, 9) AS back FROM h""",
     "packed_floats": f"""WITH {HDR}, f AS (SELECT y, x, r::FLOAT::DOUBLE AS fr, b::FLOAT::DOUBLE AS fb, r, g, b, greatest(r, g, b) AS m FROM b),
         e AS (SELECT *, CASE WHEN m > 0 THEN greatest(-16, floor(log2(m))) ELSE -16 END + 16 AS e0 FROM f), u AS (SELECT *, e0 + (floor(m / pow(2.0, e0 - 24) + 0.5) = 512)::INT AS e FROM e),
         p AS (SELECT y, x, {_SMALL.format(c='fr', m=64)} AS f11, {_SMALL.format(c='fb', m=32)} AS f10,
@@ -105,7 +105,7 @@ SQL = {
     "pack_88": _row_sql(f"{_wide('a', 8)} * 256 + {_wide('r', 8)}", 16, "00" * 8),
     "pack_24": _row_sql(f"{_wide('r', 8)} * 65536 + {_wide('g', 8)} * 256 + {_wide('b', 8)}", 24, "00" * 4),
     "pack_12": f"WITH {BLOCKS}, p AS (SELECT surface_id, y, x, ({_wide('r', 4)} * 256 + {_wide('g', 4)} * 16 + {_wide('b', 4)})::BIGINT AS p FROM b), w AS (SELECT surface_id, y, sum(p * (4096 ** x)::BIGINT)::BIGINT AS w FROM p GROUP BY 1, 2) SELECT surface_id, y, {_hex_sql('w', 48)} AS data FROM w",
-    "pack_half": f"WITH {BLOCKS}, f AS (SELECT surface_id, y, x, r::FLOAT::DOUBLE AS r, g::FLOAT::DOUBLE AS g, b::FLOAT::DOUBLE AS b, a::FLOAT::DOUBLE AS a FROM b), h AS (SELECT surface_id, y, x, " + ", ".join(f"({_HALF.format(v=c)})::BIGINT AS {c}" for c in "rgba") + " FROM f) SELECT surface_id, y, string_agg(" + " || ".join(_hex_sql(c, 16) for c in "rgba") + ", '' ORDER BY x) AS data FROM h GROUP BY 1, 2",
+    "pack_half": f"WITH {BLOCKS}, f AS (SELECT surface_id, y, x, r::FLOAT::DOUBLE AS r, g::FLOAT::DOUBLE AS g, b::FLOAT::DOUBLE AS b, a::FLOAT::DOUBLE AS a FROM b), h AS (SELECT surface_id, y, x, " + ", ".join(f"({HALF.format(v=c)})::BIGINT AS {c}" for c in "rgba") + " FROM f) SELECT surface_id, y, string_agg(" + " || ".join(_hex_sql(c, 16) for c in "rgba") + ", '' ORDER BY x) AS data FROM h GROUP BY 1, 2",
     "pack_shared": f"""WITH {BLOCKS}, m AS (SELECT *, greatest(r, g, b) AS m FROM b), e AS (SELECT *, CASE WHEN m > 0 THEN greatest(-16, floor(log2(m))) ELSE -16 END + 16 AS e0 FROM m), u AS (SELECT *, e0 + (floor(m / pow(2.0, e0 - 24) + 0.5) = 512)::INT AS e FROM e),
         p AS (SELECT surface_id, y, x, (floor(r / pow(2.0, e - 24) + 0.5) + 512 * floor(g / pow(2.0, e - 24) + 0.5) + 262144 * floor(b / pow(2.0, e - 24) + 0.5) + 134217728 * e)::BIGINT AS p FROM u) SELECT surface_id, y, string_agg({_hex_sql('p', 32)}, '' ORDER BY x) AS data FROM p GROUP BY 1, 2""",
     "unpack_1555": f"WITH {BLOCKS}, p AS (SELECT surface_id, y, x, {_wide('r', 5)} AS r, {_wide('g', 5)} AS g, {_wide('b', 5)} AS b, {_wide('a', 1)} AS a FROM b) SELECT surface_id, y, x, a * 32768 + r * 1024 + g * 32 + b AS bits, (r * 8 + r // 4)::INT AS r, (g * 8 + g // 4)::INT AS g, (b * 8 + b // 4)::INT AS b, (a * 255)::INT AS a FROM p",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import texel as T
 from tessera.operators import codecs, filters, space, stats
+from tessera.operators.diffusion import diffuse
 from tessera.operators.layout import target_extent
 from tessera.operators.sampling import bilinear_rms
 from tessera.sources.files import to_dds
@@ -66,6 +67,10 @@ class Surface:
     def flip(self, axis: str) -> Surface:
         return self.map(space.flip, axis, {"x": self.width, "y": self.height}[axis])
 
+    def squared(self, shape: filters.Filter | None = None, rounding: str = "none") -> Surface:
+        """Both sides as long as the rounded mean of them."""
+        return self.resize(*target_extent(self.width, self.height, 0, rounding, "cube"), shape)
+
     def normal_map(self) -> Surface:
         return replace(self, df=filters.to_normal_map(self.df, (self.width, self.height), mode=self.wrap), is_normal=True)
 
@@ -87,6 +92,22 @@ class Options:
     limit: int = 0
     rounding: str = "none"
     height_map: bool = False
+    dither: bool = False  # colours to 5-6-5 levels with error diffusion before encoding
+    quantize: bool = False  # the same without diffusion
+    binary_alpha: bool = False
+    alpha_threshold: float = 0.5
+
+
+def prepared(texels: DataFrame, options: Options) -> DataFrame:
+    """What is quantised before encoding: colours of the formats with 5-6-5 ends, and alpha to two values."""
+    if options.fmt in ("bc1", "bc1a", "bc2", "bc3") and options.dither:
+        for channel, bits in zip("rgb", (5, 6, 5), strict=True):
+            texels = diffuse(texels, bits, channels=(channel,))
+    elif options.fmt in ("bc1", "bc1a", "bc2", "bc3") and options.quantize:
+        texels = T.quantize_sizes(texels)
+    if options.binary_alpha:
+        texels = diffuse(texels, threshold=options.alpha_threshold, channels=("a",)) if options.dither else T.binarize(texels, options.alpha_threshold, ("a",))
+    return texels
 
 
 def compressed(surface: Surface, options: Options = Options()) -> DataFrame:  # noqa: B008
@@ -97,6 +118,7 @@ def compressed(surface: Surface, options: Options = Options()) -> DataFrame:  #
     out, mip = None, 0
     while True:
         shown = level.map(T.pack_normals) if level.is_normal else level.to_gamma(gamma)
+        shown = shown.map(prepared, options)
         codes = codecs.encode(T.to_bytes(shown.df), options.fmt, level.width, level.height).withColumn("mip", F.lit(mip))
         out = codes if out is None else out.unionByName(codes)
         if not options.mips or not level.has_next_mip():
@@ -105,7 +127,23 @@ def compressed(surface: Surface, options: Options = Options()) -> DataFrame:  #
         level = level.map(T.normalize) if level.is_normal else level
 
 
-def containers(surface: Surface, fmt: str = "bc1") -> DataFrame:
-    """(surface_id, content): a container with the base level of each surface."""
+def containers(surface: Surface, fmt: str = "bc1", options: Options | None = None, kind: str = "2d", dx10: bool = False) -> DataFrame:
+    """(surface_id, content): a container of each surface, with all levels that the options ask for; without options the
+    base level as it is."""
     extents = surface.df.select("surface_id").distinct().select("surface_id", F.lit(surface.width).alias("width"), F.lit(surface.height).alias("height"))
-    return to_dds(codecs.encode(T.to_bytes(surface.df), fmt, surface.width, surface.height), fmt, extents)
+    codes = compressed(surface, replace(options, fmt=fmt)) if options else codecs.encode(T.to_bytes(surface.df), fmt, surface.width, surface.height)
+    return to_dds(codes, fmt, extents, kind, dx10)
+
+
+def assembled(parts: list[Surface], fmt: str = "bc1", options: Options | None = None, kind: str = "cube") -> DataFrame:
+    """(surface_id, content): containers whose faces, or images of an array, are the surfaces of equal id of each part."""
+    first = parts[0]
+    if any((p.width, p.height) != (first.width, first.height) for p in parts) or (kind == "cube" and (len(parts) != 6 or first.width != first.height)):
+        raise ValueError("faces have one extent; a cube has six square ones")
+    codes = None
+    for face, part in enumerate(parts):
+        rows = compressed(part, replace(options, fmt=fmt)) if options else codecs.encode(T.to_bytes(part.df), fmt, part.width, part.height).withColumn("mip", F.lit(0))
+        rows = rows.withColumn("face", F.lit(face))
+        codes = rows if codes is None else codes.unionByName(rows)
+    extents = first.df.select("surface_id").distinct().select("surface_id", F.lit(first.width).alias("width"), F.lit(first.height).alias("height"))
+    return to_dds(codes, fmt, extents, kind, dx10=kind == "array", images=len(parts))

@@ -46,12 +46,15 @@ def test_against_sql(spark, duck, sf_dir_module, name):
     assert not off, off[:3]
 
 
-def test_colour_codes_are_near(spark, sf_dir):
+def test_codes_are_near(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    out = OURS["encode_bc1"](spark, sf_dir)
-    assert out.agg(F.max(F.length("code"))).first()[0] == 16
-    assert out.agg(F.avg("rms")).first()[0] < 55  # noise in three dimensions about a line
+    out = {r.format: r.rms for r in OURS["encode_errors"](spark, sf_dir).groupBy("format").agg(F.avg("rms").alias("rms")).collect()}
+    # noise in three or four dimensions about a line, and in one
+    assert out["bc1"] < 45 and out["bc2"] < 45 and out["bc3"] < 45 and out["bc4"] < 6 and out["bc5"] < 9
+    clear = OURS["encode_bc1a"](spark, sf_dir).agg(F.sum("wrong"), F.sum((F.col("low") == 0).cast("int"))).first()
+    assert clear[0] == 0 and clear[1] > 0
+    assert OURS["encode_rgbm"](spark, sf_dir).agg(F.avg("rms")).first()[0] < 45
 
 
 def test_coverage_scale(spark, sf_dir):
