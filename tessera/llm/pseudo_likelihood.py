@@ -4,11 +4,13 @@ The texts are read once: each slice of them becomes a row with the words it hold
 each token's word. Spark counts every word of the corpus into a table. The most frequent words are classes of their own,
 the rest fall by their counts into classes of equal mass, and a word's share of its class is its count's. The counts are
 joined back to the words of each slice, which leaves a byte for each token: its class. On these the window network
-(position-wise class embeddings, tanh, softmax over classes) is trained in numpy, each partition from the same weights on
-every ``STRIDE``-th token of all its texts, and the weights are averaged by tokens; this is done ``ROUNDS`` times, each
-time on other tokens, until every token was predicted once. The
-last pass sums log P(class | window) + log P(word | class) over every token of a document. No word shares another's
-count. The network has a fixed size; the driver gets one row for each different count and each partition's weights.
+(position-wise class embeddings, tanh, softmax over classes) is trained in numpy. Documents are dealt to shards of about
+``SHARD`` tokens by a hash of their ids and classes; each shard trains from the same weights on every ``STRIDE``-th token
+of all its texts, in an order that the hashes give, and the weights are averaged by tokens. This is done ``ROUNDS``
+times, each time on other tokens, until every token was predicted once. So scores don't depend on how the input lies in
+partitions. The last pass sums log P(class | window) + log P(word | class) over every token of a document. No word
+shares another's count. The network has a fixed size; the driver gets one row for each different count and the averaged
+weights.
 """
 
 from __future__ import annotations
@@ -98,11 +100,10 @@ class Network:
         self.out -= h.T @ p
         self.base -= p.sum(axis=0)
         self.bias -= back.sum(axis=0)
-        row = np.arange(len(at))
-        for place, shift in enumerate(WINDOW):
-            one = np.zeros((CLASSES + 1, len(at)), np.float32)  # the sum over the tokens of each class, as a product
-            one[padded[at + shift], row] = 1
-            self.embed[place] -= one @ back
+        dims, flat = np.arange(DIM), back.ravel()
+        for place, shift in enumerate(WINDOW):  # the sum over the tokens of each class
+            cells = (padded[at + shift][:, None] * DIM + dims).ravel()
+            self.embed[place] -= np.bincount(cells, flat, (CLASSES + 1) * DIM).reshape(CLASSES + 1, DIM)
 
 
 def tokens(column: pa.Array, bits: int = BITS, most: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -265,10 +266,24 @@ def classed(slices: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> Dat
     return pairs.applyInArrow(joined, "doc_ids array<long>, at array<long>, classes binary, shares array<double>")
 
 
-def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, class of each token, tokens before each document and after the last) of each slice."""
-    for i in range(batch.num_rows):
-        yield i, np.frombuffer(batch.column("classes")[i].as_buffer(), np.uint8).astype(np.int64), batch.column("at")[i].values.to_numpy()
+SHARD = 1 << 21  # tokens
+DOCS = "doc_id long, key long, n_tokens long, classes binary, share double"
+
+
+def by_document(slices: DataFrame) -> DataFrame:
+    """(doc_id, key, n_tokens, classes, share): the rows of classed() taken apart; key tells documents apart but for those
+    with the same id and classes."""
+    each = F.explode(F.arrays_zip(F.col("doc_ids"), F.slice("at", 1, F.size("doc_ids")).alias("first"), F.slice("at", 2, F.size("doc_ids")).alias("last"), F.col("shares"))).alias("d")
+    rows = slices.select("classes", each)
+    part = F.call_function("substring", F.col("classes"), (F.col("d.first") + 1).cast("int"), (F.col("d.last") - F.col("d.first")).cast("int"))
+    rows = rows.select(F.col("d.doc_ids").alias("doc_id"), (F.col("d.last") - F.col("d.first")).alias("n_tokens"), part.alias("classes"), F.col("d.shares").alias("share"))
+    return rows.select("doc_id", F.xxhash64("doc_id", "classes").alias("key"), "n_tokens", "classes", "share")
+
+
+def texts_of(classes: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each token, tokens before each document and after the last)."""
+    flat = b"".join(classes.to_pylist())
+    return np.frombuffer(flat, np.uint8).astype(np.int64), np.concatenate(([0], np.cumsum(n)))
 
 
 def turn_of(turn: int) -> slice:
@@ -276,32 +291,45 @@ def turn_of(turn: int) -> slice:
     return slice(turn * STRIDE // ROUNDS, None, STRIDE)
 
 
-def trained(slices: DataFrame, total: np.ndarray) -> Network:
-    """slices: (at, classes); total: the mass of each class."""
-    spark = slices.sparkSession
+def learnt(net: Network, classes: pa.Array, n: np.ndarray, turn: int) -> int:
+    """Train on the texts in their order, some at a time; the number of tokens that were predicted."""
+    seen, first = 0, 0
+    ends = np.cumsum(n)
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 18), "right")))
+        padded, place = padded_classes(*texts_of(classes.slice(first, last - first), n[first:last]))
+        place = place[turn_of(turn)]
+        place = place[np.random.default_rng(len(place)).permutation(len(place))]
+        for at in range(0, len(place), STEP_TOKENS):
+            net.learn(padded, place[at : at + STEP_TOKENS], RATE / (1 + 0.0005 * seen / STEP_TOKENS))
+            seen += len(place[at : at + STEP_TOKENS])
+        first = last
+    return seen
+
+
+def _trainer(weights, turn: int):
+    def train(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([("key", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        own, n = Network(weights.value.copy()), shard.column("n_tokens").to_numpy()
+        seen = learnt(own, pa.concat_arrays(shard.column("classes").chunks), n, turn)
+        flat = own.flat.astype(np.float64) * seen
+        return pa.table({"i": np.arange(len(flat), dtype=np.int32), "w": flat, "n": np.full(len(flat), seen)})
+
+    return train
+
+
+def trained(docs: DataFrame, total: np.ndarray) -> Network:
+    """docs: as by_document gives; total: the mass of each class."""
+    spark = docs.sparkSession
     net = Network.start(total + 1.0)
+    shards = int(total.sum()) // SHARD + 1
+    dealt = docs.where("n_tokens > 0").select(F.pmod("key", F.lit(shards)).alias("shard"), "key", "doc_id", "n_tokens", "classes")
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(net.flat)
-
-        def train(batches: Iterable[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
-            own, seen = Network(shared.value.copy()), 0
-            for batch in batches:
-                for _, classes, at in texts_of(batch):
-                    padded, place = padded_classes(classes, at)
-                    place = place[turn_of(turn)]
-                    place = place[np.random.default_rng(len(place)).permutation(len(place))]
-                    for first in range(0, len(place), STEP_TOKENS):
-                        own.learn(padded, place[first : first + STEP_TOKENS], RATE / (1 + 0.0005 * seen / STEP_TOKENS))
-                        seen += len(place[first : first + STEP_TOKENS])
-            if seen:
-                for first in range(0, Network.size, 4096):
-                    part = own.flat[first : first + 4096].astype(np.float64) * seen
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(part), dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), seen))], names=["i", "w", "n"])
-
-        sums = slices.select("at", "classes").mapInArrow(train, "i int, w double, n long").groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).toPandas()
+        train = _trainer(spark.sparkContext.broadcast(net.flat), turn)
+        sums = dealt.groupBy("shard").applyInArrow(train, "i int, w double, n long").groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).toPandas()
         if len(sums):  # a row for each weight
             flat = np.zeros(Network.size)
-            flat[sums["i"].to_numpy()] = sums["w"].to_numpy() / sums["n"].to_numpy()
+            flat[sums["i"].to_numpy()] = sums["w"].to_numpy() / np.maximum(sums["n"].to_numpy(), 1)
             net = Network(flat)
     return net
 
@@ -310,30 +338,31 @@ def scored(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, log_prob (the sum over tokens), mean_log_prob.
 
     Words are the runs without the white space of ASCII, A-Z lower-cased. Null texts and texts without words have
-    0 tokens, a log_prob of 0 and a null mean_log_prob. An empty table gives an empty result. Other columns of docs
-    aren't read.
+    0 tokens, a log_prob of 0 and a null mean_log_prob. Rows that repeat a doc_id and its text have one score. An empty
+    table gives an empty result. Other columns of docs aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = written(sliced(docs), "slices")
     counts = written(corpus_counts(parts), "words")
     words = vocabulary(counts)
-    parts = written(classed(parts, counts, words), "classes")
-    shared = docs.sparkSession.sparkContext.broadcast(trained(parts, words.total).flat)
+    rows = written(by_document(classed(parts, counts, words)), "classes")
+    shared = docs.sparkSession.sparkContext.broadcast(trained(rows, words.total).flat)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(shared.value)
         for batch in batches:
-            for i, classes, at in texts_of(batch):
-                padded, place = padded_classes(classes, at)
-                logs = np.zeros(len(place))
-                for b in range(0, len(place), BLOCK):
-                    logs[b : b + BLOCK] = net.log_probabilities(padded, place[b : b + BLOCK])
-                sums, n = np.concatenate(([0.0], np.cumsum(logs))), np.diff(at)
-                total = sums[at[1:]] - sums[at[:-1]] + batch.column("shares")[i].values.to_numpy()
-                mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(n), pa.array(total), mean], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return parts.mapInArrow(score, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+            n = batch.column("n_tokens").to_numpy()
+            classes, at = texts_of(batch.column("classes"), n)
+            padded, place = padded_classes(classes, at)
+            logs = np.zeros(len(place))
+            for b in range(0, len(place), BLOCK):
+                logs[b : b + BLOCK] = net.log_probabilities(padded, place[b : b + BLOCK])
+            sums = np.concatenate(([0.0], np.cumsum(logs)))
+            total = sums[at[1:]] - sums[at[:-1]] + batch.column("share").to_numpy()
+            mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total), mean], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+
+    return rows.select("doc_id", "n_tokens", "classes", "share").mapInArrow(score, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
 
 
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

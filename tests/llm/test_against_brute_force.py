@@ -6,6 +6,7 @@ import base64
 import glob
 import os
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -151,12 +152,54 @@ def test_language_model_is_a_distribution(spark, texts):
     assert [padded[p - 2] == edge for p in place] == [True, True, True] and padded[place[0] + 1] == words.classes[buckets[1]]
 
 
-def test_language_model_learns(spark, texts):
-    rows = pseudo_likelihood.op4_pseudo_likelihood(spark, DATA).collect()
-    assert {r.doc_id for r in rows} == set(texts)
-    assert all(r.n_tokens == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])) for r in rows)
-    mixed_up = spark.createDataFrame([(i, " ".join(sorted(t.split()))) for i, t in texts.items()], "doc_id long, text string")
-    assert mixed_up.count() and np.mean([r.mean_log_prob for r in rows]) > -np.log(pseudo_likelihood.BUCKETS)
+def unigram(texts):
+    """The mean over documents of the mean log frequency of their own words."""
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)})) for i, t in texts.items()}
+    n = Counter(w for ws in words.values() for w in ws)
+    total = sum(n.values())
+    return {i: np.mean([np.log(n[w] / total) for w in ws]) for i, ws in words.items() if ws}
+
+
+def test_language_model_learns(spark):
+    """Against unigram frequencies fitted on the same words, and against the same words in another order."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    got = {r.doc_id: r for r in pseudo_likelihood.op4_pseudo_likelihood(spark, sf).collect()}
+    assert set(got) == set(texts)
+    assert all(r.n_tokens == len(re.findall(r"[^\x20\x09-\x0D]+", texts[i])) for i, r in got.items())
+    base = unigram(texts)
+    assert np.mean([got[i].mean_log_prob - base[i] for i in base]) > 0.2
+    rng = np.random.default_rng(1)
+    mixed_up = {i: " ".join(rng.permutation(t.split())) for i, t in texts.items() if i % 10 == 0}
+    both = spark.createDataFrame([*texts.items(), *[(i + 10**6, t) for i, t in mixed_up.items()]], "doc_id long, text string")
+    rows = {r.doc_id: r.mean_log_prob for r in pseudo_likelihood.scored(both).collect()}
+    long = [i for i in mixed_up if got[i].n_tokens >= 50]
+    assert np.mean([rows[i] > rows[i + 10**6] for i in long]) > 0.75
+    assert np.mean([rows[i] - rows[i + 10**6] for i in long]) > 0
+
+
+def test_language_model_against_a_loop(spark, texts):
+    """The scores of a few documents, token by token from the weights; and the same scores for any partitions."""
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    parts = pseudo_likelihood.sliced(docs.repartition(3)).cache()
+    counts = pseudo_likelihood.corpus_counts(parts).cache()
+    words = pseudo_likelihood.vocabulary(counts)
+    rows = pseudo_likelihood.by_document(pseudo_likelihood.classed(parts, counts, words)).cache()
+    net = pseudo_likelihood.trained(rows, words.total)
+    one = {r.doc_id: r.log_prob for r in pseudo_likelihood.scored(docs.repartition(5)).collect()}
+    two = {r.doc_id: r.log_prob for r in pseudo_likelihood.scored(docs.coalesce(1)).collect()}
+    assert all(one[i] == pytest.approx(two[i], rel=1e-5, abs=1e-3) for i in texts)
+    edge = pseudo_likelihood.CLASSES
+    for r in rows.orderBy("n_tokens").limit(8).collect():
+        ids = list(r.classes)
+        total = r.share
+        for p, c in enumerate(ids):
+            h = net.bias.astype(float).copy()
+            for place, shift in enumerate(pseudo_likelihood.WINDOW):
+                h += net.embed[place][ids[p + shift] if 0 <= p + shift < len(ids) else edge]
+            z = np.tanh(h) @ net.out + net.base
+            total += z[c] - np.log(np.exp(z).sum())
+        assert one[r.doc_id] == pytest.approx(total, rel=1e-4, abs=1e-2)
 
 
 def test_neighbours(spark, duck):
