@@ -8,13 +8,15 @@ Work on a group of n near copies stays near n. Texts with equal sets are one nod
 most bands with others is the pivot, and each member is compared with its pivot alone. What this can miss is found
 exactly: let P be the pivot, I the part of a set inside P and R the rest. Members A and B of P's family that are not
 yet in one component can be linked only if min(|I_A|, |I_B|) + |R_A & R_B| is large enough for the threshold. Pairs
-with a shared element in R are found by an equi-join on (pivot, element), the others only if B is smaller than P.
-These are confirmed on full sets as well.
+with a shared element in R are found by an equi-join on (pivot, element). Pairs without one need 85 % of either set
+inside P and sizes within 85 % of each other, so they are found by an equi-join on (pivot, size class): a large family
+whose members are all a little too far from P has none. These are confirmed on full sets as well.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -91,6 +93,11 @@ def enough(inter: Column, n_a: Column, n_b: Column) -> Column:
     return (100 + PERCENT) * inter >= PERCENT * (n_a + n_b)
 
 
+def size_class(n: Column) -> Column:
+    """Sizes by classes of about two per cent."""
+    return F.floor(F.log(F.greatest(n, F.lit(1.0))) / math.log(1.02) + 1e-9)
+
+
 def spread(c: str, runs: int = 64) -> Column:
     """One of so many runs: a key that very many rows share is joined run by run."""
     return F.pmod(F.xxhash64(c, F.lit("run")), F.lit(runs))
@@ -163,7 +170,12 @@ def rest_links(star: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
     near = near.where(differ & enough(least + F.least("out_a", "out_b"), F.col("n_a"), F.col("n_b")))
     near = near.groupBy("pivot", "node_a", "node_b").agg(F.count(F.lit(1)).alias("both"), *[F.first(c).alias(c) for c in ("inside_a", "inside_b", "n_a", "n_b")])
     near = near.where(enough(least + F.col("both"), F.col("n_a"), F.col("n_b")))
-    plain = side(family.where("apart"), "_a").join(side(family, "_b"), "pivot").where(differ & enough(least, F.col("n_a"), F.col("n_b")))
+    # without a common rest each set has PERCENT of its elements inside, and sizes differ by no more
+    within = family.where(F.col("inside") * 100 >= F.col("n") * PERCENT)
+    most = F.col("inside_a") * ((100 + PERCENT) / PERCENT) - F.col("n_a")
+    sizes = F.sequence(size_class(F.col("n_a") * (PERCENT / 100)), size_class(F.greatest(most, F.col("n_a") * (PERCENT / 100))))
+    one = side(within.where("apart"), "_a").withColumn("size", F.explode(sizes))
+    plain = one.join(side(within, "_b").withColumn("size", size_class(F.col("n_b"))), ["pivot", "size"]).where(differ & enough(least, F.col("n_a"), F.col("n_b")))
     pairs = near.select("node_a", "node_b").union(plain.select("node_a", "node_b"))
     pairs = written(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "pairs")
     pairs = compared(pairs, sets, "a", "b")
@@ -177,7 +189,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Words are the runs without the white space of ASCII, A-Z lower-cased; the set of a text holds its distinct 5-word
     shingles, or its whole word sequence if that is shorter. Texts are linked if 100 * intersection >= 85 * union.
     Null and blank texts have an empty set and are linked with nothing: each stays as its own component. Rows that
-    repeat a doc_id share its component; a null doc_id never names a component. An empty table gives an empty result.
+    repeat a doc_id have the component of their own text; a null doc_id never names a component. An empty table gives an
+    empty result.
     """
     return decided(docs).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
