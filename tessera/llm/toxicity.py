@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier of character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE`` of each class, those of least hash, texts whole):
-presence counts of hashed byte n-grams give the log-count ratios; n-grams whose ratio is below ``MIN_RATIO`` or below
+presence counts of hashed character n-grams give the log-count ratios; n-grams whose ratio is below ``MIN_RATIO`` or below
 ``MIN_ERRORS`` standard errors are left out; a logistic regression is then trained in numpy on the ratios of the
 n-grams that a text has, and its intercept is moved from the sample's class shares to those of all labelled rows.
 Scoring is a column expression, one pass over the texts with a weight table of fixed size.
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
-from tessera.llm.texthash import BYTE, LOWER, SPACE, STEP, U, distinct, mixed, slices
+from tessera.llm.texthash import BYTE, FOLD, LOWER, SPACE, STEP, U, distinct, mixed, slices
 
 SAMPLE = {1: 1500, 0: 4500}
 SIZES = (4, 5, 6, 7)
@@ -27,8 +27,9 @@ MIN_RATIO, MIN_ERRORS = 1.0, 3.0
 REJECT = 0.7
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of each byte n-gram that lies within a row; rows begin and end with a blank."""
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of each character of rows of UTF-8, A-Z lower-cased, white space as blanks; rows begin and end with a
+    blank."""
     n = len(offsets) - 1
     padded = np.full(len(data) + 2 * n, 0x20, np.uint8)
     owner = np.repeat(np.arange(n), np.diff(offsets) + 2)
@@ -36,12 +37,22 @@ def grams(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray,
     ends = offsets[1:] + 2 * np.arange(1, n + 1)
     inner[ends - 1] = inner[np.concatenate(([0], ends[:-1]))] = False
     padded[inner] = np.where(SPACE[data], 0x20, LOWER[data])
-    value = BYTE[padded]
+    lead = np.flatnonzero(padded & 0xC0 != 0x80)
+    size = np.diff(np.append(lead, len(padded)))
+    value = BYTE[padded[lead]]
+    for k in range(1, 4):
+        long = np.flatnonzero(size > k)
+        value[long] = value[long] * FOLD + BYTE[padded[lead[long] + k]]
+    return owner[lead], value
+
+
+def grams(owner: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of each n-gram of characters that lies within a row."""
+    if len(value) < size:
+        return owner[:0], np.zeros(0, np.int64)
     total = value
     for k in range(1, size):
         total = total[:-1] * STEP + value[k:]
-    if len(padded) < size:
-        return owner[:0], np.zeros(0, np.int64)
     row = owner[: len(total)]
     whole = row == owner[size - 1 :]
     return row[whole], (mixed(total[whole]) >> U(64 - BITS)).astype(np.int64)
@@ -50,9 +61,10 @@ def grams(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray,
 def features(column: pa.Array, chosen: np.ndarray | None = None):
     """(first row, row, bucket) of the distinct n-gram buckets of rows, slice by slice; of those chosen, if given."""
     for first, data, offsets in slices(column, 1 << 19):
+        owner, value = characters(data, offsets)
         found = []
         for size in SIZES:
-            row, bucket = grams(data, offsets, size)
+            row, bucket = grams(owner, value, size)
             if chosen is not None:
                 hit = chosen[bucket]
                 row, bucket = row[hit], bucket[hit]
@@ -109,6 +121,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         picked = some if picked is None else picked.union(some)
     picked = picked.withColumnRenamed("doc_id", "_id")  # at most sum(SAMPLE) rows of 12 bytes: broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_id", "text", "toxic")
+    # of rows that repeat an id one is learnt from, so that the sample keeps its bound
+    rows = rows.groupBy("_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
     of = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     odds = of[1] / of[0] if len(of) == 2 else None
 
@@ -148,7 +162,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with toxicity_score and toxicity_predicted.
 
     Null and empty texts get the score of a text without features. Without labelled rows the score of every text is
-    0.5. Labels that are null or neither 0 nor 1 are not learnt from; of a document with both labels, both are.
+    0.5. Labels that are null or neither 0 nor 1 are not learnt from; of a document with both labels, both are. Of rows
+    that repeat a doc_id the text of least hash is learnt from. Columns of docs with the names of the results are replaced.
     """
     score = scorer(docs.sparkSession, *fitted(docs, labels))
     return docs.withColumn("toxicity_score", score(docs["text"].cast("string"))).withColumn("toxicity_predicted", (F.col("toxicity_score") >= REJECT).cast("int"))
