@@ -18,6 +18,7 @@ from tessera.llm.common import table, written
 
 FAN, LEVELS = 16, 3  # 4096 slots an archive
 SLOTS = FAN**LEVELS
+NAMELESS = -(2**62)  # the first archive of pages without a page_id
 
 
 def warc_record(url: Column, content: Column, number: Column) -> Column:
@@ -34,13 +35,15 @@ def warc_record(url: Column, content: Column, number: Column) -> Column:
 def archived(pages: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(archive, slot, page_id, offset, length, content_hash): pages by page_id in archives of ``slots`` records.
 
-    A null page_id can't be placed and is left out; of pages that repeat a page_id each is a record of its own after
-    the others of its slot, told apart by ``copy``. Null urls and texts count as empty.
+    Pages without a page_id lie in archives of their own, far below the others, by hashes of url and content. Of pages
+    that repeat a page_id each is a record of its own after the others of its slot, told apart by ``copy``. Null urls and
+    texts count as empty.
     """
     record = warc_record(F.col("url"), F.col("html"), F.col("page_id"))
-    rows = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), record.alias("record"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), record.alias("record"))
+    apart = F.lit(NAMELESS) + F.pmod(F.xxhash64("record"), F.lit(2**32))
     rows = rows.select(
-        F.floor(F.col("page_id") / slots).alias("archive"), F.pmod("page_id", F.lit(slots)).cast("int").alias("slot"), "page_id",
+        F.coalesce(F.floor(F.col("page_id") / slots), apart).alias("archive"), F.coalesce(F.pmod("page_id", F.lit(slots)), F.pmod(F.xxhash64(F.lit("slot"), "record"), F.lit(slots))).cast("int").alias("slot"), "page_id",
         F.length("record").cast("long").alias("length"), F.sha2("record", 256).alias("content_hash"),
     )
     order = Window.partitionBy("archive").orderBy("slot", "content_hash")

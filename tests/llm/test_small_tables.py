@@ -89,6 +89,13 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity(none, marked).count() == 0
     assert {r.toxicity_score for r in toxicity.toxicity(docs, labels(spark)).collect()} == {0.5}
     assert toxicity.drop_toxic(docs, labels(spark)).columns == docs.columns
+    import pyarrow as pa
+
+    column = pa.array(["aé日b", "", "éé"])
+    (_, data, offsets), = toxicity.slices(column)
+    owner, value = toxicity.characters(data, offsets)
+    assert owner.tolist() == [0] * 6 + [1] * 2 + [2] * 4 and value[2] == value[9] == value[10] != value[3]
+    assert len(toxicity.grams(owner, value, 4)[0]) == 3 + 1
 
 
 def test_language_model(docs, none):
@@ -122,6 +129,8 @@ def test_fixity(spark):
     assert fixity.fixity(pages, pages).count() == 0
     other = pages.where("page_id <> 5000").union(spark.createDataFrame([(9, "n", "new")], pages.schema))
     found = {(r.page_id, r.content_hash is None, r.replica_hash is None) for r in fixity.fixity(pages, other).collect()}
-    assert found == {(5000, False, True), (9, True, False)}
+    assert found == {(5000, False, True), (9, True, False), (None, False, True)}
+    lost = {(r.page_id, r.content_hash is None, r.replica_hash is None) for r in fixity.fixity(pages, pages.where("page_id IS NOT NULL")).collect()}
+    assert lost == {(None, False, True)}  # a record without an id is missed too
     none = spark.createDataFrame([], pages.schema)
     assert fixity.fixity(none, none).count() == 0
