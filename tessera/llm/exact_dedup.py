@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ROW, lower_ascii, only_rows, table, with_rows, written
+from tessera.llm.common import ROW, lower_ascii, table, written
 
 KEY = ["digest", "check", "n_bytes"]
 
@@ -81,10 +81,15 @@ def decided(rows: DataFrame, fan: int = 16) -> DataFrame:
 
 
 def keep_unique(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their columns: one row of each group of equal texts."""
-    rows = with_rows(docs)
-    out = decided(written(numbered_digests(rows, F.col(ROW)), "digests"))
-    return only_rows(rows, out.where("kept")).select(docs.columns)
+    """The rows of docs that stay, with their columns: one row of each group of equal texts. A row is known by two hashes
+    of all its columns, so no copy of the texts is written; rows that are equal in every column are folded to one."""
+    name = F.struct(F.xxhash64(*docs.columns).alias("a"), F.xxhash64(F.lit("second"), *docs.columns).alias("b"))
+    kept = decided(written(numbered_digests(docs, name), "digests")).where("kept").groupBy(F.col("row").alias(ROW)).agg(F.count(F.lit(1)).alias("n"))
+    kept = written(kept, "kept")
+    rows = docs.withColumn(ROW, name)
+    once = rows.join(kept.where("n = 1").select(ROW).hint("merge"), ROW, "left_semi")
+    more = rows.join(kept.where("n > 1").select(ROW), ROW, "left_semi").dropDuplicates([ROW])
+    return once.unionByName(more).select(docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
