@@ -2,8 +2,9 @@
 
 On a bounded sample of vectors the exact neighbour graph is built and cut into balanced parts; a small network learns
 which parts hold the neighbours of a vector. Every vector of the table is then indexed under its most probable part,
-and each query is compared, by exact inner products, with the vectors of its several most probable parts. How many
-parts that takes is measured on the sample. Equal vectors are one entry with its smallest identifiers, as no more of
+and each query is compared, by exact inner products, with the vectors of its several most probable parts: as many as
+their probabilities call for, a few where the router is sure and more where it isn't. How much probability that takes is
+measured on the sample. The number of parts grows with the table. Equal vectors are one entry with its smallest identifiers, as no more of
 them can be among the nearest; parts are dealt out in chunks of bounded size, whatever a part's share of the rows.
 """
 
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table, written
 
-SAMPLE = 4096  # vectors that the graph, the parts and the network are fitted on
-PART_SAMPLE = 128  # sample vectors of a part
+SAMPLE = 8192  # vectors that the graph, the parts and the network are fitted on
+PART_SAMPLE = 32  # sample vectors of a part, at least
+PART_ROWS, FEW = 800, 32  # rows of a part, at least, if there are more than FEW parts
 CHUNK = 4096  # rows, and queries, of a comparison
 SURE = 0.94  # recall on the sample that the number of probed parts reaches
 
@@ -28,12 +30,26 @@ SURE = 0.94  # recall on the sample that the number of probed parts reaches
 class Router:
     layers: list[np.ndarray]
     parts: int
-    probes: int
+    reach: float = 1.0
 
-    def ranked(self, x: np.ndarray) -> np.ndarray:
-        """The parts of each row, the most probable first."""
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of each row, the most probable first, and the probability of all that come before each."""
         w1, b1, w2, b2 = self.layers
-        return np.argsort(-(np.maximum(x @ w1 + b1, 0) @ w2 + b2), axis=1, kind="stable").astype(np.int32)
+        z = np.maximum(x @ w1 + b1, 0) @ w2 + b2
+        p = np.exp(z - z.max(axis=1, keepdims=True), dtype=np.float64)
+        p /= p.sum(axis=1, keepdims=True)
+        order = np.argsort(-p, axis=1, kind="stable")
+        p = np.take_along_axis(p, order, 1)
+        return order.astype(np.int32), np.cumsum(p, axis=1) - p
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The part that each row lies in."""
+        return self.ranked(x)[0][:, 0]
+
+    def probed(self, x: np.ndarray) -> list[np.ndarray]:
+        """The parts that each row is sought in: those before which less than ``reach`` comes."""
+        order, before = self.ranked(x)
+        return [parts[: max(1, n)] for parts, n in zip(order, (before <= self.reach).sum(axis=1), strict=True)]
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -72,19 +88,21 @@ def balanced_parts(near: np.ndarray, parts: int, seed: int = 9) -> np.ndarray:
     return part
 
 
-def fit(x: np.ndarray, k: int = 20, hidden: int = 128, epochs: int = 40, seed: int = 9) -> Router:
-    """The router of a sample (rows are vectors, few enough for one machine: at most SAMPLE)."""
+def fit(x: np.ndarray, most: int, k: int = 20, links: int = 50, hidden: int = 256, epochs: int = 20, seed: int = 9) -> Router:
+    """The router of a sample (rows are vectors, few enough for one machine: at most SAMPLE) with ``most`` parts at most.
+    It learns from a graph of ``links`` neighbours; the first k of them measure what it must reach."""
     x = x.astype(np.float32)
-    parts = 1 << max(0, int(np.log2(max(1, len(x) // PART_SAMPLE))))
+    parts = 1 << max(0, int(np.log2(max(1, min(most, len(x) // PART_SAMPLE)))))
     dim = x.shape[1]
     if parts == 1:
-        return Router([np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32)], 1, 1)
-    near = neighbour_graph(x, k)
+        return Router([np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32)], 1)
+    links = min(links, len(x) - 1)
+    near = neighbour_graph(x, links)
     part = balanced_parts(near, parts)
     wanted = np.zeros((len(x), parts), np.float32)
-    for column in range(k):
-        wanted[np.arange(len(x)), part[near[:, column]]] += 1 / (k + 1)
-    wanted[np.arange(len(x)), part] += 1 / (k + 1)
+    for column in range(links):
+        wanted[np.arange(len(x)), part[near[:, column]]] += 1 / (links + 1)
+    wanted[np.arange(len(x)), part] += 1 / (links + 1)
     rng = np.random.default_rng(seed)
     w = [rng.normal(0, dim**-0.5, (dim, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, parts)), np.zeros(parts)]
     w = [a.astype(np.float32) for a in w]
@@ -100,13 +118,10 @@ def fit(x: np.ndarray, k: int = 20, hidden: int = 128, epochs: int = 40, seed: i
             for i, g in enumerate((x[rows].T @ e, e.sum(axis=0), h.T @ d, d.sum(axis=0))):
                 m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
                 w[i] = w[i] - 0.003 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    router = Router(w, parts, parts)
-    ranked = router.ranked(x)
-    home = ranked[:, 0]
-    rank_of = np.argsort(ranked, axis=1)  # the place of each part in a row's ranking
-    places = np.take_along_axis(rank_of, home[near], 1)
-    recall = [(places < n).mean() for n in range(1, parts + 1)]
-    router.probes = next((n for n, r in enumerate(recall, 1) if r >= SURE), parts)
+    router = Router(w, parts)
+    order, before = router.ranked(x)
+    places = np.take_along_axis(np.argsort(order, axis=1), order[:, 0][near[:, :k]], 1)
+    router.reach = float(np.quantile(np.take_along_axis(before, places, 1), SURE, method="higher"))
     return router
 
 
@@ -144,14 +159,21 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     sample = found.orderBy(F.xxhash64("v"), "entry").limit(SAMPLE).select("v").toPandas()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    model = spark.sparkContext.broadcast(router := fit(np.stack(sample["v"].to_numpy())))
+    most = max(FEW, found.count() // PART_ROWS)
+    model = spark.sparkContext.broadcast(fit(np.stack(sample["v"].to_numpy()), most, k))
+
+    stacked = lambda v: np.stack(v.to_numpy()).astype(np.float32)
+
+    @F.pandas_udf("int")
+    def home(v: pd.Series) -> pd.Series:
+        return pd.Series(model.value.home(stacked(v)) if len(v) else [], dtype="int32")
 
     @F.pandas_udf("array<int>")
-    def route(v: pd.Series) -> pd.Series:
-        return pd.Series(list(model.value.ranked(np.stack(v.to_numpy()).astype(np.float32))) if len(v) else [])
+    def probed(v: pd.Series) -> pd.Series:
+        return pd.Series(model.value.probed(stacked(v)) if len(v) else [])
 
-    placed = written(found.select("entry", "v", route("v")[0].alias("part")), "placed")
-    sent = written(targets.select("target", "v", F.explode(F.slice(route("v"), 1, router.probes)).alias("part")), "sent")
+    placed = written(found.select("entry", "v", home("v").alias("part")), "placed")
+    sent = written(targets.select("target", "v", F.explode(probed("v")).alias("part")), "sent")
     chunks = lambda df, name: df.groupBy("part").agg((F.floor(F.count(F.lit(1)) / CHUNK) + 1).alias(name))
     sizes = chunks(placed, "of_rows").join(chunks(sent, "of_queries"), "part")  # a row for each part
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))

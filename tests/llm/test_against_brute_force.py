@@ -202,11 +202,12 @@ def test_language_model_against_a_loop(spark, texts):
         assert one[r.doc_id] == pytest.approx(total, rel=1e-4, abs=1e-2)
 
 
-def test_neighbours(spark, duck):
-    rows = duck.sql("SELECT vec_id, embedding FROM embeddings ORDER BY 1").fetchall()
+@pytest.mark.parametrize("data", [DATA, "/root/testdata/sf0.1"], ids=["one part of several", "parts"])
+def test_neighbours(spark, duck, data):
+    rows = duck.sql(f"SELECT vec_id, embedding FROM '{data}/embeddings.parquet' ORDER BY 1").fetchall()
     x = np.array([r[1] for r in rows], np.float64)
     got = {}
-    for r in neighbours.op9_neighbours(spark, DATA).collect():
+    for r in neighbours.op9_neighbours(spark, data).collect():
         got.setdefault(r.query_id, {})[r.vec_id] = r.score
     hits = 0
     for q in range(0, len(x), 20):
@@ -218,6 +219,21 @@ def test_neighbours(spark, duck):
     assert hits / (20 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize(("spread", "share"), [(0.05, 0.15), (0.1, 0.5)])
+def test_the_router_reads_few_parts(spread, share):
+    """Vectors in 40 clusters, queries that it wasn't fitted on: nine in ten neighbours in a bounded share of the rows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 64))[rng.integers(0, 40, 20_000)] / 8 + rng.normal(size=(20_000, 64)) * spread
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    router = neighbours.fit(x[: neighbours.SAMPLE], 64)
+    asked = np.arange(10_000, 10_300)
+    near = x[asked] @ x.T
+    near[np.arange(300), asked] = -9
+    best, home = np.argsort(-near, axis=1)[:, :20], router.home(x)
+    read = np.array([np.isin(home, parts) for parts in router.probed(x[asked])])
+    assert router.parts == 64 and np.take_along_axis(read, best, 1).mean() >= 0.9 and read.mean() < share
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(0).normal(size=(512, 8))
     parts = neighbours.balanced_parts(neighbours.neighbour_graph(x, 10), 8)
