@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -13,6 +14,7 @@ from tessera.llm import mixing, pieces, toxicity  # noqa: E402
 from tessera.llm.common import table, written  # noqa: E402
 from tests.llm.test_against_brute_force import brute_components  # noqa: E402
 from tests.llm.test_mixing import brute_mix  # noqa: E402
+from tests.llm.test_small_tables import ROWS, SCHEMA  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
@@ -47,3 +49,19 @@ def test_stages(spark):
     encoder = pieces.Encoder(pieces.Vocabulary.load())
     assert Counter(r.doc_id for r in final) == +want
     assert all(list(r.ids) == encoder.encode([whole[r.doc_id]])[0] and r.round_trip for r in final)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, blanks, repeated rows, a long text and clashing names through all stages; then an empty table."""
+    clash = ("row", "run", "digest", "size", "rank", "bands", "_id", "key", "s", "start", "n", "bucket", "slot", "label", "node")
+    nameless = (None, "a text without an id", None, "s1")
+    for folder, rows in (("full", [*ROWS, nameless, nameless]), ("none", [])):
+        docs = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit("clash").alias(c) for c in clash])
+        docs.write.parquet(f"file://{tmp_path}/{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/{folder}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}/full")
+    got = Counter(r.doc_id for r in out.collect())
+    # 1 is a copy of 2; 3, 4 and 5 have no words, so the mix takes none of them; the long text is above its share
+    assert set(got) == {None, 2, 6, 7, 8, 9, 10} and got[7] == 1 and max(got.values()) <= 3
+    empty = corpus_pipeline.run(spark, f"file://{tmp_path}/none")
+    assert empty.columns == out.columns and empty.count() == 0
