@@ -202,7 +202,7 @@ def test_language_model_against_a_loop(spark, texts):
         assert one[r.doc_id] == pytest.approx(total, rel=1e-4, abs=1e-2)
 
 
-@pytest.mark.parametrize("data", [DATA, "/root/testdata/sf0.1"], ids=["one part of several", "parts"])
+@pytest.mark.parametrize("data", [DATA, "/root/testdata/sf0.1"], ids=["8 parts", "32 parts"])
 def test_neighbours(spark, duck, data):
     rows = duck.sql(f"SELECT vec_id, embedding FROM '{data}/embeddings.parquet' ORDER BY 1").fetchall()
     x = np.array([r[1] for r in rows], np.float64)
