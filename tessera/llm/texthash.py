@@ -51,9 +51,10 @@ def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, np.ndarra
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hash of each word, A-Z lower-cased, and the number of words before each row and after the last."""
-    data = LOWER[data]
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lowered: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of each word, A-Z lower-cased if so asked, and the number of words before each row and after the
+    last."""
+    data = LOWER[data] if lowered else data
     ink = np.concatenate(([False], ~SPACE[data], [False]))
     new = np.zeros(len(data) + 1, bool)
     new[offsets] = True  # a row begins here
