@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import conversations, exact_dedup, fixity, line_dedup, mixing, near_dedup, neighbours, pieces, pseudo_likelihood, rollup, substring_dedup, toxicity
+from tessera.llm import conversations, exact_dedup, fixity, line_dedup, mixing, near_dedup, neighbours, pieces, pseudo_likelihood, rollup, spelling, substring_dedup, toxicity
 
-MODULES = [pieces, line_dedup, toxicity, pseudo_likelihood, exact_dedup, rollup, near_dedup, mixing, neighbours, fixity, substring_dedup, conversations]
+MODULES = [pieces, line_dedup, toxicity, pseudo_likelihood, exact_dedup, rollup, near_dedup, mixing, neighbours, fixity, substring_dedup, conversations, spelling]
 
 
 def queries() -> dict:
