@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -13,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_own: dict[str, str] = {}  # by application: the folder where none is set
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,8 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not at and not spark.conf.get("spark.master", "local").startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        name = spark.sparkContext.applicationId
+        at = _own.setdefault(name, _own.get(name) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}")
     return at.rstrip("/")
 
 
@@ -35,7 +39,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def settled(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """written(df), after which the tables in done (as written or settled returned them) are deleted, and the driver is
+    asked to collect its garbage: the shuffle files of a finished step stay on the executors' disks until it does."""
+    out, spark = written(df, name), df.sparkSession
+    for table_ in done:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table_._tessera_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()  # plans that Python still holds keep their shuffle files
+    spark._jvm.System.gc()
+    return out
 
 
 #: The column of with_rows.

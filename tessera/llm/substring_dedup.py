@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, table, written
+from tessera.llm.common import WORD, settled, table
 from tessera.llm.texthash import STEP, U, inverse, mixed, slices, word_hashes
 
 WINDOW, SEED = 35, 8
@@ -159,32 +159,32 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     stands for it. marks: (t, first, n, source): the n windows of text t from word first on occur elsewhere too, those of
     a factor from the phrase source on; source is null for windows at the boundaries of factors."""
     parsed = keyed(docs).mapInArrow(_parsed(window, seed), PHRASES_SQL).withColumn("t", F.monotonically_increasing_id())
-    parsed = written(parsed.where(F.size("first") > 0), "parsed")
-    texts = written(parsed.groupBy("a", "b").agg(F.min(F.struct("t", "doc_id")).alias("x"), F.count(F.lit(1)).alias("copies")).select("x.t", "a", "b", "x.doc_id", "copies"), "texts")
-    kept = parsed.join(texts.select("t", "copies").hint("merge"), "t")
-    every = kept.select("t", "copies", F.explode(F.arrays_zip("first", "n", "seed", "phrase")).alias("p")).select("t", "copies", "p.*")
-    every = written(every.withColumn("pid", F.monotonically_increasing_id()), "every")  # phrases of a text follow each other
+    parsed = settled(parsed.where(F.size("first") > 0), "parsed")
+    texts = parsed.groupBy("a", "b").agg(F.min(F.struct("t", "doc_id")).alias("x"), F.count(F.lit(1)).alias("copies"))
+    texts = settled(texts.select("x.t", "a", "b", "x.doc_id", "copies"), "texts")
+    every = parsed.join(texts.select("t", "copies").hint("merge"), "t").select("t", "copies", F.explode(F.arrays_zip("first", "n", "seed", "phrase")).alias("p"))
+    # phrases of a text follow each other
+    every = settled(every.select("t", "copies", "p.*").withColumn("pid", F.monotonically_increasing_id()), "every", parsed)
     index = every.groupBy("seed", "phrase").agg(F.sum("copies").alias("copies"), F.min("pid").alias("low"), F.max("pid").alias("high"), *[F.min(c).alias(c) for c in ("t", "first", "n")])
-    index = written(index, "index")
-    several = index.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("seed")
+    index = settled(index, "index")
     sources = index.where("copies > 1").select("seed", "phrase", "low", "high")
-    hits = written(every.drop("copies").join(sources.hint("merge"), ["seed", "phrase"]).drop("phrase"), "hits")
-    listed = hits.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("pid", "first", "n", "low", "high"))).alias("hits"))
-    factors = written(listed.mapInArrow(_factors, FACTORS_SQL), "factors")
+    hits = settled(every.drop("copies").join(sources.hint("merge"), ["seed", "phrase"]).drop("phrase"), "hits", every)
     # one occurrence of each phrase whose anchor has others: where low = high, t, first and n are those of the only one
     spots = index.where("low = high").select("t", "first", "n", "seed").union(hits.where("pid = low AND low < high").select("t", "first", "n", "seed"))
+    several = index.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("seed")
     spots = spots.join(several.hint("merge"), "seed", "left_semi").groupBy("t").agg(F.collect_list(F.struct("first", "n", "seed")).alias("spots"))
-    wanted = spots.join(texts.drop("copies"), "t")
-    where = keyed(docs).withColumn("known", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    wanted = wanted.withColumn("known", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    found = where.join(wanted.hint("merge"), [*KEY, "known"]).select("t", "text", "spots")
-    found = written(found.mapInArrow(_windows(window), "t long, first int, seed long, hashes array<long>"), "windows")
+    spots = settled(spots, "spots", index)
+    listed = hits.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("pid", "first", "n", "low", "high"))).alias("hits"))
+    factors = settled(listed.mapInArrow(_factors, FACTORS_SQL), "factors", hits)
+    named = lambda df: df.withColumn("known", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    found = named(keyed(docs)).join(named(spots.join(texts.drop("copies"), "t")).hint("merge"), [*KEY, "known"]).select("t", "text", "spots")
+    found = settled(found.mapInArrow(_windows(window), "t long, first int, seed long, hashes array<long>"), "windows", spots)
     each = found.select("t", "first", "seed", F.posexplode("hashes").alias("i", "hash")).select("t", (F.col("first") + F.col("i")).alias("first"), "seed", "hash")
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("t", "first") for f in (F.min, F.max)]
     # a row that is repeated may bring a window twice, so places are compared instead of counted
     twice = each.groupBy("seed", "hash").agg(*ends).where("min_t <> max_t OR min_first <> max_first").select("seed", "hash")
     checked = each.join(twice.hint("merge"), ["seed", "hash"], "left_semi").select("t", "first", F.lit(1).alias("n"), F.lit(None).cast("long").alias("source"))
-    return texts, factors.union(checked)
+    return texts, settled(factors.union(checked), "marks", factors, found)
 
 
 def _kept(window: int):
