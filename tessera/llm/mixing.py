@@ -3,9 +3,11 @@
 The k-th point of a low-discrepancy sequence (van der Corput's of base 2, or multiples of the golden ratio), mapped
 through the cumulative target shares, names the source of slot k, so that every stretch of the schedule has the sources
 in their shares. The slots of a source are ranked. The documents of a source, in a seeded random order, form a line of
-words which is read up to ``REPEATS`` times over and cut into blocks of equal size; the slot of rank r reads block r.
-What a document gives is the words of its blocks that have a slot, and no more: the schedule alone decides it. By the
-sequence's discrepancy a source gets its target but for a few blocks. Only DataFrame functions are used.
+words which is read up to ``REPEATS`` times over, as far as its target, and cut into blocks of equal size, the last one
+shorter; the slot of rank r reads the block at place r of a fixed shuffle. By the sequence's discrepancy the scheduled
+slots of a source are its blocks but for a few. What is missing is settled by slots of its own at the end of the schedule,
+so that each source, however small, gives its target to the word; slots beyond a source's last block stay empty. Only
+DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ BLOCK = 64  # words of a block, at most
 SLOTS = 65536  # of a schedule at least, or as many as there are words
 MOST_SOURCES = 1_000_000
 GOLDEN = 0.6180339887498949  # fixed value: the golden ratio less one
+CHUNK = 1024  # blocks that are shuffled among each other, and as a whole with others
+STRIDES = (4294967311, 1031)  # primes above the number of chunks and above CHUNK
 
 
 def van_der_corput(k: Column) -> Column:
@@ -94,10 +98,31 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int, point=van_der_
     return slot.withColumn("within", within).join(before, ["s", "chunk"]).select("slot", "s", (F.col("within") + F.col("offset")).alias("rank"))
 
 
+def shuffled(rank: Column, blocks: Column) -> Column:
+    """The place of rank (from 0) in a fixed shuffle of so many blocks: chunks are dealt by a prime stride, and so are the
+    blocks within a chunk."""
+    full, chunk, inner = F.floor(blocks / CHUNK), F.floor(rank / CHUNK), rank % CHUNK
+    moved = chunk * (F.lit(STRIDES[0]) % F.greatest(full, F.lit(1))) % F.greatest(full, F.lit(1))
+    rest = F.greatest(blocks - full * CHUNK, F.lit(1))
+    return F.when(chunk < full, moved * CHUNK + (inner * STRIDES[1] + moved * 7) % CHUNK).otherwise(full * CHUNK + inner * STRIDES[1] % rest).cast("long")
+
+
+def settled_slots(planned: DataFrame, sources: DataFrame, slots: int, block: int) -> DataFrame:
+    """(slot, s, rank, block): the scheduled slots as far as their sources have blocks, and slots after all others for the
+    blocks that are left."""
+    counts = planned.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    blocks = sources.select("s", F.ceil(F.col("want") / block).alias("blocks"))
+    left = blocks.join(counts, "s", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("blocks > n")
+    left = left.withColumn("rank", F.explode(F.sequence("n", F.col("blocks") - 1)))
+    left = left.select((F.lit(slots) + (F.col("rank") - F.col("n")) * sources.count() + F.col("s")).alias("slot"), "s", "rank", "blocks")
+    rows = attach(planned.withColumn("run", F.pmod("slot", F.lit(64))), blocks, ["s"], "run", "inner").where("rank < blocks").select("slot", "s", "rank", "blocks")
+    return rows.union(left).select("slot", "s", "rank", shuffled(F.col("rank"), F.col("blocks")).alias("block"))
+
+
 def lines(sizes: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
     """sizes with s, source_size, target and start, the document's place on its source's line."""
     buckets = rows // 512 + 1
-    facts = sources.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "s", "source_size", "target")
+    facts = sources.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "s", "source_size", "target", "want")
     docs = attach(sizes.withColumn("run", F.pmod(F.xxhash64("row"), F.lit(256))), facts, ["key"], "run", "inner").drop("key", "run")
     unit = F.conv(F.substring("mix", 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
     docs = docs.withColumn("bucket", F.floor(unit * buckets))
@@ -117,23 +142,21 @@ def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: str = "mi
     """
     spark = docs.sparkSession
     sizes = written(sized(docs, seed), "sizes")
-    sources = written(targets(sizes, repeats), "sources")
+    sources = written(targets(sizes, repeats).withColumn("want", F.round("target").cast("long")), "sources")
     rows, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = max(1, min(block, total // slots))
-    planned = written(schedule(spark, sources, -(-total // block), point), "schedule")
+    slots = -(-total // block)
+    planned = written(settled_slots(written(schedule(spark, sources, slots, point), "points"), sources, slots, block), "schedule")
     placed = written(lines(sizes, sources, rows), "lines")
-    # blocks beyond a source's last slot would find none: they needn't be made
-    reach = planned.groupBy("s").agg((F.count(F.lit(1)) * block).alias("reach"))
     begin = F.col("epoch") * F.col("source_size") + F.col("start")
-    pieces = placed.where("size > 0").withColumn("run", F.pmod(F.xxhash64("row"), F.lit(256)))
-    pieces = attach(pieces, reach, ["s"], "run", "inner").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    pieces = pieces.withColumn("begin", begin).withColumn("end", F.least(F.col("begin") + F.col("size"), "reach")).where("begin < end")
+    pieces = placed.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    pieces = pieces.withColumn("begin", begin).withColumn("end", F.least(F.col("begin") + F.col("size"), "want")).where("begin < end")
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block)
-    pieces = pieces.withColumn("rank", F.explode(F.sequence(first, last)))
-    low = F.greatest(F.col("begin"), F.col("rank") * block)
-    high = F.least(F.col("end"), (F.col("rank") + 1) * block)
-    pieces = pieces.select("row", "doc_id", "s", "rank", (low - F.col("begin")).alias("from_word"), (high - low).alias("words"))
-    return placed, pieces.join(planned, ["s", "rank"]).select("slot", "row", "doc_id", "s", "from_word", "words")
+    pieces = pieces.withColumn("block", F.explode(F.sequence(first, last)))
+    low = F.greatest(F.col("begin"), F.col("block") * block)
+    high = F.least(F.col("end"), (F.col("block") + 1) * block)
+    pieces = pieces.select("row", "doc_id", "s", "block", (low - F.col("begin")).alias("from_word"), (high - low).alias("words"))
+    return placed, pieces.join(planned, ["s", "block"]).select("slot", "row", "doc_id", "s", "from_word", "words")
 
 
 def mixed_sizes(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: str = "mix", point=van_der_corput) -> DataFrame:
@@ -189,6 +212,7 @@ SQL = {
           SELECT d.*, source_size, target,
                  (sum(size) OVER (PARTITION BY d.source ORDER BY mix, doc_id) - size)::BIGINT AS start
           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        wanted AS (SELECT source, round(target)::BIGINT AS want, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s, count(*) OVER () AS many FROM t),
         size AS (
           SELECT total, greatest(1, least(64, total // 65536)) AS block FROM (SELECT sum(size)::BIGINT AS total FROM d)),
         points AS (  -- the bits of the slot's number behind the binary point, the lowest first
@@ -200,13 +224,26 @@ SQL = {
         slots AS (
           SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
           FROM points JOIN parts ON low <= u AND u < high),
+        most AS (  -- the blocks of each source, and its scheduled slots
+          SELECT w.source, s, many, (want + block - 1) // block AS blocks, (SELECT count(*) FROM slots AS x WHERE x.source IS NOT DISTINCT FROM w.source) AS n,
+                 greatest(((want + block - 1) // block) // 1024, 1) AS deal, ((want + block - 1) // block) // 1024 AS whole FROM wanted AS w, size),
+        planned AS (  -- those, and slots at the end for blocks that are left
+          SELECT slot, x.source, rank, blocks, deal, whole FROM slots AS x JOIN most AS m ON x.source IS NOT DISTINCT FROM m.source WHERE rank < blocks
+          UNION ALL
+          SELECT (total + block - 1) // block + (rank - n) * many + s, source, rank, blocks, deal, whole
+          FROM (SELECT *, unnest(range(n, blocks)) AS rank FROM most WHERE n < blocks), size),
+        dealt AS (
+          SELECT slot, source, CASE WHEN rank // 1024 < whole THEN moved * 1024 + (rank % 1024 * 1031 + moved * 7) % 1024
+                                    ELSE whole * 1024 + rank % 1024 * 1031 % greatest(blocks - whole * 1024, 1) END AS block_at
+          FROM (SELECT *, (rank // 1024) * (4294967311 % deal) % deal AS moved FROM planned)),
         pieces AS (
-          SELECT doc_id, p.source, size, e * source_size + start AS first, e * source_size + start + size AS last,
-                 unnest(range((e * source_size + start) // block, (e * source_size + start + size - 1) // block + 1)) AS rank
-          FROM placed AS p, (SELECT block FROM size), (VALUES (0), (1), (2)) AS epochs(e) WHERE size > 0),
+          SELECT doc_id, p.source, e * source_size + start AS first, least(e * source_size + start + size, want) AS last, block,
+                 unnest(range((e * source_size + start) // block, (least(e * source_size + start + size, want) - 1) // block + 1)) AS block_at
+          FROM placed AS p JOIN wanted AS w ON p.source IS NOT DISTINCT FROM w.source, (SELECT block FROM size), (VALUES (0), (1), (2)) AS epochs(e)
+          WHERE size > 0 AND e * source_size + start < want),
         taken AS (
-          SELECT doc_id, sum(least(last, (p.rank + 1) * block) - greatest(first, p.rank * block))::BIGINT AS taken, count(*) AS blocks, min(slot) AS first_slot
-          FROM pieces AS p JOIN slots AS s ON p.rank = s.rank AND p.source IS NOT DISTINCT FROM s.source, (SELECT block FROM size) GROUP BY doc_id)
+          SELECT doc_id, sum(least(last, (p.block_at + 1) * block) - greatest(first, p.block_at * block))::BIGINT AS taken, count(*) AS blocks, min(slot) AS first_slot
+          FROM pieces AS p JOIN dealt AS d ON p.block_at = d.block_at AND p.source IS NOT DISTINCT FROM d.source GROUP BY doc_id)
         SELECT p.doc_id, p.source, p.size, source_size, target, coalesce(taken, 0) AS taken, coalesce(blocks, 0) AS blocks, first_slot
         FROM placed AS p LEFT JOIN taken AS t ON p.doc_id = t.doc_id"""
 }

@@ -30,16 +30,52 @@ def brute_mix(docs, targets, point=corput, block=mixing.BLOCK, slots=mixing.SLOT
     names = sorted(targets, key=lambda s: (s is None, s))
     ends = np.round(np.cumsum([targets[s] for s in names]) / sum(targets.values()), 12)
     seen, taken, first = defaultdict(int), defaultdict(int), {}
-    for slot in range(-(-total // block)):
+    slots = -(-total // block)
+    plan = []
+    for slot in range(slots):
         source = names[int(np.searchsorted(ends, point(slot), "right"))]
-        rank, words = seen[source], line[source] * 3
+        plan.append((slot, source, seen[source]))
         seen[source] += 1
-        for doc_id in words[rank * block : (rank + 1) * block]:
+    want = {s: int(targets[s] + 0.5) for s in names}
+    for i, s in enumerate(names):
+        plan += [(slots + (rank - seen[s]) * len(names) + i, s, rank) for rank in range(seen[s], -(-want[s] // block))]
+    for slot, source, rank in plan:
+        blocks = -(-want[source] // block)
+        if rank >= blocks:
+            continue
+        at = shuffle(rank, blocks)
+        for doc_id in (line[source] * 3)[at * block : min((at + 1) * block, want[source])]:
             taken[doc_id] += 1
-            first.setdefault(doc_id, slot)
+            first[doc_id] = min(slot, first.get(doc_id, slot))
     return taken, first
 
 
+def shuffle(rank, blocks):
+    full, (chunk, inner) = blocks // 1024, divmod(rank, 1024)
+    if chunk == full:
+        return full * 1024 + inner * 1031 % (blocks - full * 1024)
+    moved = chunk * (4294967311 % full) % full
+    return moved * 1024 + (inner * 1031 + moved * 7) % 1024
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 700, 1023, 1024, 1030, 5000, 10_240])
+def test_the_shuffle_is_one(spark, blocks):
+    from pyspark.sql import functions as F
+
+    got = [r.at for r in spark.range(blocks).select(mixing.shuffled(F.col("id"), F.lit(blocks)).alias("at"), "id").orderBy("id").collect()]
+    assert sorted(got) == list(range(blocks)) and got == [shuffle(i, blocks) for i in range(blocks)]
+
+
+def test_small_sources_are_not_lost(spark):
+    """One source of 600,000 words and eight of five, of which a block would hold all."""
+    rows = [(i, "big", 10_000) for i in range(60)] + [(100 + i, f"s{i}", 5) for i in range(8)]
+    got = mixing.mixed_sizes(frame(spark, rows), slots=64).collect()
+    for source, target in {r.source: r.target for r in got}.items():
+        assert abs(sum(r.taken for r in got if r.source == source) - target) <= max(1, target / 100)
+    assert {r.source for r in got if r.taken} == {"big", *(f"s{i}" for i in range(8))}
+    assert {r.doc_id for r in mixing.mixed_documents(frame(spark, rows)).collect()} >= set(range(100, 108))
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = np.random.default_rng(8)
@@ -57,19 +93,19 @@ def test_the_schedule_decides(spark, rows, slots, point, plain):
     targets = {r.source: r.target for r in got}
     taken, first = brute_mix(rows, targets, plain, slots=slots)
     assert {r.doc_id: (r.taken, r.first_slot) for r in got} == {i: (taken[i], first.get(i)) for i, _, _ in rows}
-    block = max(1, min(mixing.BLOCK, sum(n for *_, n in rows) // slots))
     off = [abs(sum(taken[i] for i, s, _ in rows if s == source) - target) for source, target in targets.items()]
-    assert max(off) <= block * 2 * (math.log2(max(slots, 2)) / 3 + 2)
+    assert max(off) <= 1
     assert all(r.taken <= 3 * r.size for r in got)
 
 
-def test_another_sequence_takes_other_words(spark, rows):
+def test_another_sequence_reads_other_words(spark, rows):
+    """What is taken of a source is its target whatever the sequence; which slot reads which words is the sequence's."""
     by = {}
     for point in (mixing.van_der_corput, mixing.golden):
-        got = mixing.mixed_sizes(frame(spark, rows), slots=300, point=point).collect()
-        by[point] = {r.doc_id: (r.taken, r.first_slot) for r in got}
+        _, taken = mixing.mix(frame(spark, rows), slots=300, point=point)
+        by[point] = {(r.slot, r.doc_id, r.from_word, r.words) for r in taken.collect()}
     a, b = by.values()
-    assert a != b and {i: t for i, (t, _) in a.items()} != {i: t for i, (t, _) in b.items()}
+    assert a != b and sum(x[3] for x in a) == sum(x[3] for x in b)
 
 
 def test_every_stretch_has_the_shares(spark):
