@@ -6,6 +6,8 @@ All are column expressions on doubles and longs; a packed value is a long that h
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +31,12 @@ def to_half(c: Column) -> Column:
     large is infinite; below the normal range the mantissa is rounded as a normal one and then cut off."""
     x = c.cast("float").cast("double")
     size = F.abs(x)
-    e = exponent(F.when(size > 0, size))
+    endless = size == float("inf")
+    e = exponent(F.when((size > 0) & ~endless, size))
     mantissa = F.floor(size / two_to(e - 10) + 0.5)
     normal = ((e + 14) * 1024 + mantissa).cast("long")
     tiny = F.floor(F.when(mantissa == 2048, 1024).otherwise(mantissa) * two_to(e + 14)).cast("long")
-    bits = F.when(F.isnan(x), 0x7E00).when(size == 0, 0).when(e > 15, 0x7C00).when(e >= -14, F.least(normal, F.lit(0x7C00))).otherwise(tiny)
+    bits = F.when(F.isnan(x), 0x7E00).when(size == 0, 0).when(endless | (e > 15), 0x7C00).when(e >= -14, F.least(normal, F.lit(0x7C00))).otherwise(tiny)
     return bits.cast("long") + F.when(x < 0, 0x8000).otherwise(0)
 
 
@@ -136,8 +139,10 @@ def put_float(c: Column, size: int) -> Column:
     if size != 32:
         return F.lit(0).cast("long")
     x = c.cast("float").cast("double")
-    e = exponent(F.when(F.abs(x) >= 2.0**-126, F.abs(x)))
-    return F.coalesce(((e + 126) * 2**23 + F.abs(x) / two_to(e - 23)).cast("long"), F.lit(0).cast("long")) + F.when(x < 0, F.lit(2**31)).otherwise(0)
+    endless = F.abs(x) == float("inf")
+    e = exponent(F.when((F.abs(x) >= 2.0**-126) & ~endless & ~F.isnan(x), F.abs(x)))
+    bits = F.coalesce(((e + 126) * 2**23 + F.abs(x) / two_to(e - 23)).cast("long"), F.lit(0).cast("long"))
+    return F.when(F.isnan(x), 0x7FC00000).when(endless, 0x7F800000).otherwise(bits) + F.when(x < 0, F.lit(2**31)).otherwise(0)
 
 
 def byte_pitch(width: int, bits: int, alignment: int = 1) -> int:
@@ -145,18 +150,48 @@ def byte_pitch(width: int, bits: int, alignment: int = 1) -> int:
     return -(-(-(-width * bits // 8)) // alignment) * alignment
 
 
+def field_bytes(fields: list[tuple[Column, int]]) -> list[Column]:
+    """The bytes of fields (unsigned values and their bits) that follow each other from the lowest bit on."""
+    places, at = [], 0
+    for value, size in fields:
+        if size:
+            places.append((value.cast("long"), at, size))
+            at += size
+    out = []
+    for low in range(0, at, 8):
+        parts = [F.shiftright(v, low - start) if start <= low else F.shiftleft(v, start - low) for v, start, size in places if start < low + 8 and low < start + size]
+        # a field that ends inside the byte has no bits above its size
+        out.append(reduce(lambda x, y: x.bitwiseOR(y), parts).bitwiseAND(255))
+    return out
+
+
+def hex_digits(values: list[Column]) -> Column:
+    """The digits of bytes, seven at a time."""
+    words = []
+    for at in range(0, len(values), 7):
+        part = values[at : at + 7]
+        word = sum((F.shiftleft(v, 8 * (len(part) - 1 - i)) for i, v in enumerate(part[:-1])), part[-1])
+        words.append(F.lpad(F.hex(word), 2 * len(part), "0"))
+    return F.concat(*words) if len(words) > 1 else words[0]
+
+
 def packed_rows(texels: DataFrame, fields: list[tuple[Column, int]], width: int, alignment: int = 1) -> DataFrame:
     """(surface_id, z, y, data): each row of texels as bytes. fields: unsigned values and their bits, the first in the
     lowest bits; texels follow each other without gaps, and rows are filled with zeros up to their pitch. A row of texels
-    is one value."""
+    is one value. Texels that share a byte are added up by byte first."""
     total = sum(size for _, size in fields)
-    low_first = lambda c, size: F.reverse(F.lpad(F.bin(c), size, "0"))
-    bits = F.concat(*[low_first(c, size) for c, size in fields if size])
-    rows = texels.select("surface_id", "z", "y", "x", bits.alias("p")).groupBy("surface_id", "z", "y").agg(F.sort_array(F.collect_list(F.struct("x", "p"))).alias("t"))
-    line = F.rpad(F.array_join(F.transform("t", lambda t: t["p"]), ""), byte_pitch(width, total, alignment) * 8, "0")
-    eight = F.transform(F.sequence(F.lit(0), F.lit(byte_pitch(width, total, alignment) - 1)), lambda i: F.lpad(F.conv(F.reverse(F.call_function("substring", F.col("line"), i * 8 + 1, F.lit(8))), 2, 16), 2, "0"))
-    rows = rows.select("surface_id", "z", "y", line.alias("line"))
-    return rows.select("surface_id", "z", "y", F.unhex(F.array_join(eight, "")).alias("data"))
+    line, parts = ["surface_id", "z", "y"], field_bytes(fields)
+    if total % 8 == 0:
+        pieces = texels.select(*line, F.col("x").cast("long").alias("i"), hex_digits(parts).alias("p"))
+    else:
+        shift = (F.col("x") * total % 8).cast("int")
+        left, right = (lambda v: F.call_function("shiftleft", v, shift).bitwiseAND(255)), (lambda v: F.call_function("shiftright", v, 8 - shift))
+        moved = [left(parts[0]), *[left(v).bitwiseOR(right(u)) for u, v in pairwise(parts)], right(parts[-1])]
+        first = F.floor(F.col("x") * total / 8)
+        pieces = texels.select(*line, first.alias("first"), F.posexplode(F.array(*moved)).alias("k", "v")).groupBy(*line, (F.col("first") + F.col("k")).alias("i")).agg(F.sum("v").alias("v"))
+        pieces = pieces.where(F.col("i") < byte_pitch(width, total)).select(*line, "i", hex_digits([F.col("v")]).alias("p"))
+    rows = pieces.groupBy(*line).agg(F.sort_array(F.collect_list(F.struct("i", "p"))).alias("t"))
+    return rows.select(*line, F.unhex(F.rpad(F.array_join(F.transform("t", lambda t: t["p"]), ""), 2 * byte_pitch(width, total, alignment), "0")).alias("data"))
 
 
 def uncompressed(texels: DataFrame, width: int, sizes=(8, 8, 8, 8), masks=None, bits: int = 0, kind: str = "unorm", alignment: int = 1) -> DataFrame:

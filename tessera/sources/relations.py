@@ -82,12 +82,21 @@ def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("surface_id", *place, *CHANNELS)
 
 
+def _line_texels(lines: DataFrame, width: Column) -> DataFrame:
+    """lines (with _line, the bytes of a line of texels, and _n, bytes a texel) with x and _word, the bytes of each texel
+    as a number, the first highest."""
+    rows = lines.withColumn("x", F.explode(F.sequence(F.lit(0), width - 1)))
+    return rows.withColumn("_word", F.conv(F.hex(F.call_function("substring", F.col("_line"), F.col("x") * F.col("_n") + 1, F.col("_n"))), 16, 10).cast("long")).drop("_line")
+
+
 def from_bytes(rows: DataFrame, surface: str, data: str, width: int, height: int, order: Sequence[str] = ("b", "g", "r", "a")) -> DataFrame:
-    """Texels of binary values with one byte for each channel of a texel, 0..1; blue is first where nothing else is said."""
+    """Texels of binary values with one byte for each channel of a texel, 0..1; blue is first where nothing else is said.
+    Bytes are cut to lines and lines to texels, so that the work grows with the number of texels."""
     n = len(order)
-    digits = rows.select(F.col(surface).alias("_id"), F.hex(data).alias("_hex"))
-    values = F.transform(F.sequence(F.lit(0), F.lit(width * height * n - 1)), lambda i: F.conv(F.call_function("substring", F.col("_hex"), i * 2 + 1, F.lit(2)), 16, 10).cast("int") / 255)
-    return interleaved(digits.select("_id", values.alias("_values")), "_id", "_values", width, height, order)
+    lines = rows.select(F.col(surface).alias("surface_id"), F.col(data).alias("_data"), F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
+    lines = lines.select("surface_id", F.lit(0).alias("z"), "y", F.lit(n).alias("_n"), F.call_function("substring", F.col("_data"), F.col("y") * (width * n) + 1, F.lit(width * n)).alias("_line"))
+    value = {c: F.shiftright("_word", 8 * (n - 1 - i)).bitwiseAND(255) / 255 for i, c in enumerate(order)}
+    return _line_texels(lines, F.lit(width)).select("surface_id", "z", "y", "x", *[value.get(c, F.lit(0.0)).alias(c) for c in CHANNELS])
 
 
 def from_halves(rows: DataFrame, surface: str, data: str, width: int, height: int, order: Sequence[str] = CHANNELS) -> DataFrame:
@@ -101,10 +110,10 @@ def from_halves(rows: DataFrame, surface: str, data: str, width: int, height: in
 def from_image_source(images: DataFrame) -> DataFrame:
     """Texels of what spark.read.format("image") gives: JPEG, PNG and others, 8 bits, blue first, one, three or four
     channels; without alpha there is 0, as of other files. surface_id is the origin."""
-    i = images.select(F.col("image.origin").alias("surface_id"), F.col("image.width").alias("w"), F.col("image.height").alias("h"), F.col("image.nChannels").alias("n"), F.hex("image.data").alias("hex"))
-    i = i.where("w > 0 AND h > 0").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)))
-    byte = lambda k: F.conv(F.call_function("substring", F.col("hex"), (F.col("t") * F.col("n") + k) * 2 + 1, F.lit(2)), 16, 10).cast("int") / 255
-    first = byte(F.lit(0))
-    red, green = F.when(F.col("n") == 1, first).otherwise(byte(F.lit(2))), F.when(F.col("n") == 1, first).otherwise(byte(F.lit(1)))
-    alpha = F.when(F.col("n") == 4, byte(F.lit(3))).otherwise(0.0)
-    return i.select("surface_id", F.lit(0).alias("z"), F.floor(F.col("t") / F.col("w")).cast("int").alias("y"), (F.col("t") % F.col("w")).cast("int").alias("x"), red.alias("r"), green.alias("g"), first.alias("b"), alpha.alias("a"))
+    i = images.select(F.col("image.origin").alias("surface_id"), F.col("image.width").alias("w"), F.col("image.height").alias("h"), F.col("image.nChannels").alias("_n"), F.col("image.data").alias("_data"))
+    lines = i.where("w > 0 AND h > 0").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
+    size = F.col("w") * F.col("_n")
+    lines = lines.select("surface_id", F.lit(0).alias("z"), "y", "w", "_n", F.call_function("substring", F.col("_data"), F.col("y") * size + 1, size).alias("_line"))
+    byte = lambda k: F.call_function("shiftright", F.col("_word"), (F.col("_n") - 1 - k) * 8).bitwiseAND(255) / 255
+    grey = lambda k: F.when(F.col("_n") == 1, byte(0)).otherwise(byte(k))
+    return _line_texels(lines, F.col("w")).select("surface_id", "z", "y", "x", grey(2).alias("r"), grey(1).alias("g"), byte(0).alias("b"), F.when(F.col("_n") == 4, byte(3)).otherwise(0.0).alias("a"))

@@ -28,8 +28,9 @@ def sf_dir_module():
 
 
 def rows(table, columns):
-    """Sorted rows with numbers rounded, so that both sides print alike."""
-    return sorted(tuple(round(float(v), 5) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in (tuple(x[c] for c in columns) for x in table))
+    """Sorted rows with numbers rounded, so that both sides print alike; a null is last, whatever else the column has."""
+    shown = [tuple(round(float(v), 5) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else None if v is None else str(v) for v in (x[c] for c in columns)) for x in table]
+    return sorted(shown, key=lambda r: tuple((v is None, v) if v is not None else (True, 0) for v in r))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -52,7 +53,8 @@ def test_codes_are_near(spark, sf_dir):
     out = {r.format: r.rms for r in OURS["encode_errors"](spark, sf_dir).groupBy("format").agg(F.avg("rms").alias("rms")).collect()}
     # noise in three or four dimensions about a line, and in one
     assert out["bc1"] < 45 and out["bc2"] < 45 and out["bc3"] < 45 and out["bc4"] < 6 and out["bc5"] < 9
-    clear = OURS["encode_bc1a"](spark, sf_dir).agg(F.sum("wrong"), F.sum((F.col("low") == 0).cast("int"))).first()
+    # a block without a transparent texel is written opaque, whatever its alpha
+    clear = OURS["encode_bc1a"](spark, sf_dir).where("low = 0").agg(F.sum("wrong"), F.count(F.lit(1))).first()
     assert clear[0] == 0 and clear[1] > 0
     assert OURS["encode_rgbm"](spark, sf_dir).agg(F.avg("rms")).first()[0] < 45
 
