@@ -66,6 +66,21 @@ def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*PLACE, *[clamp(F.col("r") + 0.5).alias(c) for c in CHANNELS])
 
 
+#: Extents of ragged(), by vec_id.
+RAGGED = ((8, 8), (10, 7), (5, 13), (32, 16))
+
+
+def ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a surface of one of four extents, repeated as often as it takes, darker the smaller vec_id % 7 is."""
+    e = table(spark, sf_dir, "embeddings")
+    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in RAGGED]), (F.col("vec_id") % len(RAGGED) + 1).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rows = e.select(F.col("vec_id").alias("surface_id"), "embedding", pick(0).alias("w"), every(pick(1)).alias("y"))
+    rows = rows.select("surface_id", "embedding", "w", "y", every(F.col("w")).alias("x"))
+    v = clamp(F.get("embedding", (F.col("y") * F.col("w") + F.col("x")) % 64).cast("double") + 0.5) * (F.col("surface_id") % 7 + 1) / 7
+    return rows.select("surface_id", F.lit(0).alias("z"), "y", "x", v.alias("v")).select(*PLACE, *[F.col("v").alias(c) for c in CHANNELS])
+
+
 def hdr(spark: SparkSession, sf_dir: str, width: int = 50) -> DataFrame:
     """The events as one surface of high range: red is the value over 100."""
     e = table(spark, sf_dir, "events")
