@@ -1,17 +1,26 @@
-"""Quantisation with error diffusion: a scan over a surface, so surfaces are the unit of work.
+"""Quantisation with error diffusion: a scan over a surface in which a texel waits for the one to its left and the three
+above it.
 
-A surface is gathered to one row of arrays and must fit a task. A task scans many surfaces of one extent at a time: each
-step takes the same texel of all of them.
+``diffuse`` takes surfaces that fit a task: each is gathered to one row of arrays, and a step takes all texels of a wave,
+x + 2 y, of all surfaces of one extent. ``diffuse_bands`` takes surfaces of any size: bands of lines are cut to tiles that
+lean to the left by a texel a line, so that a tile waits only for those to its left, above and above to the left. All tiles
+of a wave, band + column, of all surfaces are done at once by as many tasks; what they hand on, the errors along two sides,
+is written for the next two waves. Both give the same values to the bit, whatever the height of the bands.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from tessera.operators.steps import new_path, stored
+from tessera.operators.tiles import groups
 from tessera.sources.relations import CHANNELS
 
 
@@ -22,28 +31,43 @@ def diffused(values: np.ndarray, quantize, carried: bool) -> np.ndarray:
     alone = values.ndim == 2
     values = values[None] if alone else values
     n, height, width = values.shape
-    out, row = np.zeros_like(values), np.zeros((n, width + 2))
-    for y in range(height):
-        below = np.zeros((n, width + 2))
-        for x in range(width):
-            wanted = values[:, y, x] + row[:, x + 1]
-            out[:, y, x] = quantize(wanted)
-            d = (wanted if carried else values[:, y, x]) - out[:, y, x]
-            row[:, x + 2] += 7 / 16 * d
-            below[:, x] += 3 / 16 * d
-            below[:, x + 1] += 5 / 16 * d
-            below[:, x + 2] += 1 / 16 * d
-        row = below
+    out, errors = np.zeros_like(values), np.zeros((n, height + 1, width + 2))  # of a line above and a texel on either side
+    for wave in range(width + 2 * (height - 1)):
+        y = np.arange(max(0, (wave - width + 2) // 2), min(height - 1, wave // 2) + 1)
+        x = wave - 2 * y
+        spread = errors[:, y, x] / 16 + errors[:, y, x + 1] * 5 / 16 + errors[:, y, x + 2] * 3 / 16 + errors[:, y + 1, x] * 7 / 16
+        wanted = values[:, y, x] + spread
+        out[:, y, x] = quantize(wanted)
+        errors[:, y + 1, x + 1] = (wanted if carried else values[:, y, x]) - out[:, y, x]
     return out[0] if alone else out
 
 
+def leaning(values: np.ndarray, there: np.ndarray, errors: np.ndarray, quantize, carried: bool) -> np.ndarray:
+    """The same of a tile whose line i is shifted by i texels: channels (n, lines, columns), and which places are texels.
+    errors (n, lines + 1, columns + 2) holds those of the line above and of two columns to the left, and gets the tile's."""
+    _, lines, columns = values.shape
+    out = np.zeros_like(values)
+    for wave in range(lines + columns - 1):
+        i = np.arange(max(0, wave - columns + 1), min(lines - 1, wave) + 1)
+        j = wave - i
+        spread = errors[:, i, j] / 16 + errors[:, i, j + 1] * 5 / 16 + errors[:, i, j + 2] * 3 / 16 + errors[:, i + 1, j + 1] * 7 / 16
+        wanted = values[:, i, j] + spread
+        out[:, i, j] = quantize(wanted)
+        errors[:, i + 1, j + 2] = np.where(there[i, j], (wanted if carried else values[:, i, j]) - out[:, i, j], 0.0)
+    return out
+
+
+def levels(bits: int, threshold: float | None):
+    top = 2**bits - 1
+    if threshold is not None:
+        return lambda v: (v > threshold).astype(float)
+    return lambda v: np.clip(np.floor(v * top + 0.5) / top, 0.0, 1.0)
+
+
 def diffuse(texels: DataFrame, bits: int = 1, threshold: float | None = None, channels=CHANNELS, carried: bool = False) -> DataFrame:
     """Slice 0 of each surface quantised to ``bits``, or to 0 and 1 about a threshold, with error diffusion. Surfaces are
     whole rectangles from the origin."""
-    top = 2**bits - 1
-
-    def level(v: np.ndarray) -> np.ndarray:
-        return (v > threshold).astype(float) if threshold is not None else np.clip(np.floor(v * top + 0.5) / top, 0.0, 1.0)
+    level = levels(bits, threshold)
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def scan(values: pd.Series, width: pd.Series) -> pd.Series:
@@ -63,3 +87,74 @@ def diffuse(texels: DataFrame, bits: int = 1, threshold: float | None = None, ch
     rows = whole.select("surface_id", "t", *[(scan(column(c), F.col("w")) if c in channels else column(c)).alias(c) for c in CHANNELS])
     rows = rows.select("surface_id", F.explode(F.arrays_zip(F.col("t"), *CHANNELS)).alias("v"))
     return rows.select("surface_id", *[F.col(f"v.t.{c}").alias(c) for c in place], *[F.col(f"v.{c}").alias(c) for c in CHANNELS]).select(texels.columns)
+
+
+LEANING = ("surface_id", "z", "band", "column")
+TEXEL, ERROR = 0, 1  # what a row of a wave is
+
+
+def _wave(lines: int, columns: int, channels: tuple[str, ...], quantize, carried: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in groups(batches, LEANING):
+            band, column = (tile.column(c)[0].as_py() for c in ("band", "column"))
+            y, x, kind = (tile.column(c).to_numpy() for c in ("y", "x", "kind"))
+            i, j = y - band * lines, x + y - column * columns
+            values, errors = np.zeros((len(channels), lines, columns)), np.zeros((len(channels), lines + 1, columns + 2))
+            there, own = np.zeros((lines, columns), bool), kind == TEXEL
+            there[i[own], j[own]] = True
+            for k, c in enumerate(channels):
+                v = tile.column(c).to_numpy()
+                values[k, i[own], j[own]] = v[own]
+                errors[k, i[~own] + 1, j[~own] + 2] = v[~own]
+            done = leaning(values, there, errors, quantize, carried)
+            texels = tile.filter(pa.array(own))
+            for k, c in enumerate(channels):
+                texels = texels.set_column(texels.column_names.index(c), c, pa.array(done[k, i[own], j[own]]))
+            yield from texels.to_batches()
+            # the last line goes to the tile below, the last two columns to the right one, their meeting to both and across
+            a, b = np.nonzero(there)
+            sides = [(b >= columns - 2, 0, 1), (a == lines - 1, 1, 0), ((a == lines - 1) & (b >= columns - 2), 1, 1)]
+            for at, down, right in sides:
+                n = int(at.sum())
+                if n:
+                    r, q = a[at], b[at]
+                    first = tile.slice(0, 1)
+                    rows = {c: pa.chunked_array([first.column(c).combine_chunks().take(pa.array(np.zeros(n, np.int64)))]) for c in tile.column_names}
+                    table = pa.table(rows)
+                    put = {
+                        "kind": np.full(n, ERROR, np.int32), "wave": np.full(n, band + column + down + right, np.int32), "band": np.full(n, band + down, np.int32), "column": np.full(n, column + right, np.int32),
+                        "y": (band * lines + r).astype(np.int32), "x": (column * columns + q - band * lines - r).astype(np.int32), **{c: errors[k, r + 1, q + 2] for k, c in enumerate(channels)},
+                    }
+                    for name, v in put.items():
+                        table = table.set_column(table.column_names.index(name), name, pa.array(v))
+                    yield from table.to_batches()
+
+    return run
+
+
+def diffuse_bands(texels: DataFrame, lines: int = 256, columns: int = 1024, bits: int = 1, threshold: float | None = None, channels=CHANNELS, carried: bool = False) -> DataFrame:
+    """diffuse for surfaces of any size, each slice by itself: bands of so many lines, cut to tiles of so many columns (at
+    least 2). There is a step for each wave, of which there are as many as bands and tiles of a band of the largest
+    surface; what is held is a tile. A step that is lost is run again from what the two before it wrote."""
+    if lines < 1 or columns < 2:
+        raise ValueError("bands have a line at least, tiles two columns")
+    spark, root = texels.sparkSession, new_path(texels.sparkSession, "diffusion")
+    whole = lambda c: F.floor(c).cast("int")
+    rows = texels.select("surface_id", *[F.col(c).cast("int").alias(c) for c in "zyx"], *[F.col(c).cast("double").alias(c) for c in CHANNELS])
+    rows = rows.withColumns({"kind": F.lit(TEXEL), "band": whole(F.col("y") / lines), "column": whole((F.col("x") + F.col("y")) / columns)})
+    rows = stored(rows.withColumn("wave", F.col("band") + F.col("column")), "waves", ["wave"])
+    schema, steps = rows.schema, {}
+    scan = _wave(lines, columns, tuple(channels), levels(bits, threshold), carried)
+    for wave in sorted(r.wave for r in rows.select("wave").distinct().collect()):  # a number for each step
+        now = rows.where(F.col("wave") == wave)
+        for before in (wave - 1, wave - 2):
+            if before in steps:
+                now = now.unionByName(steps[before].where((F.col("kind") == ERROR) & (F.col("wave") == wave)))
+        out = now.repartition(*LEANING).sortWithinPartitions(*LEANING).mapInArrow(scan, schema)
+        path = f"{root}/step={wave}"
+        out.write.partitionBy("kind", "wave").parquet(path)
+        steps[wave] = spark.read.schema(schema).parquet(path)
+    if not steps:
+        return texels
+    done = spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/step={wave}/kind={TEXEL}" for wave in steps])
+    return done.select("surface_id", *"zyx", *CHANNELS).select(texels.columns)

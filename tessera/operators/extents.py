@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.filters import Filter, box
 from tessera.operators.steps import small, stored
+from tessera.operators.wraps import wrapped
 from tessera.sources.relations import CHANNELS, PLACE, clamp
 
 AXES = {"x": "width", "y": "height", "z": "depth"}
@@ -25,17 +26,6 @@ def extents_of(texels: DataFrame) -> DataFrame:
     return texels.groupBy("surface_id").agg(*[(F.max(axis) + 1).cast("int").alias(name) for axis, name in AXES.items()])
 
 
-def wrapped(i: Column, extent: Column, mode: str) -> Column:
-    """An index of any size inside 0..extent-1, the extent being a column."""
-    if mode == "clamp":
-        return F.least(F.greatest(i, F.lit(0)), extent - 1)
-    if mode == "repeat":
-        return F.pmod(i, extent)
-    period = F.greatest(extent * 2 - 2, F.lit(1))
-    turn = F.pmod(i, period)
-    return F.when(extent == 1, 0).otherwise(F.least(turn, period - turn))
-
-
 def weights(pairs: DataFrame, shape: Filter, mode: str = "mirror", samples: int = 32) -> DataFrame:
     """(before, after, dst, src, w) for each different (before, after) of pairs: polyphase weights of sum 1 for each dst."""
     width, f = shape
@@ -67,30 +57,37 @@ def halvings(pairs: DataFrame) -> DataFrame:
     return rows.select("before", "after", "dst", F.explode(taps).alias("t")).select("before", "after", "dst", "t.src", "t.w")
 
 
-def _resampled(texels: DataFrame, extents: DataFrame, targets: DataFrame, weigh) -> DataFrame:
-    """texels at the extents of targets, axis by axis; an axis that keeps its extent isn't touched."""
+def _resampled(texels: DataFrame, extents: DataFrame, targets: DataFrame, weigh, reach: float) -> DataFrame:
+    """The texels of surfaces that are in targets at the extents there, axis by axis; an axis that keeps its extent isn't
+    touched. One aggregate of the surfaces' extents tells which axes change, and bounds the weights by the different
+    extents and the filter's reach: they are broadcast below WEIGHT_ROWS."""
     to = targets.select("surface_id", *[F.col(c).alias(f"{c}_to") for c in AXES.values() if c in targets.columns])
     if "depth_to" not in to.columns:
         to = to.join(extents.select("surface_id", F.col("depth").alias("depth_to")), "surface_id")
     sizes = extents.select("surface_id", *AXES.values()).join(to, "surface_id")
     columns = [f"{c}{end}" for c in AXES.values() for end in ("", "_to")]
-    rows = texels.select(*PLACE, *CHANNELS).join(small(sizes, WEIGHT_ROWS), "surface_id")
+    moved = {name: F.col(name) != F.col(f"{name}_to") for name in AXES.values()}
+    told = [f(F.when(moved[n], x)).alias(f"{n}{i}") for n in AXES.values() for i, (f, x) in enumerate(((F.count_distinct, F.struct(n, f"{n}_to")), (F.max, F.col(n)), (F.max, F.col(f"{n}_to"))))]
+    facts = sizes.agg(F.count(F.lit(1)).alias("surfaces"), *told).first()
+    joined = lambda df, rows: F.broadcast(df) if rows <= WEIGHT_ROWS else df.hint("merge")
+    rows = texels.select(*PLACE, *CHANNELS).join(joined(sizes, facts["surfaces"]), "surface_id")
     for axis, name in AXES.items():
-        moved = F.col(name) != F.col(f"{name}_to")
-        pairs = sizes.where(moved).select(F.col(name).alias("before"), F.col(f"{name}_to").alias("after")).distinct()
-        if pairs.isEmpty():
+        kinds, before, after = (facts[f"{name}{i}"] for i in range(3))
+        if not kinds:
             continue
-        taps = small(weigh(pairs).withColumnsRenamed({"before": name, "after": f"{name}_to"}), WEIGHT_ROWS)
-        there = rows.where(moved).withColumnRenamed(axis, "src").join(taps, [name, f"{name}_to", "src"])
+        pairs = sizes.where(moved[name]).select(F.col(name).alias("before"), F.col(f"{name}_to").alias("after")).distinct()
+        taps = joined(weigh(pairs).withColumnsRenamed({"before": name, "after": f"{name}_to"}), kinds * (2 * reach * before + 2 * after))
+        there = rows.where(moved[name]).withColumnRenamed(axis, "src").join(taps, [name, f"{name}_to", "src"])
         rest = [c for c in PLACE if c != axis]
         there = there.groupBy(*rest, F.col("dst").alias(axis), *columns).agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in CHANNELS])
-        rows = rows.where(~moved).unionByName(there)
+        rows = rows.where(~moved[name]).unionByName(there)
     return rows.select(*PLACE, *CHANNELS)
 
 
 def resized(texels: DataFrame, extents: DataFrame, targets: DataFrame, shape: Filter | None = None, mode: str = "mirror") -> DataFrame:
     """Each surface at its extent in targets (surface_id, width, height, and depth where volumes change theirs)."""
-    return _resampled(texels, extents, targets, lambda pairs: weights(pairs, shape or box(), mode))
+    shape = shape or box()
+    return _resampled(texels, extents, targets, lambda pairs: weights(pairs, shape, mode), shape[0])
 
 
 def halved(extents: DataFrame) -> DataFrame:
@@ -101,9 +98,10 @@ def halved(extents: DataFrame) -> DataFrame:
 def next_mip(texels: DataFrame, extents: DataFrame, shape: Filter | None = None, mode: str = "mirror") -> tuple[DataFrame, DataFrame]:
     """The next level of each surface that has one, and its extents. Without a filter the fast down-sampling is used."""
     more = extents.where("width > 1 OR height > 1 OR depth > 1")
-    some, to = texels.join(small(more.select("surface_id"), WEIGHT_ROWS), "surface_id", "left_semi"), halved(more)
-    weigh = halvings if shape is None else lambda pairs: weights(pairs, shape, mode)
-    return _resampled(some, more, to, weigh), to
+    to = halved(more)
+    if shape is not None:
+        return resized(texels, more, to, shape, mode), to
+    return _resampled(texels, more, to, halvings, 1.0), to
 
 
 def mip_chain(texels: DataFrame, extents: DataFrame, shape: Filter | None = None, levels: int | None = None) -> DataFrame:
@@ -149,7 +147,7 @@ def auto_resized(texels: DataFrame, extents: DataFrame, tolerance: float, shape:
         if to.isEmpty():
             return out, kept
         ids = small(to.select("surface_id"), WEIGHT_ROWS)
-        level = stored(resized(level.join(ids, "surface_id", "left_semi"), at.join(ids, "surface_id", "left_semi"), to, shape, mode), "level")
+        level = stored(resized(level, at, to, shape, mode), "level")
         good = bilinear_rms(texels.join(ids, "surface_id", "left_semi"), extents, level, to).where(F.col("rms") < tolerance).select("surface_id")
         good = small(stored(good, "good"), WEIGHT_ROWS)
         level, at = level.join(good, "surface_id", "left_semi"), to.join(good, "surface_id", "left_semi")

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import texel as T
+from tessera.operators.tiles import Extents, convolved
+from tessera.operators.wraps import wrapped
 from tessera.sources.relations import CHANNELS, clamp
 
 Filter = tuple[float, Callable[[Column], Column]]
@@ -88,18 +90,6 @@ def gaussian(variance: float = 1.0, width: float = 3.0) -> Filter:
     return width, lambda x: F.exp(-x * x / (2 * variance)) / math.sqrt(2 * math.pi * variance)
 
 
-def wrapped(i: Column, extent: int, mode: str) -> Column:
-    """An index of any size inside 0..extent-1: clamp, repeat, or mirror without the edge texel twice."""
-    if mode == "clamp":
-        return clamp(i, 0, extent - 1)
-    if mode == "repeat":
-        return F.pmod(i, F.lit(extent))
-    if extent == 1:
-        return F.lit(0)
-    turn = F.pmod(i, F.lit(2 * extent - 2))
-    return F.least(turn, 2 * extent - 2 - turn)
-
-
 def polyphase(spark: SparkSession, shape: Filter, src: int, dst: int, mode: str = "mirror", samples: int = 32) -> DataFrame:
     """(dst, src, w): the weights of a resampling, of sum 1 for each destination; equal sources are added up."""
     width, f = shape
@@ -228,35 +218,13 @@ def normalized(k: list[list[float]]) -> list[list[float]]:
     return [[v / total for v in row] for row in k]
 
 
-def convolved(texels: DataFrame, kernels: dict[str, list[list[float]]], size: tuple[int, int], channel: str, mode: str = "mirror") -> DataFrame:
-    """texels (slice 0) with a column for each kernel: the sum of its weights and ``channel`` about each texel.
-
-    A line of texels is gathered to one row, which goes to the lines that its values count for: a kernel of n lines
-    moves each texel n times, not once for each of its taps. The taps are summed inside the row."""
-    n, width = len(next(iter(kernels.values()))), size[0]
-    h = n // 2
-    flat = texels.where("z = 0")
-    line = F.transform(F.sort_array(F.collect_list(F.struct("x", F.col(channel).alias("v")))), lambda t: t["v"])
-    lines = flat.groupBy("surface_id", "y").agg(line.alias("line"))
-    padded = F.transform(F.sequence(F.lit(-h), F.lit(width - 1 + h)), lambda i: F.get("line", wrapped(i, width, mode).cast("int")))
-    about = lines.select("surface_id", F.col("y").alias("_y"), F.explode(F.sequence(F.lit(-h), F.lit(h))).alias("dy"))
-    about = about.withColumn("y", wrapped(F.col("_y") + F.col("dy"), size[1], mode).cast("int"))
-    rows = about.join(lines.select("surface_id", "y", padded.alias("line")), ["surface_id", "y"])
-    rows = rows.groupBy("surface_id", "_y").agg(F.transform(F.sort_array(F.collect_list(F.struct("dy", "line"))), lambda t: t["line"]).alias("lines"))
-    window = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda x: F.flatten(F.transform("lines", lambda line: F.slice(line, x, n))))
-    rows = rows.select("surface_id", F.col("_y").alias("y"), F.posexplode(window).alias("x", "_w"))
-    weights = {name: F.array(*[F.lit(float(v)) for row in k for v in row]) for name, k in kernels.items()}
-    sums = [F.aggregate(F.zip_with("_w", k, lambda v, w: v * w), F.lit(0.0), lambda t, v: t + v).alias(name) for name, k in weights.items()]
-    return texels.join(rows.select("surface_id", "y", "x", *sums), ["surface_id", "y", "x"])
-
-
-def convolve(texels: DataFrame, k: list[list[float]], size: tuple[int, int], channel: str, mode: str = "mirror") -> DataFrame:
+def convolve(texels: DataFrame, k: list[list[float]], size: Extents, channel: str, mode: str = "mirror") -> DataFrame:
     rows = convolved(texels, {"_sum": k}, size, channel, mode)
     return T.changed(rows, **{channel: F.col("_sum")}).select(texels.columns)
 
 
-def to_normal_map(texels: DataFrame, size: tuple[int, int], weights=(1 / 1.875, 0.5 / 1.875, 0.25 / 1.875, 0.125 / 1.875), mode: str = "mirror") -> DataFrame:
-    """Normals of the height in alpha; alpha stays."""
+def to_normal_map(texels: DataFrame, size: Extents, weights=(1 / 1.875, 0.5 / 1.875, 0.25 / 1.875, 0.125 / 1.875), mode: str = "mirror") -> DataFrame:
+    """Normals of the height in alpha; alpha stays. size: of all surfaces, or a relation of their extents."""
     du = normalized(blended_sobel(*weights))
     dv = [list(row) for row in zip(*du, strict=True)]
     rows = convolved(texels, {"_du": du, "_dv": dv}, size, "a", mode)
@@ -283,7 +251,7 @@ def scale_to_coverage(texels: DataFrame, size: tuple[int, int], wanted: float, r
     return T.each(texels, lambda c: clamp(c * best), (channel,)), best
 
 
-def bytes_to_normal_map(texels: DataFrame, size: tuple[int, int], height=(0.0, 0.0, 0.0, 1.0), sobel: int | tuple = 3, mode: str = "mirror") -> DataFrame:
+def bytes_to_normal_map(texels: DataFrame, size: Extents, height=(0.0, 0.0, 0.0, 1.0), sobel: int | tuple = 3, mode: str = "mirror") -> DataFrame:
     """Packed normals (0..1) of texels of 0..255: the height is a weighted sum of the channels, and goes to alpha. sobel
     is the size of the kernel, or the four weights of a blended one."""
     weighted = sum((F.col(c) / 255 * w for c, w in zip(CHANNELS, height, strict=True)), F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.filters import wrapped
+from tessera.operators.wraps import wrapped
 from tessera.sources.relations import CHANNELS
 
 

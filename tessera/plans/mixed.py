@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from tessera.operators import extents as E
 from tessera.operators import filters as W
+from tessera.operators import tiles
+from tessera.operators.diffusion import diffuse_bands
 from tessera.sources import relations as S
 
 TOLERANCE, WANTED, REFERENCE = 0.22, 0.4, 0.3
 STEPS = 10
 
 RAGGED = f"""e(m, w, h) AS (VALUES {', '.join(f'({i}, {w}, {h})' for i, (w, h) in enumerate(S.RAGGED))}),
-  s AS (SELECT vec_id AS id, w, h, embedding, vec_id % 7 + 1 AS f FROM embeddings JOIN e ON vec_id % {len(S.RAGGED)} = m),
+  sv AS (SELECT vec_id AS id, w, h, embedding, vec_id % 7 + 1 AS f FROM embeddings JOIN e ON vec_id % {len(S.RAGGED)} = m),
   t0 AS (SELECT id, w, h, y::INT AS y, x::INT AS x, greatest(0.0, least(1.0, embedding[(y * w + x) % 64 + 1]::DOUBLE + 0.5)) * f / 7 AS v
-         FROM (SELECT *, unnest(range(w)) AS x FROM (SELECT *, unnest(range(h)) AS y FROM s)))"""
+         FROM (SELECT *, unnest(range(w)) AS x FROM (SELECT *, unnest(range(h)) AS y FROM sv)))"""
 HALVINGS = """hv AS (SELECT n AS b, d AS dst, d * 2 + i AS src, CASE WHEN n = 1 THEN 1.0 WHEN n % 2 = 0 THEN 0.5 WHEN i = 0 THEN (n // 2 - d) / n::DOUBLE WHEN i = 1 THEN (n // 2) / n::DOUBLE ELSE (d + 1) / n::DOUBLE END AS w
   FROM range(1, 33) AS ns(n), range(16) AS ds(d), range(3) AS ks(i) WHERE d < greatest(n // 2, 1) AND i < CASE WHEN n = 1 THEN 1 WHEN n % 2 = 0 THEN 2 ELSE 3 END)"""
 
@@ -56,6 +58,55 @@ def mixed_coverage_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scales.join(means, "surface_id").select("surface_id", *[F.round(c, 6).alias(c) for c in ("scale", "coverage", "mean")])
 
 
+def mixed_convolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 5 x 5 kernel over surfaces of four extents, in tiles of 8 x 8 texels with a halo of two."""
+    t, extents = _extents(spark, sf_dir)
+    out = tiles.convolved(t, {"sum": W.normalized(W.kernel("sobel5"))}, extents, "r", "mirror", 8)
+    return out.select("surface_id", "y", "x", F.round("r", 6).alias("r"), F.round("sum", 6).alias("sum"))
+
+
+def mixed_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, extents = _extents(spark, sf_dir)
+    out = W.to_normal_map(t, extents, mode="clamp")
+    return out.select("surface_id", "y", "x", *[F.round(c, 6).alias(c) for c in S.CHANNELS])
+
+
+def diffusion_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surfaces of four extents quantised to eight levels with error diffusion, in bands of eight lines and tiles of
+    sixteen columns."""
+    out = diffuse_bands(S.ragged(spark, sf_dir), 8, 16, 3, channels=("r",), carried=True)
+    return out.select("surface_id", "y", "x", F.round("r", 6).alias("r"))
+
+
+def _kernel_sql(name: str, k: list[list[float]]) -> str:
+    values = ", ".join(f"({r}, {c}, {v}::DOUBLE)" for r, line in enumerate(k) for c, v in enumerate(line))
+    return f"{name}(dy, dx, wt) AS (VALUES {values})"
+
+
+def _tap(axis: str, n: str, half: int, mode: str) -> str:
+    at = f"(t.{axis} + k.d{axis} - {half})"
+    if mode == "clamp":
+        return f"greatest(0, least({n} - 1, {at}))"
+    return f"least((({at} % (2 * {n} - 2)) + 2 * {n} - 2) % (2 * {n} - 2), 2 * {n} - 2 - (({at} % (2 * {n} - 2)) + 2 * {n} - 2) % (2 * {n} - 2))"
+
+
+def _sums_sql(name: str, kernel: str, half: int, mode: str) -> str:
+    taps = f"SELECT t.id, t.y, t.x, t.v, k.wt, {_tap('y', 't.h', half, mode)} AS oy, {_tap('x', 't.w', half, mode)} AS ox FROM t0 AS t, {kernel} AS k"
+    return f"{name}p AS MATERIALIZED ({taps}), {name} AS (SELECT p.id, p.y, p.x, any_value(p.v) AS v, sum(p.wt * o.v) AS s FROM {name}p AS p JOIN t0 AS o ON o.id = p.id AND o.y = p.oy AND o.x = p.ox GROUP BY 1, 2, 3)"
+
+
+def _diffusion_sql() -> str:
+    spread = "list_transform(range(1, w + 3), lambda i: coalesce(ahead[i + 1], 0) + CASE WHEN i = 1 AND x < w - 1 THEN d * 7 / 16 WHEN i = w - 1 AND x > 0 THEN d * 3 / 16 WHEN i = w THEN d * 5 / 16 WHEN i = w + 1 AND x < w - 1 THEN d / 16 ELSE 0.0 END)"
+    return f"""WITH RECURSIVE {RAGGED}, n AS (SELECT id, w, y * w + x AS t, v FROM t0),
+        s AS (SELECT id, w, -1::BIGINT AS t, 0.0::DOUBLE AS q, [0.0::DOUBLE] AS ahead FROM (SELECT DISTINCT id, w FROM t0)
+          UNION ALL SELECT id, w, t, q, {spread} AS ahead FROM (SELECT *, wanted - q AS d, t % w AS x FROM (SELECT *, greatest(0.0, least(1.0, floor(wanted * 7 + 0.5) / 7)) AS q FROM (SELECT s.id, s.w, n.t, n.v, s.ahead, n.v + CASE WHEN s.t < 0 THEN 0 ELSE s.ahead[1] END AS wanted FROM s JOIN n ON n.id = s.id AND n.t = s.t + 1))))
+        SELECT id AS surface_id, (t // w)::INT AS y, (t % w)::INT AS x, round(q, 6) AS r FROM s WHERE t >= 0"""
+
+
+DU = W.normalized(W.blended_sobel(1 / 1.875, 0.5 / 1.875, 0.25 / 1.875, 0.125 / 1.875))
+DV = [list(row) for row in zip(*DU, strict=True)]
+
+
 def _mips_sql() -> str:
     levels = [f"t{k + 1} AS (SELECT id, greatest(t.w // 2, 1) AS w, greatest(t.h // 2, 1) AS h, hy.dst AS y, hx.dst AS x, sum(v * hx.w * hy.w) AS v FROM t{k} AS t JOIN hv AS hx ON hx.b = t.w AND hx.src = x JOIN hv AS hy ON hy.b = t.h AND hy.src = y WHERE t.w > 1 OR t.h > 1 GROUP BY ALL)" for k in range(5)]
     parts = " UNION ALL ".join(f"SELECT id AS surface_id, {k} AS mip, y::INT AS y, x::INT AS x, round(v, 6) AS r FROM t{k}" for k in range(6))
@@ -114,11 +165,17 @@ def _scale_sql() -> str:
 
 TO_W, TO_H = "((t.w * 2 + 2) // 3)", "(t.h + 3)"
 _PAIRS = "SELECT w AS b, (w * 2 + 2) // 3 AS a FROM e UNION ALL SELECT h, h + 3 FROM e"
-QUERIES = {"mixed_mips": mixed_mips, "mixed_resize": mixed_resize, "mixed_auto_resize": mixed_auto_resize, "mixed_coverage": mixed_coverage, "mixed_coverage_scale": mixed_coverage_scale}
+QUERIES = {"mixed_mips": mixed_mips, "mixed_resize": mixed_resize, "mixed_auto_resize": mixed_auto_resize, "mixed_coverage": mixed_coverage, "mixed_coverage_scale": mixed_coverage_scale,
+           "mixed_convolve": mixed_convolve, "mixed_normals": mixed_normals, "diffusion_bands": diffusion_bands}
 SQL = {
     "mixed_mips": _mips_sql(),
     "mixed_resize": f"WITH {RAGGED}, {_polyphase(_PAIRS, 1.0, 'greatest(1 - abs(u), 0)', '((i % b) + b) % b')} SELECT id AS surface_id, y::INT AS y, x::INT AS x, round(v, 6) AS r, round(v, 6) AS a FROM ({_moved('t0', TO_W, TO_H)})",
     "mixed_auto_resize": _auto_sql(),
     "mixed_coverage": f"WITH {RAGGED}, {QUADS} SELECT id AS surface_id, round(avg({_passed('1')}) / 16, 6) AS coverage FROM q GROUP BY id",
     "mixed_coverage_scale": _scale_sql(),
+    "mixed_convolve": f"WITH {RAGGED}, {_kernel_sql('kn', W.normalized(W.kernel('sobel5')))}, {_sums_sql('o', 'kn', 2, 'mirror')} SELECT id AS surface_id, y, x, round(v, 6) AS r, round(s, 6) AS sum FROM o",
+    "mixed_normals": f"""WITH {RAGGED}, {_kernel_sql('ku', DU)}, {_kernel_sql('kv', DV)}, {_sums_sql('u', 'ku', 4, 'clamp')}, {_sums_sql('v', 'kv', 4, 'clamp')},
+        l AS (SELECT u.id, u.y, u.x, u.v AS a, u.s AS r, v.s AS g, 1 / 16.0::DOUBLE AS b, sqrt(u.s * u.s + v.s * v.s + 1 / 256.0::DOUBLE) AS n FROM u JOIN v ON u.id = v.id AND u.y = v.y AND u.x = v.x)
+        SELECT id AS surface_id, y, x, round(r / n, 6) AS r, round(g / n, 6) AS g, round(b / n, 6) AS b, round(a, 6) AS a FROM l""",
+    "diffusion_bands": _diffusion_sql(),
 }
