@@ -48,8 +48,8 @@ def settled(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     """written(df), after which the tables in done (as written or settled returned them) are deleted, and the driver is
     asked to collect its garbage: the shuffle files of a finished step stay on the executors' disks until it does."""
     out, spark = written(df, name), df.sparkSession
-    for table_ in done:
-        path = spark._jvm.org.apache.hadoop.fs.Path(table_._tessera_path)
+    for at in [t._tessera_path for t in done if hasattr(t, "_tessera_path")]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()  # plans that Python still holds keep their shuffle files
     spark._jvm.System.gc()

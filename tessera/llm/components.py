@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import settled
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,21 +16,22 @@ def components(edges: DataFrame) -> DataFrame:
     folded before they are exchanged, so a hub costs no more than its edges.
     """
     rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
-    edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    edges = settled(edges.select("a", "b").where("a <> b").distinct(), "edges")
     steps = []
     while not edges.isEmpty():
+        before = edges
         both = edges.union(edges.select("b", "a"))
         joins = both.groupBy("a").agg(F.min(rank("b")).alias("least")).withColumn("own", rank("a"))
         joins = joins.select(F.col("a").alias("node"), F.least("least", "own")["id"].alias("to"))
-        steps.append(written(joins, "joins"))
+        steps.append(settled(joins, "joins"))
         to = steps[-1]
         edges = edges.join(to.withColumnsRenamed({"node": "a", "to": "la"}), "a").join(to.withColumnsRenamed({"node": "b", "to": "lb"}), "b")
         low, high = F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")
-        edges = written(edges.where("la <> lb").select(low, high).distinct(), "edges")
+        edges = settled(edges.where("la <> lb").select(low, high).distinct(), "edges", before)
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels = steps[0].withColumnRenamed("to", "label")
     for to in steps[1:]:
         labels = labels.join(to.withColumnsRenamed({"node": "label", "to": "next"}), "label", "left")
         labels = labels.select("node", F.coalesce("next", "label").alias("label"))
-    return written(labels, "labels")
+    return settled(labels, "labels", *steps)

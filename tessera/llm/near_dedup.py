@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ROW, attach, only_rows, table, with_rows, written
+from tessera.llm.common import ROW, attach, only_rows, settled, table, with_rows
 from tessera.llm.components import components
 from tessera.llm.texthash import U, mixed, shingle_sets
 
@@ -130,17 +130,17 @@ def compared(edges: DataFrame, sets: DataFrame, a: str, b: str, per_chunk: int =
 
 def confirmed(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b): links between nodes that give the components of all links."""
-    buckets = written(candidate_buckets(nodes), "buckets")
+    buckets = settled(candidate_buckets(nodes), "buckets")
     wanted = buckets.select(F.col("node").alias("row")).distinct()
     # a merge join at any size: what it moves then grows with the input alone
     texts = numbered(docs).select("row", "text").join(wanted.hint("merge"), "row", "left_semi")
-    sets = written(texts.withColumnRenamed("row", "node").mapInArrow(_sets, "node long, items array<long>"), "sets")
-    pairs = compared(pivot_edges(buckets), sets, "pivot", "node")
+    sets = settled(texts.withColumnRenamed("row", "node").mapInArrow(_sets, "node long, items array<long>"), "sets")
+    pairs = compared(settled(pivot_edges(buckets), "pivots", buckets), sets, "pivot", "node")
     star = pairs.select(
         "pivot", "node", F.size("items_a").alias("n_pivot"), F.size("items_b").alias("n"), F.size(F.array_intersect("items_a", "items_b")).alias("inside"),
         F.array_except("items_b", "items_a").alias("rest"),
     )
-    star = written(star.withColumn("linked", enough(F.col("inside"), F.col("n_pivot"), F.col("n"))), "star")
+    star = settled(star.withColumn("linked", enough(F.col("inside"), F.col("n_pivot"), F.col("n"))), "star")
     links = star.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     return links.union(rest_links(star, links, sets))
 
@@ -156,12 +156,13 @@ def rest_links(star: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
     family = attach(star.withColumn("run", spread("node")).join(label("node", "l"), "node", "left"), label("pivot", "lp"), ["pivot"], "run")
     family = family.select("pivot", "node", "run", "n", "inside", "rest", F.coalesce("l", "node").alias("l"), (F.coalesce("l", "node") != F.coalesce("lp", "pivot")).alias("apart"))
     family = attach(family, family.where("apart").select("pivot").distinct(), ["pivot"], "run", "inner").drop("run")
+    family = settled(family, "family", labels)
     items = family.select("pivot", "node", F.explode("rest").alias("item"))
-    common = items.groupBy("pivot", "item").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > COMMON)
+    common = settled(items.groupBy("pivot", "item").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > COMMON), "common")
     held = items.join(common, ["pivot", "item"]).groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("held"))
     family = family.withColumn("out", F.size("rest")).drop("rest").join(held, ["pivot", "node"], "left")
     shift = F.coalesce("held", F.lit(0))
-    family = written(family.withColumn("inside", F.col("inside") + shift).withColumn("out", F.col("out") - shift).drop("held"), "family")
+    family = settled(family.withColumn("inside", F.col("inside") + shift).withColumn("out", F.col("out") - shift).drop("held"), "family")
     side = lambda df, x: df.select("pivot", *[F.col(c).alias(c + x) for c in ("node", "n", "inside", "out", "l")])
     rare = items.join(common, ["pivot", "item"], "left_anti")
     least, differ = F.least("inside_a", "inside_b"), F.col("l_a") != F.col("l_b")
@@ -169,15 +170,15 @@ def rest_links(star: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
     near = holder(family.where("apart"), "_a").join(holder(family, "_b"), ["pivot", "item"])
     near = near.where(differ & enough(least + F.least("out_a", "out_b"), F.col("n_a"), F.col("n_b")))
     near = near.groupBy("pivot", "node_a", "node_b").agg(F.count(F.lit(1)).alias("both"), *[F.first(c).alias(c) for c in ("inside_a", "inside_b", "n_a", "n_b")])
-    near = near.where(enough(least + F.col("both"), F.col("n_a"), F.col("n_b")))
+    near = settled(near.where(enough(least + F.col("both"), F.col("n_a"), F.col("n_b"))).select("node_a", "node_b"), "near")
     # without a common rest each set has PERCENT of its elements inside, and sizes differ by no more
     within = family.where(F.col("inside") * 100 >= F.col("n") * PERCENT)
     most = F.col("inside_a") * ((100 + PERCENT) / PERCENT) - F.col("n_a")
     sizes = F.sequence(size_class(F.col("n_a") * (PERCENT / 100)), size_class(F.greatest(most, F.col("n_a") * (PERCENT / 100))))
     one = side(within.where("apart"), "_a").withColumn("size", F.explode(sizes))
     plain = one.join(side(within, "_b").withColumn("size", size_class(F.col("n_b"))), ["pivot", "size"]).where(differ & enough(least, F.col("n_a"), F.col("n_b")))
-    pairs = near.select("node_a", "node_b").union(plain.select("node_a", "node_b"))
-    pairs = written(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "pairs")
+    pairs = near.union(plain.select("node_a", "node_b"))
+    pairs = settled(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "pairs")
     pairs = compared(pairs, sets, "a", "b")
     inter = F.size(F.array_intersect("items_a", "items_b"))
     return pairs.where(enough(inter, F.size("items_a"), F.size("items_b"))).select("a", "b")
@@ -199,10 +200,10 @@ def decided(docs: DataFrame) -> DataFrame:
     """near_dedup with row, and alike: what the rows of a component have in common and no others."""
     if ROW not in docs.columns:
         docs = with_rows(docs.select("doc_id", "text"))
-    signed = written(numbered(docs).mapInArrow(_sign, SIGNED_SQL), "signed")
+    signed = settled(numbered(docs).mapInArrow(_sign, SIGNED_SQL), "signed")
     nodes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
-    nodes = written(nodes, "nodes")
-    labels = components(confirmed(docs, nodes))
+    nodes = settled(nodes, "nodes")
+    labels = components(settled(confirmed(docs, nodes), "links"))
     lows = nodes.select("digest", "node", "low").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = lows.groupBy("label").agg(F.min("low").alias("component_id"))
     facts = lows.join(least, "label").select("digest", "label", "component_id")

@@ -71,14 +71,15 @@ def test_other_splits_between_the_passes(spark, tmp_path, monkeypatch, module):
         spark.createDataFrame([(k, text)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
     docs, key = spark.read.parquet(path), "spark.sql.files.maxPartitionBytes"
     run = module.near_dedup if module is near_dedup else module.line_dedup
-    want, usual, written = sorted(map(tuple, run(docs).collect()), key=str), spark.conf.get(key), module.written
+    step = "settled" if module is near_dedup else "written"
+    want, usual, written = sorted(map(tuple, run(docs).collect()), key=str), spark.conf.get(key), getattr(module, step)
 
-    def resplit(df, name):
-        out = written(df, name)
+    def resplit(df, name, *done):
+        out = written(df, name, *done)
         spark.conf.set(key, "8k")  # as when other cores are registered
         return out
 
-    monkeypatch.setattr(module, "written", resplit)
+    monkeypatch.setattr(module, step, resplit)
     try:
         spark.conf.set(key, "1g")
         spark.conf.set("spark.sql.files.minPartitionNum", "1")
