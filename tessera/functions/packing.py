@@ -178,7 +178,7 @@ def hex_digits(values: list[Column]) -> Column:
 def packed_rows(texels: DataFrame, fields: list[tuple[Column, int]], width: int, alignment: int = 1) -> DataFrame:
     """(surface_id, z, y, data): each row of texels as bytes. fields: unsigned values and their bits, the first in the
     lowest bits; texels follow each other without gaps, and rows are filled with zeros up to their pitch. A row of texels
-    is one value. Texels that share a byte are added up by byte first."""
+    is one value; with a width of 0 it is as long as its texels. Texels that share a byte are added up by byte first."""
     total = sum(size for _, size in fields)
     line, parts = ["surface_id", "z", "y"], field_bytes(fields)
     if total % 8 == 0:
@@ -191,7 +191,10 @@ def packed_rows(texels: DataFrame, fields: list[tuple[Column, int]], width: int,
         pieces = texels.select(*line, first.alias("first"), F.posexplode(F.array(*moved)).alias("k", "v")).groupBy(*line, (F.col("first") + F.col("k")).alias("i")).agg(F.sum("v").alias("v"))
         pieces = pieces.where(F.col("i") < byte_pitch(width, total)).select(*line, "i", hex_digits([F.col("v")]).alias("p"))
     rows = pieces.groupBy(*line).agg(F.sort_array(F.collect_list(F.struct("i", "p"))).alias("t"))
-    return rows.select(*line, F.unhex(F.rpad(F.array_join(F.transform("t", lambda t: t["p"]), ""), 2 * byte_pitch(width, total, alignment), "0")).alias("data"))
+    digits = F.array_join(F.transform("t", lambda t: t["p"]), "")
+    if not width:
+        return rows.select(*line, F.unhex(digits).alias("data"))
+    return rows.select(*line, F.unhex(F.rpad(digits, 2 * byte_pitch(width, total, alignment), "0")).alias("data"))
 
 
 def uncompressed(texels: DataFrame, width: int, sizes=(8, 8, 8, 8), masks=None, bits: int = 0, kind: str = "unorm", alignment: int = 1) -> DataFrame:

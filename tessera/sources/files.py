@@ -7,7 +7,6 @@ container become rows by exploding its payload, so decoding is spread over tasks
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions.packing import from_half, uncompressed
 from tessera.operators.codecs import SAME, SIZES, code_bytes, decode, little
 from tessera.operators.layout import format_table
+from tessera.sources.png import png
 
 #: Fixed values of the container format: magic number, header size, flags, and the offset of the payload.
 MAGIC, HEADER = b"DDS ".hex().upper(), 124
@@ -226,49 +226,6 @@ def tga(data: bytes) -> np.ndarray:
     return np.concatenate([v[..., 2::-1], alpha], 2) / 255.0
 
 
-def png(data: bytes) -> np.ndarray:
-    """The texels of a PNG of 8 bits a channel, not interlaced; a missing alpha is 0."""
-    at, idat, palette = 8, b"", None
-    while at < len(data):
-        size, kind = struct.unpack_from(">I4s", data, at)
-        body = data[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
-            width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", body)
-        elif kind == b"PLTE":
-            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
-        elif kind == b"IDAT":
-            idat += body
-        at += 12 + size
-    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    if depth != 8 or interlace:
-        raise ValueError("unsupported PNG")
-    raw = np.frombuffer(zlib.decompress(idat), np.uint8).reshape(height, 1 + width * n)
-    lines = np.zeros((height + 1, width * n + n), np.int64)  # a line above and a texel to the left of zeros
-    for y in range(height):
-        kind, line, up = raw[y, 0], lines[y + 1], lines[y]
-        line[n:] = raw[y, 1:]
-        if kind == 2:
-            line[n:] += up[n:]
-        elif kind:
-            for x in range(n, len(line)):
-                left, above, corner = int(line[x - n]), int(up[x]), int(up[x - n])
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
-                    guess = (left + above) // 2
-                else:
-                    p = left + above - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - above), 1, above), (abs(p - corner), 2, corner))[2]
-                line[x] = (line[x] + guess) & 255
-        line &= 255
-    v = lines[1:, n:].reshape(height, width, n)
-    if colour == 3:
-        v, n = palette[v[..., 0]].astype(np.int64), 3
-    rgb = v[..., :3] if n >= 3 else np.repeat(v[..., :1], 3, 2)
-    alpha = v[..., -1:] if n in (2, 4) else np.zeros((height, width, 1), np.int64)
-    return np.concatenate([rgb, alpha], 2) / 255.0
-
-
 def radiance(data: bytes) -> np.ndarray:
     """The texels of a Radiance picture with flat or run-length coded lines; alpha is 1."""
     head, rest = data.split(b"\n\n", 1)
