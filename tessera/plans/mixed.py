@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import texel as T
+from tessera.operators import colours as K
 from tessera.operators import extents as E
 from tessera.operators import filters as W
 from tessera.operators import tiles
+from tessera.operators.codecs import gather
 from tessera.operators.diffusion import diffuse_bands
+from tessera.plans.maps import BLOCKS
 from tessera.sources import relations as S
 
 TOLERANCE, WANTED, REFERENCE = 0.22, 0.4, 0.3
+MERGE = 0.09
 STEPS = 10
 
 RAGGED = f"""e(m, w, h) AS (VALUES {', '.join(f'({i}, {w}, {h})' for i, (w, h) in enumerate(S.RAGGED))}),
@@ -78,6 +83,26 @@ def diffusion_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("surface_id", "y", "x", F.round("r", 6).alias("r"))
 
 
+def merged_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colours of each 4 x 4 surface, darkened by half, after merging, and which are left without blacks."""
+    t = T.each(S.blocks(spark, sf_dir), lambda c: c / 2, T.RGB)
+    rows = K.merged(gather(t), MERGE)
+    rows = rows.select("surface_id", "any_black", F.size(K.without_blacks(F.col("colours"))).alias("left"), F.posexplode("colours").alias("k", "c"))
+    return rows.select("surface_id", "k", *[F.round(f"c.{c}", 6).alias(c) for c in "rgbw"], "any_black", "left")
+
+
+def _merged_sql() -> str:
+    near = f"abs(c.r - x.r) < {MERGE} AND abs(c.g - x.g) < {MERGE} AND abs(c.b - x.b) < {MERGE}"
+    mean = lambda c: f"(c.{c} * c.w + x.{c} * x.w) / (c.w + x.w)"
+    return f"""WITH RECURSIVE {BLOCKS}, n AS (SELECT surface_id AS id, y * 4 + x AS t, {{'r': r / 2, 'g': g / 2, 'b': b / 2, 'w': a::DOUBLE}} AS x FROM b),
+        f AS (SELECT DISTINCT surface_id AS id, -1::BIGINT AS t, []::STRUCT(r DOUBLE, g DOUBLE, b DOUBLE, w DOUBLE)[] AS cs, false AS black FROM b
+          UNION ALL SELECT id, t, CASE WHEN x.w <= 0 THEN cs WHEN spot = 0 THEN list_append(cs, x) ELSE list_transform(cs, lambda c, i: CASE WHEN i = spot THEN {{'r': {mean('r')}, 'g': {mean('g')}, 'b': {mean('b')}, 'w': c.w + x.w}} ELSE c END) END,
+            black OR (x.w > 0 AND x.r < 0.125 AND x.g < 0.125 AND x.b < 0.125)
+          FROM (SELECT n.id, n.t, n.x, f.cs, f.black, coalesce(list_position(list_transform(f.cs, lambda c: {near.replace('x.', 'n.x.')}), true), 0) AS spot FROM f JOIN n ON n.id = f.id AND n.t = f.t + 1)),
+        e AS (SELECT id, black, len(list_filter(cs, lambda c: NOT (c.r < 0.125 AND c.g < 0.125 AND c.b < 0.125))) AS left_, unnest(cs) AS c, unnest(range(len(cs))) AS k FROM f WHERE t = 15)
+        SELECT id AS surface_id, k, round(c.r, 6) AS r, round(c.g, 6) AS g, round(c.b, 6) AS b, round(c.w, 6) AS w, black AS any_black, left_ AS "left" FROM e"""
+
+
 def _kernel_sql(name: str, k: list[list[float]]) -> str:
     values = ", ".join(f"({r}, {c}, {v}::DOUBLE)" for r, line in enumerate(k) for c, v in enumerate(line))
     return f"{name}(dy, dx, wt) AS (VALUES {values})"
@@ -166,7 +191,7 @@ def _scale_sql() -> str:
 TO_W, TO_H = "((t.w * 2 + 2) // 3)", "(t.h + 3)"
 _PAIRS = "SELECT w AS b, (w * 2 + 2) // 3 AS a FROM e UNION ALL SELECT h, h + 3 FROM e"
 QUERIES = {"mixed_mips": mixed_mips, "mixed_resize": mixed_resize, "mixed_auto_resize": mixed_auto_resize, "mixed_coverage": mixed_coverage, "mixed_coverage_scale": mixed_coverage_scale,
-           "mixed_convolve": mixed_convolve, "mixed_normals": mixed_normals, "diffusion_bands": diffusion_bands}
+           "mixed_convolve": mixed_convolve, "mixed_normals": mixed_normals, "diffusion_bands": diffusion_bands, "merged_colours": merged_colours}
 SQL = {
     "mixed_mips": _mips_sql(),
     "mixed_resize": f"WITH {RAGGED}, {_polyphase(_PAIRS, 1.0, 'greatest(1 - abs(u), 0)', '((i % b) + b) % b')} SELECT id AS surface_id, y::INT AS y, x::INT AS x, round(v, 6) AS r, round(v, 6) AS a FROM ({_moved('t0', TO_W, TO_H)})",
@@ -178,4 +203,5 @@ SQL = {
         l AS (SELECT u.id, u.y, u.x, u.v AS a, u.s AS r, v.s AS g, 1 / 16.0::DOUBLE AS b, sqrt(u.s * u.s + v.s * v.s + 1 / 256.0::DOUBLE) AS n FROM u JOIN v ON u.id = v.id AND u.y = v.y AND u.x = v.x)
         SELECT id AS surface_id, y, x, round(r / n, 6) AS r, round(g / n, 6) AS g, round(b / n, 6) AS b, round(a, 6) AS a FROM l""",
     "diffusion_bands": _diffusion_sql(),
+    "merged_colours": _merged_sql(),
 }
