@@ -411,3 +411,29 @@ def harmonics(x: Column, y: Column, z: Column) -> list[Column]:
     # fixed values: the normalisation of each order
     k0, k1, k2, k3, k4 = 0.2820948, 0.4886025, 1.0925484, 0.9461747, 0.5462742
     return [F.lit(k0), y * -k1, z * k1, x * -k1, x * y * k2, y * z * -k2, z * z * k3 - 0.3153916, x * z * -k2, (x * x - y * y) * k4]
+
+
+def harmonics_to(order: int, x: Column, y: Column, z: Column) -> dict[tuple[int, int], Column]:
+    """The real spherical harmonics of a direction by (band, argument), up to band ``order``: associated Legendre functions
+    by their recurrences over bands, without the power of the sine, which is with the powers of x + iy."""
+    powers = [(F.lit(1.0), F.lit(0.0))]
+    for _ in range(order):
+        re, im = powers[-1]
+        powers.append((re * x - im * y, re * y + im * x))
+    out, before = {}, {}
+    for m in range(order + 1):
+        double = math.prod(range(2 * m - 1, 0, -2)) * (-1) ** m
+        for band in range(m, order + 1):
+            if band == m:
+                value = F.lit(float(double))
+            elif band == m + 1:
+                value = z * (2 * m + 1) * before[m]
+            else:
+                value = (z * (2 * band - 1) * before[band - 1] - before[band - 2] * (band + m - 1)) / (band - m)
+            before[band] = value
+            size = math.sqrt((2 * band + 1) * math.factorial(band - m) / (4 * math.pi * math.factorial(band + m)))
+            if m == 0:
+                out[band, 0] = value * size
+            else:
+                out[band, m], out[band, -m] = (value * part * (size * math.sqrt(2)) for part in powers[m])
+    return out

@@ -147,6 +147,15 @@ def bytes_565(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("code", code).select("surface_id", "y", "x", *S.CHANNELS, "code", *[c.cast("int").alias(n) for c, n in zip(back, ("r2", "g2", "b2"), strict=True)])
 
 
+def irradiance_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of alpha over directions against the 25 harmonics up to band 4, a row for each."""
+    n = T.normalize(T.expand_normals(S.blocks(spark, sf_dir)))
+    values = T.harmonics_to(4, F.col("r"), F.col("g"), F.col("b"))
+    sums = n.groupBy("surface_id").agg(*[F.avg(v * F.col("a")).alias(f"c{i}") for i, v in enumerate(values.values())])
+    rows = F.explode(F.array(*[F.struct(F.lit(band).alias("band"), F.lit(m).alias("argument"), F.round(f"c{i}", 6).alias("value")) for i, (band, m) in enumerate(values)]))
+    return sums.select("surface_id", rows.alias("v")).select("surface_id", "v.*")
+
+
 def irradiance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each surface's red, weighted by the spherical harmonics of its texels' directions and averaged."""
     t = T.normalize(signed(S.blocks(spark, sf_dir)))
@@ -154,11 +163,24 @@ def irradiance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("surface_id").agg(*sums)
 
 
-QUERIES = {f"map_{name}": _query(relation, of) for name, (relation, of, _) in CASES.items()} | {"map_bytes_565": bytes_565, "sh_projection": irradiance}
+#: The polynomials of the real harmonics by band and argument.
+HARMONICS = {
+    (0, 0): "0.28209479177387814::DOUBLE",
+    (1, -1): "-0.4886025119029199 * y", (1, 0): "0.4886025119029199 * z", (1, 1): "-0.4886025119029199 * x",
+    (2, -2): "1.0925484305920792 * x * y", (2, -1): "-1.0925484305920792 * y * z", (2, 0): "0.31539156525252005 * (3 * z * z - 1)", (2, 1): "-1.0925484305920792 * x * z", (2, 2): "0.5462742152960396 * (x * x - y * y)",
+    (3, -3): "-0.5900435899266435 * (3 * x * x * y - y * y * y)", (3, -2): "2.890611442640554 * x * y * z", (3, -1): "-0.4570457994644658 * y * (5 * z * z - 1)", (3, 0): "0.3731763325901154 * z * (5 * z * z - 3)",
+    (3, 1): "-0.4570457994644658 * x * (5 * z * z - 1)", (3, 2): "1.445305721320277 * (x * x - y * y) * z", (3, 3): "-0.5900435899266435 * (x * x * x - 3 * x * y * y)",
+    (4, -4): "0.6258357354491761 * 4 * (x * x * x * y - x * y * y * y)", (4, -3): "-1.7701307697799304 * z * (3 * x * x * y - y * y * y)", (4, -2): "0.9461746957575601 * x * y * (7 * z * z - 1)",
+    (4, -1): "-0.6690465435572892 * y * z * (7 * z * z - 3)", (4, 0): "0.10578554691520431 * (35 * z * z * z * z - 30 * z * z + 3)", (4, 1): "-0.6690465435572892 * x * z * (7 * z * z - 3)",
+    (4, 2): "0.47308734787878004 * (x * x - y * y) * (7 * z * z - 1)", (4, 3): "-1.7701307697799304 * z * (x * x * x - 3 * x * y * y)", (4, 4): "0.6258357354491761 * (x * x * x * x - 6 * x * x * y * y + y * y * y * y)",
+}
+QUERIES = {f"map_{name}": _query(relation, of) for name, (relation, of, _) in CASES.items()} | {"map_bytes_565": bytes_565, "sh_projection": irradiance, "sh_orders": irradiance_orders}
 SQL = {f"map_{name}": text for name, (_, _, text) in CASES.items()} | {
     "map_bytes_565": f"""WITH {BLOCKS}, i AS (SELECT surface_id, y, x, trunc(r * 255)::INT AS r, trunc(g * 255)::INT AS g, trunc(b * 255)::INT AS b, trunc(a * 255)::INT AS a FROM b),
         q AS (SELECT *, r // 8 AS r5, g // 4 AS g6, b // 8 AS b5 FROM i)
         SELECT surface_id, y, x, r, g, b, a, (r5 * 2048 + g6 * 32 + b5)::INT AS code, (r5 * 8 + r5 // 4)::INT AS r2, (g6 * 4 + g6 // 16)::INT AS g2, (b5 * 8 + b5 // 4)::INT AS b2 FROM q""",
+    "sh_orders": f"""WITH {BLOCKS}, {SIGNED}, {UNIT}, h AS (SELECT surface_id, a, r AS x, g AS y, b AS z FROM n)
+        SELECT surface_id, band, argument, round(avg(v * a), 6) AS value FROM ({" UNION ALL ".join(f"SELECT surface_id, a, {band} AS band, {m} AS argument, {f} AS v FROM h" for (band, m), f in HARMONICS.items())}) GROUP BY 1, 2, 3""",
     "sh_projection": f"""WITH {BLOCKS}, {SIGNED}, {UNIT}
         SELECT surface_id, round(avg(0.2820948 * a), 6) AS c0, round(avg(-0.4886025 * g * a), 6) AS c1, round(avg(0.4886025 * b * a), 6) AS c2, round(avg(-0.4886025 * r * a), 6) AS c3,
                round(avg(1.0925484 * r * g * a), 6) AS c4, round(avg(-1.0925484 * g * b * a), 6) AS c5, round(avg((0.9461747 * b * b - 0.3153916) * a), 6) AS c6,
