@@ -214,15 +214,48 @@ def to_tga(texels: DataFrame, extents: DataFrame) -> DataFrame:
     return rows.join(extents, "surface_id").select("surface_id", F.concat(head, F.unhex(F.array_join(F.transform("t", lambda x: x["p"]), ""))).alias("content"))
 
 
+#: What the number of a TGA's kind says, and what is added to it if texels are coded by runs.
+INDEXED, COLOURS, GREY, BY_RUNS = 1, 2, 3, 8
+
+
+def _by_runs(data: bytes, at: int, count: int, size: int) -> np.ndarray:
+    """The bytes of count texels that are coded by packets: one texel and how often, or so many texels."""
+    places, left = [], count
+    while left > 0:
+        n = min((data[at] & 127) + 1, left)
+        if data[at] & 128:
+            places.append(np.full(n, at + 1))
+            at += 1 + size
+        else:
+            places.append(at + 1 + size * np.arange(n))
+            at += 1 + size * n
+        left -= n
+    if at > len(data):
+        raise ValueError("the file ends early")
+    return np.frombuffer(data, np.uint8)[np.concatenate(places)[:, None] + np.arange(size)]
+
+
 def tga(data: bytes) -> np.ndarray:
-    """The texels (height, width, 4), 0..1, of an uncompressed 24- or 32-bit TGA."""
-    skip, kind, width, height, bits, flags = data[0], data[2], *struct.unpack_from("<HHBB", data, 12)
-    if kind != 2 or bits not in (24, 32):
+    """The texels (height, width, 4), 0..1, of a TGA: colours of 16, 24 or 32 bits, indexed colours of 24 bits, or grey,
+    which is also its alpha; plain or by runs. A missing alpha is 0."""
+    skip, mapped, kind, entries, entry, width, height, bits, flags = struct.unpack_from("<BBB2xHB4xHHBB", data)
+    runs, kind = kind >= BY_RUNS, kind % BY_RUNS
+    if kind not in (INDEXED, COLOURS, GREY) or (kind == COLOURS and bits not in (16, 24, 32)) or (kind != COLOURS and bits != 8) or (kind == INDEXED and (mapped != 1 or entry != 24 or entries > 256)):
         raise ValueError("unsupported TGA")
-    n = bits // 8
-    v = np.frombuffer(data, np.uint8, width * height * n, 18 + skip).reshape(height, width, n)
+    at, n, count = 18 + skip, bits // 8, width * height
+    if kind == INDEXED:
+        palette = np.frombuffer(data, np.uint8, entries * 3, at).reshape(entries, 3)
+        at += entries * 3
+    v = (_by_runs(data, at, count, n) if runs else np.frombuffer(data, np.uint8, count * n, at)).reshape(height, width, n)
     v = v if flags & 0x20 else v[::-1]
-    alpha = v[..., 3:] if n == 4 else np.zeros((height, width, 1), np.uint8)
+    if kind == GREY:
+        return np.repeat(v, 4, 2) / 255.0
+    if kind == INDEXED:
+        v = palette[v[..., 0]]
+    elif bits == 16:
+        word = v[..., 0].astype(np.uint16) + v[..., 1].astype(np.uint16) * 256
+        v = np.stack([(c << 3) | (c >> 2) for c in (word & 31, word >> 5 & 31, word >> 10 & 31)], 2)
+    alpha = v[..., 3:] if v.shape[2] == 4 else np.zeros((height, width, 1), np.uint8)
     return np.concatenate([v[..., 2::-1], alpha], 2) / 255.0
 
 
@@ -259,7 +292,7 @@ TEXELS = "surface_id string, z int, y int, x int, r double, g double, b double,
 
 def read_images(files: DataFrame) -> DataFrame:
     """Texels of files as Spark's binaryFile source reads them (path, content), by extension. A file that can't be read
-    fails the job."""
+    fails the job; tessera.sources.folders goes by content and tells of such files in rows."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

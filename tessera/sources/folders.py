@@ -64,7 +64,7 @@ def decoded(data: bytes) -> np.ndarray:
         return ppm(data)
     if data[:2] == b"\xff\xd8":
         raise ValueError("JPEG: spark.read.format('image') and relations.from_image_source read it")
-    if len(data) > 18 and data[1] == 0 and data[2] == 2 and data[16] in (24, 32):
+    if len(data) > 18 and data[1] in (0, 1) and data[2] in (1, 2, 3, 9, 10, 11):
         return files.tga(data)
     raise ValueError("unknown format")
 

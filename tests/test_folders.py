@@ -203,3 +203,52 @@ def test_a_lost_task_leaves_nothing(spark, tmp_path):
     assert (tmp_path / "a.bin").read_bytes() == b"1234" and not os.listdir(tmp_path / "_temporary")
     folders.write_files(rows.where("surface_id = 'a'"), str(tmp_path), "out")
     assert (tmp_path / "a.out").read_bytes() == b"1234"
+
+
+def runs(texels):
+    """Texels (bytes) coded by packets, runs of equal ones and others."""
+    out, i = b"", 0
+    while i < len(texels):
+        n = 1
+        while i + n < len(texels) and n < 128 and texels[i + n] == texels[i]:
+            n += 1
+        if n > 1:
+            out += bytes([127 + n]) + texels[i]
+        else:
+            while i + n < len(texels) and n < 128 and texels[i + n] != texels[i + n - 1]:
+                n += 1
+            out += bytes([n - 1]) + b"".join(texels[i : i + n])
+        i += n
+    return out
+
+
+@pytest.mark.parametrize("coded", [False, True])
+@pytest.mark.parametrize("upper", [False, True])
+@pytest.mark.parametrize(("kind", "bits"), [(1, 8), (2, 16), (2, 24), (2, 32), (3, 8)])
+def test_tga_of_all_kinds(kind, bits, upper, coded):
+    from tessera.sources.files import tga
+
+    rng = np.random.default_rng(bits)
+    n, height, width = bits // 8, 7, 300
+    v = rng.integers(0, 3, (height, width, n), dtype=np.uint8) * 37
+    palette = rng.integers(0, 256, (200, 3), dtype=np.uint8)
+    stored = v if upper else v[::-1]
+    texels = [bytes(t) for line in stored for t in line]
+    head = struct.pack("<BBBHHBHHHHBB", 3, int(kind == 1), kind + 8 * coded, 0, 200 if kind == 1 else 0, 24 if kind == 1 else 0, 0, 0, width, height, bits, 0x20 if upper else 0)
+    data = head + b"abc" + (palette.tobytes() if kind == 1 else b"") + (runs(texels) if coded else b"".join(texels))
+    got = tga(data)
+    if kind == 3:
+        want = np.repeat(v, 4, 2) / 255
+    elif kind == 1:
+        want = np.concatenate([palette[v[..., 0]][..., ::-1] / 255, np.zeros((height, width, 1))], 2)
+    elif bits == 16:
+        word = v[..., 0].astype(int) + v[..., 1].astype(int) * 256
+        want = np.stack([((word >> s & 31) * 8 + (word >> s & 31) // 4) / 255 for s in (10, 5, 0)] + [np.zeros((height, width))], 2)
+    else:
+        want = np.concatenate([v[..., 2::-1] / 255, v[..., 3:] / 255 if bits == 32 else np.zeros((height, width, 1))], 2)
+    assert got == pytest.approx(want)
+    if coded:
+        with pytest.raises(Exception):  # noqa: B017
+            tga(data[:-1])
+    with pytest.raises(ValueError):
+        tga(head[:16] + bytes([15]) + head[17:] + b"\0" * 9999)
