@@ -308,5 +308,71 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(damaged(convs), convs)
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    # states: 0 nothing written, 1 s, 2 u, 3 a; a row of "dp" is the cheapest way, ties by audit, to a state after i turns
+    "op12_conversation_repair": r"""
+        WITH RECURSIVE
+        crc AS (SELECT list(c ORDER BY i) AS t FROM (
+          SELECT i, list_reduce(range(8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, i) AS c FROM range(256) AS bytes(i))),
+        r0 AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT),
+                                 lambda x, b: xor(x >> 8, t[xor(x & 255, b) + 1]), 4294967295), 4294967295) % 20 AS fault
+          FROM conversations, crc),
+        r1 AS (
+          SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+                 CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy
+          FROM r0 WHERE fault <> 0),
+        r2 AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                 CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+                      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS kind, substring(role, 1, 1) AS initial
+          FROM r1),
+        inserts(a, b, letters, said) AS (VALUES
+          (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''), (0, 2, 'I', '
+user:'), (1, 2, 'I', '
+user:'), (2, 3, 'I', '
+assistant:'), (3, 2, 'I', '
+user:'),
+          (0, 3, 'II', '
+user:
+assistant:'), (1, 3, 'II', '
+user:
+assistant:'), (2, 2, 'II', '
+assistant:
+user:'), (3, 3, 'II', '
+user:
+assistant:')),
+        moves(b, c, letter, initial) AS (VALUES
+          (0, 0, 'D', NULL), (1, 1, 'D', NULL), (2, 2, 'D', NULL), (3, 3, 'D', NULL), (0, 1, 'K', 's'), (0, 2, 'K', 'u'), (1, 2, 'K', 'u'), (3, 2, 'K', 'u'), (2, 3, 'K', 'a'),
+          (0, 2, 'R', NULL), (1, 2, 'R', NULL), (3, 2, 'R', NULL), (2, 3, 'R', NULL)),
+        dp AS (
+          SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS state, {'cost': 0::BIGINT, 'audit': '', 'said': ''} AS best FROM r2
+          UNION ALL
+          SELECT conv_id, i, state, min(best) FROM (
+            SELECT r.conv_id, r.i, m.c AS state,
+                   {'cost': dp.best.cost + 3 * length(n.letters) + CASE m.letter WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN r.kind = 'truncated' AND m.letter <> 'D' THEN 3 ELSE 0 END,
+                    'audit': dp.best.audit || n.letters || m.letter,
+                    'said': dp.best.said || replace(n.said, '
+', chr(10)) || CASE m.letter WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || r.role || ':' || r.text ELSE chr(10) || CASE m.c WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || r.text END} AS best
+            FROM dp JOIN r2 AS r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1 JOIN inserts AS n ON n.a = dp.state JOIN moves AS m ON m.b = n.b
+            WHERE (m.letter <> 'K' OR m.initial = r.initial) AND (m.letter = 'D' OR r.kind NOT IN ('blank', 'duplicate')))
+          GROUP BY conv_id, i, state),
+        ends(state, letters, said) AS (VALUES (0, '', ''), (1, 'II', '
+user:
+assistant:'), (2, 'I', '
+assistant:'), (3, '', '')),
+        done AS (
+          SELECT dp.conv_id, min({'cost': best.cost + 3 * length(e.letters), 'audit': best.audit || e.letters, 'said': best.said || replace(e.said, '
+', chr(10))}) AS best
+          FROM dp JOIN ends AS e USING (state) JOIN (SELECT conv_id, max(i) AS i FROM r2 GROUP BY 1) AS l ON l.conv_id IS NOT DISTINCT FROM dp.conv_id AND l.i = dp.i GROUP BY 1),
+        facts AS (
+          SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (kind = 'blank') AS blank, count(*) FILTER (kind = 'duplicate') AS duplicate,
+                 count(*) FILTER (kind = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+          FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM r2) GROUP BY 1)
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(substring(best.said, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN facts AS f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done AS d ON d.conv_id IS NOT DISTINCT FROM c.conv_id"""
+}
 QUERIES = {"op12_conversation_repair": op12_conversation_repair}
