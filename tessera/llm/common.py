@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of texts that go to a Python worker at once, while a step is written.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 _own: dict[str, str] = {}  # by application: the folder where none is set
 
 
@@ -45,9 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def settled(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
-    """written(df), after which the tables in done (as written or settled returned them) are deleted, and the driver is
+    """written(df) with small Arrow batches, after which the tables in done (as written or settled returned them) are deleted, and the driver is
     asked to collect its garbage: the shuffle files of a finished step stay on the executors' disks until it does."""
-    out, spark = written(df, name), df.sparkSession
+    spark = df.sparkSession
+    usual = spark.conf.get(BATCH[0], None)
+    try:
+        spark.conf.set(*BATCH)
+        out = written(df, name)
+    finally:
+        spark.conf.unset(BATCH[0]) if usual is None else spark.conf.set(BATCH[0], usual)
     for at in [t._tessera_path for t in done if hasattr(t, "_tessera_path")]:
         path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
