@@ -82,13 +82,13 @@ def to_dds(encoded: DataFrame, fmt: str, extents: DataFrame, kind: str = "2d", d
     return blocks.select("surface_id", F.concat(head, "payload").alias("content"))
 
 
-def plain_dds(rows: DataFrame, extents: DataFrame, bits: int = 32, masks: tuple[int, int, int, int] = (0xFF0000, 0xFF00, 0xFF, 0xFF000000), code: int = 0, alignment: int = 1) -> DataFrame:
+def plain_dds(rows: DataFrame, extents: DataFrame, bits: int = 32, masks: tuple[int, int, int, int] = (0xFF0000, 0xFF00, 0xFF, 0xFF000000), code: int = 0, alignment: int = 1, kind: str = "2d", depth: int = 1) -> DataFrame:
     """(surface_id, content): a container of packed rows of texels (surface_id, z, y, data, and face and mip), with masks
-    or, for floats, a code."""
+    or, for floats, a code; kind 3d with the depth of the base level is a volume with its levels."""
     body = _payload(rows, "data", ["y"]).join(extents, "surface_id")
     line = F.floor((F.floor((F.col("width") * bits + 7) / 8) + alignment - 1) / alignment) * alignment
     pixels = [FOURCC, code, 0, 0, 0, 0, 0] if code else pixel_format(bits, masks)
-    head = dds_header(F.col("width"), F.col("height"), F.col("mips"), line, pixels, pitch=True)
+    head = dds_header(F.col("width"), F.col("height"), F.col("mips"), line, pixels, kind, depth, pitch=True)
     return body.select("surface_id", F.concat(head, "payload").alias("content"))
 
 
