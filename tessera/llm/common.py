@@ -47,8 +47,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def settled(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
-    """written(df) with small Arrow batches, after which the tables in done (as written or settled returned them) are deleted, and the driver is
-    asked to collect its garbage: the shuffle files of a finished step stay on the executors' disks until it does."""
+    """written(df) with small Arrow batches, after which the tables in done (as written or settled returned them) are
+    deleted, and the driver is asked to collect its garbage: the shuffle files of a finished step stay on the executors'
+    disks until it does."""
     spark = df.sparkSession
     usual = spark.conf.get(BATCH[0], None)
     try:
