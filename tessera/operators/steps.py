@@ -34,11 +34,6 @@ def stored(df: DataFrame, name: str = "step", by: list[str] | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df to be broadcast if it has so many rows at most; else as it is, for a merge join."""
     counted = df.limit(rows + 1).count()
