@@ -96,7 +96,7 @@ def _summed(kernels: dict[str, np.ndarray], channel: str, halo: int, side: int):
             i, j = (tile.column(c).to_numpy() - at + halo for c, at in (("py", top), ("px", left)))
             values = {}
             for c in CHANNELS:
-                plane = np.full((down + 2 * halo, across + 2 * halo), np.nan)
+                plane = np.zeros((down + 2 * halo, across + 2 * halo))  # a place without a texel adds nothing
                 plane[i, j] = tile.column(c).to_numpy()
                 values[c] = plane
             sums = []
@@ -124,7 +124,8 @@ def _summed(kernels: dict[str, np.ndarray], channel: str, halo: int, side: int):
 
 def convolved(texels: DataFrame, kernels: dict[str, list[list[float]]], extents: Extents, channel: str, mode: str = "mirror", side: int = SIDE) -> DataFrame:
     """(surface_id, z, y, x, channels) with a column for each kernel: the sum of its weights and channel about each texel,
-    in each slice. Taps are summed inside a tile. Surfaces are whole rectangles from the origin."""
+    in each slice. Taps are summed inside a tile. Surfaces are rectangles from the origin; a place without a texel gets no
+    sum and adds nothing to those about it."""
     planes = {name: np.array(k, float) for name, k in kernels.items()}
     halo = max(k.shape[0] for k in planes.values()) // 2
     if any(k.shape[0] // 2 != halo for k in planes.values()):
