@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from tessera.operators.steps import new_path, stored
-from tessera.operators.tiles import groups
+from tessera.operators.tiles import CHUNK_CELLS, by_tile, chunks
 from tessera.sources.relations import CHANNELS
 
 
@@ -43,17 +43,17 @@ def diffused(values: np.ndarray, quantize, carried: bool) -> np.ndarray:
 
 
 def leaning(values: np.ndarray, there: np.ndarray, errors: np.ndarray, quantize, carried: bool) -> np.ndarray:
-    """The same of a tile whose line i is shifted by i texels: channels (n, lines, columns), and which places are texels.
-    errors (n, lines + 1, columns + 2) holds those of the line above and of two columns to the left, and gets the tile's."""
-    _, lines, columns = values.shape
+    """The same of tiles whose line i is shifted by i texels: values (..., lines, columns), and which places are texels.
+    errors (..., lines + 1, columns + 2) holds those of the line above and of two columns to the left, and gets the tiles'."""
+    lines, columns = values.shape[-2:]
     out = np.zeros_like(values)
     for wave in range(lines + columns - 1):
         i = np.arange(max(0, wave - columns + 1), min(lines - 1, wave) + 1)
         j = wave - i
-        spread = errors[:, i, j] / 16 + errors[:, i, j + 1] * 5 / 16 + errors[:, i, j + 2] * 3 / 16 + errors[:, i + 1, j + 1] * 7 / 16
-        wanted = values[:, i, j] + spread
-        out[:, i, j] = quantize(wanted)
-        errors[:, i + 1, j + 2] = np.where(there[i, j], (wanted if carried else values[:, i, j]) - out[:, i, j], 0.0)
+        spread = errors[..., i, j] / 16 + errors[..., i, j + 1] * 5 / 16 + errors[..., i, j + 2] * 3 / 16 + errors[..., i + 1, j + 1] * 7 / 16
+        wanted = values[..., i, j] + spread
+        out[..., i, j] = quantize(wanted)
+        errors[..., i + 1, j + 2] = np.where(there[..., i, j], (wanted if carried else values[..., i, j]) - out[..., i, j], 0.0)
     return out
 
 
@@ -94,40 +94,47 @@ TEXEL, ERROR = 0, 1  # what a row of a wave is
 
 
 def _wave(lines: int, columns: int, channels: tuple[str, ...], quantize, carried: bool):
+    def some(table: pa.Table, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Tiles at once, cut to the lines and columns that they have."""
+        band, column, y, x, kind = (table.column(c).to_numpy() for c in ("band", "column", "y", "x", "kind"))
+        i, j, own = y - band * lines, x + y - column * columns, kind == TEXEL
+        shape = int(i.max()) + 1, int(j.max()) + 1
+        n = int(ids[-1]) + 1
+        values, errors = np.zeros((len(channels), n, *shape)), np.zeros((len(channels), n, shape[0] + 1, shape[1] + 2))
+        there = np.zeros((n, *shape), bool)
+        there[ids[own], i[own], j[own]] = True
+        for k, c in enumerate(channels):
+            v = table.column(c).to_numpy()
+            values[k, ids[own], i[own], j[own]] = v[own]
+            errors[k, ids[~own], i[~own] + 1, j[~own] + 2] = v[~own]
+        done = leaning(values, there, errors, quantize, carried)
+        texels = table.filter(pa.array(own))
+        i, j, ids, y, x, band, column = (v[own] for v in (i, j, ids, y, x, band, column))
+
+        def put(at: np.ndarray, **new: np.ndarray) -> Iterator[pa.RecordBatch]:
+            rows = texels.take(pa.array(at))
+            for name, v in new.items():
+                rows = rows.set_column(rows.column_names.index(name), name, pa.array(v))
+            yield from rows.to_batches()
+
+        yield from put(np.arange(len(i)), **{c: done[k, ids, i, j] for k, c in enumerate(channels)})
+        # the last line goes to the tile below, the last two columns to the right one, their meeting to both and across
+        low, right = i == lines - 1, j >= columns - 2
+        for side, down, over in ((right, 0, 1), (low, 1, 0), (low & right, 1, 1)):
+            at = np.flatnonzero(side)
+            if len(at):
+                goes = {"kind": np.full(len(at), ERROR), "wave": (band + column)[at] + down + over, "band": band[at] + down, "column": column[at] + over}
+                yield from put(at, **{name: v.astype(np.int32) for name, v in goes.items()}, **{c: errors[k, ids[at], i[at] + 1, j[at] + 2] for k, c in enumerate(channels)})
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile in groups(batches, LEANING):
-            band, column = (tile.column(c)[0].as_py() for c in ("band", "column"))
-            y, x, kind = (tile.column(c).to_numpy() for c in ("y", "x", "kind"))
-            i, j = y - band * lines, x + y - column * columns
-            values, errors = np.zeros((len(channels), lines, columns)), np.zeros((len(channels), lines + 1, columns + 2))
-            there, own = np.zeros((lines, columns), bool), kind == TEXEL
-            there[i[own], j[own]] = True
-            for k, c in enumerate(channels):
-                v = tile.column(c).to_numpy()
-                values[k, i[own], j[own]] = v[own]
-                errors[k, i[~own] + 1, j[~own] + 2] = v[~own]
-            done = leaning(values, there, errors, quantize, carried)
-            texels = tile.filter(pa.array(own))
-            for k, c in enumerate(channels):
-                texels = texels.set_column(texels.column_names.index(c), c, pa.array(done[k, i[own], j[own]]))
-            yield from texels.to_batches()
-            # the last line goes to the tile below, the last two columns to the right one, their meeting to both and across
-            a, b = np.nonzero(there)
-            sides = [(b >= columns - 2, 0, 1), (a == lines - 1, 1, 0), ((a == lines - 1) & (b >= columns - 2), 1, 1)]
-            for at, down, right in sides:
-                n = int(at.sum())
-                if n:
-                    r, q = a[at], b[at]
-                    first = tile.slice(0, 1)
-                    rows = {c: pa.chunked_array([first.column(c).combine_chunks().take(pa.array(np.zeros(n, np.int64)))]) for c in tile.column_names}
-                    table = pa.table(rows)
-                    put = {
-                        "kind": np.full(n, ERROR, np.int32), "wave": np.full(n, band + column + down + right, np.int32), "band": np.full(n, band + down, np.int32), "column": np.full(n, column + right, np.int32),
-                        "y": (band * lines + r).astype(np.int32), "x": (column * columns + q - band * lines - r).astype(np.int32), **{c: errors[k, r + 1, q + 2] for k, c in enumerate(channels)},
-                    }
-                    for name, v in put.items():
-                        table = table.set_column(table.column_names.index(name), name, pa.array(v))
-                    yield from table.to_batches()
+        for table, ids in chunks(batches, LEANING):
+            i = table.column("y").to_numpy() - table.column("band").to_numpy() * lines
+            j = table.column("x").to_numpy() + table.column("y").to_numpy() - table.column("column").to_numpy() * columns
+            most = max(1, CHUNK_CELLS // ((int(i.max()) + 2) * (int(j.max()) + 3)))
+            for low in range(0, int(ids[-1]) + 1, most):
+                a, b = np.searchsorted(ids, (low, low + most))
+                if (table.column("kind").to_numpy()[a:b] == TEXEL).any():
+                    yield from some(table.slice(a, b - a), ids[a:b] - low)
 
     return run
 
@@ -135,7 +142,7 @@ def _wave(lines: int, columns: int, channels: tuple[str, ...], quantize, carried
 def diffuse_bands(texels: DataFrame, lines: int = 256, columns: int = 1024, bits: int = 1, threshold: float | None = None, channels=CHANNELS, carried: bool = False) -> DataFrame:
     """diffuse for surfaces of any size, each slice by itself: bands of so many lines, cut to tiles of so many columns (at
     least 2). There is a step for each wave, of which there are as many as bands and tiles of a band of the largest
-    surface; what is held is a tile. A step that is lost is run again from what the two before it wrote."""
+    surface; what is held is a tile, or some small ones. A step that is lost is run again from what the two before it wrote."""
     if lines < 1 or columns < 2:
         raise ValueError("bands have a line at least, tiles two columns")
     spark, root = texels.sparkSession, new_path(texels.sparkSession, "diffusion")
@@ -150,7 +157,7 @@ def diffuse_bands(texels: DataFrame, lines: int = 256, columns: int = 1024, bits
         for before in (wave - 1, wave - 2):
             if before in steps:
                 now = now.unionByName(steps[before].where((F.col("kind") == ERROR) & (F.col("wave") == wave)))
-        out = now.repartition(*LEANING).sortWithinPartitions(*LEANING).mapInArrow(scan, schema)
+        out = by_tile(now, now.count(), LEANING).mapInArrow(scan, schema)
         path = f"{root}/step={wave}"
         out.write.partitionBy("kind", "wave").parquet(path)
         steps[wave] = spark.read.schema(schema).parquet(path)
