@@ -25,3 +25,15 @@ def test_a_place_without_a_texel_adds_nothing(spark, mode):
     want = sum(k[r][c] * padded[r : r + 8, c : c + 12] for r in range(3) for c in range(3))
     got = {(r.y, r.x): r.g for r in W.convolve(texels, k, (12, 8), "g", mode).collect()}
     assert len(got) == 80 and all(g == pytest.approx(want[at], abs=1e-12) for at, g in got.items())
+
+
+def test_normals_beside_a_gap(spark):
+    texels, v = _with_gap(spark)
+    k = W.normalized(W.kernel("sobel3"))
+    padded = np.pad(v, 1, mode="edge")
+    du = sum(k[r][c] * padded[r : r + 8, c : c + 12] for r in range(3) for c in range(3))
+    dv = sum(k[c][r] * padded[r : r + 8, c : c + 12] for r in range(3) for c in range(3))
+    want = 0.5 * du / np.sqrt(du * du + dv * dv + 1 / 256) + 0.5
+    bytes_ = texels.select("surface_id", "z", "y", "x", *[(texels[c] * 255).alias(c) for c in "rgba"])
+    got = {(r.y, r.x): r.r for r in W.bytes_to_normal_map(bytes_, (12, 8), (1.0, 0.0, 0.0, 0.0), 3, "clamp").collect()}
+    assert len(got) == 80 and all(g == pytest.approx(want[at], abs=1e-9) for at, g in got.items())
