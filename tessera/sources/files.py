@@ -25,6 +25,7 @@ CAPS, PITCH, LINEAR_SIZE, MIPS, DEPTH = 0x1007, 0x8, 0x80000, 0x20000, 0x800000
 FOURCC, ALPHA_PIXELS, ALPHA_ONLY, RGB, LUMINANCE = 0x4, 0x1, 0x2, 0x40, 0x20000
 TEXTURE, COMPLEX, MIPMAP, CUBE, VOLUME = 0x1000, 0x8, 0x400000, 0xFE00, 0x200000
 PAYLOAD, EXTENSION = 128, 20
+WORDS = (4, 12, 16, 24, 28, 80, 84, 88, 92, 96, 100, 104, 112, 128, 140)  # where the words of a header are that are read
 HALF_CODE, FLOAT_CODE = 113, 114  # four halves; one float
 SRGB = (72, 75, 78, 99)  # codes one above those of the same blocks
 KINDS = ("2d", "cube", "3d", "array")
@@ -98,15 +99,19 @@ def half_dds(texels: DataFrame, extents: DataFrame, width: int) -> DataFrame:
 
 
 def dds_info(files: DataFrame) -> DataFrame:
-    """files (with content) and what their headers say: valid, width, height, depth, mips, faces, fourcc, dxgi, payload
+    """files (with content) and what their headers say (only of files that begin like one): valid, width, height, depth, mips, faces, fourcc, dxgi, payload
     (where it begins), and the flags, code, bits and masks of plain texels."""
-    c, digits = F.col("content"), F.hex(F.substring(F.col("content"), 1, PAYLOAD + EXTENSION))
-    byte = lambda i, k: F.call_function("substring", digits, i * 8 + (2 * k + 1), F.lit(2))
-    word = lambda i: F.conv(F.concat(*[byte(i, k) for k in (3, 2, 1, 0)]), 16, 10).cast("long")
-    words = F.transform(F.sequence(F.lit(0), F.lit((PAYLOAD + EXTENSION) // 4 - 1)), word)
-    out = files.withColumn("_words", F.explode(F.array(words)))  # one row each: the plan keeps the words instead of parsing them for each field
-    at = lambda k: F.element_at("_words", k // 4 + 1)
-    out = out.withColumns({"fourcc": F.substring(c, 85, 4).cast("string"), "valid": F.coalesce((F.hex(F.substring(c, 1, 4)) == MAGIC) & (at(4) == HEADER), F.lit(False))})
+    c = F.col("content")
+    magic = F.coalesce(F.substring(c, 1, 4) == F.unhex(F.lit(MAGIC)), F.lit(False))
+
+    def word(k: int) -> Column:
+        v = F.conv(F.hex(F.substring(c, k + 1, 4)), 16, 10).cast("long")  # the first byte highest
+        swapped = F.shiftleft(v.bitwiseAND(255), 24).bitwiseOR(F.shiftleft(v.bitwiseAND(0xFF00), 8)).bitwiseOR(F.shiftright(v, 8).bitwiseAND(0xFF00)).bitwiseOR(F.shiftright(v, 24))
+        return F.when(F.length(c) >= k + 4, swapped)
+
+    out = files.withColumn("_words", F.explode(F.array(F.when(magic, F.array(*[word(k) for k in WORDS])))))  # one row each: the plan keeps the words instead of parsing them for each field
+    at = lambda k: F.col("_words")[WORDS.index(k)]
+    out = out.withColumns({"fourcc": F.substring(c, 85, 4).cast("string"), "valid": F.coalesce(at(4) == HEADER, F.lit(False))})
     dx10, caps2 = F.col("fourcc") == "DX10", at(112)
     faces = F.when(caps2.bitwiseAND(0x200) != 0, 6).when(dx10, F.greatest(at(140), F.lit(1))).otherwise(1)
     fields = {
