@@ -29,7 +29,7 @@ def files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     extents = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("surface_id"), F.lit(4).alias("width"), F.lit(4).alias("height"))
     for i, fmt in enumerate(FORMATS):
         mine = F.col("surface_id") % len(FORMATS) == i
-        folders.write_files(folders.pieces(texels.where(mine), extents.where(mine), fmt), path, fmt)
+        folders.write_files(folders.pieces(texels.where(mine), extents.where(mine), fmt), path, fmt, by_task=True)
     name = F.regexp_extract("path", r"(\d+)\.(\w+)$", 1).cast("long")
     rows = folders.read_folder(spark, path)
     return rows.select(name.alias("surface_id"), F.regexp_extract("path", r"\.(\w+)$", 1).alias("format"), "y", "x", *[F.round(c, 6).alias(c) for c in S.CHANNELS])

@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 
 from tessera.operators.codecs import code_bytes
+from tessera.operators.steps import stored
 from tessera.functions.packing import packed_rows
 from tessera.sources import files
 from tessera.sources.png import SIGNATURE, png, png_pieces
@@ -99,7 +100,10 @@ def read_folder(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
     container = F.substring("content", 1, 4) == F.lit(DDS)
     rasters = found.where(~container).mapInArrow(_decode, TEXELS)
-    inside = found.where(container).select(F.col("path").alias("surface_id"), "content")
+    # files are opened again by each branch below: containers are written first, and where there are none that is all
+    inside = stored(found.where(container).select(F.col("path").alias("surface_id"), "content"), "containers")
+    if inside.isEmpty():
+        return rasters
     blocks = _unit(files.decode_dds(inside))
     plain = files.plain_texels(inside).where("face = 0 AND mip = 0")
     wide = files.dds_info(inside).select("surface_id", F.col("code").isin(files.HALF_CODE, files.FLOAT_CODE).alias("wide"))
@@ -131,11 +135,12 @@ def pieces(texels: DataFrame, extents: DataFrame, fmt: str) -> DataFrame:
     return extents.select("surface_id", F.lit(0).cast("long").alias("piece"), head.alias("data")).unionByName(lines)
 
 
-def write_files(parts: DataFrame, path: str, ending: str) -> None:
-    """Writes pieces (surface_id, piece, data) as files named after the surface. All files appear at the end or none."""
+def write_files(parts: DataFrame, path: str, ending: str, by_task: bool = False) -> None:
+    """Writes pieces (surface_id, piece, data) as files named after the surface. All files appear at the end or none; by_task
+    each task's in a folder of its own below path, so that the end takes a step for each task and not for each file."""
     register(parts.sparkSession)
     rows = parts.select(F.concat(F.regexp_replace(F.col("surface_id").cast("string"), r"[^A-Za-z0-9._=-]", "_"), F.lit(f".{ending}")).alias("name"), F.col("piece").cast("long").alias("piece"), "data")
-    rows.repartition("name").sortWithinPartitions("name", "piece").write.format("tessera_files").mode("append").save(path)
+    rows.repartition("name").sortWithinPartitions("name", "piece").write.format("tessera_files").mode("append").option("bytask", by_task).save(path)
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -185,12 +190,13 @@ class _Written(WriterCommitMessage):
 
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict):
-        self.path, self.job = options["path"], uuid.uuid4().hex
+        self.path, self.job, self.by_task = options["path"], uuid.uuid4().hex, str(options.get("bytask", "false")).lower() == "true"
 
     def write(self, rows: Iterator) -> _Written:
         """Streams the pieces of one file after the other to files of this attempt alone."""
         fs, root = file_system(self.path)
-        folder = f"{root}/_temporary/{self.job}/{uuid.uuid4().hex}"
+        attempt = uuid.uuid4().hex
+        folder = f"{root}/_temporary/{self.job}/{attempt}"
         fs.create_dir(folder, recursive=True)
         done, name, last, out = [], None, -1, None
         try:
@@ -208,7 +214,7 @@ class _Writer(DataSourceWriter):
         finally:
             if out is not None:
                 out.close()
-        return _Written(done)
+        return _Written([(folder, f"{root}/{attempt}")] if self.by_task and done else done)
 
     def _clean(self) -> None:
         fs, root = file_system(self.path)
