@@ -204,12 +204,15 @@ def _etc_plane(hi: Column, lo: Column) -> list[list[Column]]:
 def _eac_fields(digits: Column, first: int, n: int, wide: bool) -> dict[str, Column]:
     """ramp: the eight values of a block, of 8 bits, or of 11 bits spread over 16; and its index bits, highest first."""
     base, other = _number(digits, (first,)), _number(digits, (first + 1,))
-    times, row = F.shiftright(other, 4), F.element_at(F.array(*[F.array(*map(F.lit, r)) for r in EAC_MODIFIERS]), other.bitwiseAND(15).cast("int") + 1)
+    row = F.element_at(F.array(*[F.array(*map(F.lit, r)) for r in EAC_MODIFIERS]), other.bitwiseAND(15).cast("int") + 1)
+    # what is parsed is bound once: inside the lambda it would be parsed again for each of the eight
+    parsed = F.array(F.struct(base.alias("base"), F.shiftright(other, 4).alias("times"), row.alias("row")))
     if wide:
-        eleven = lambda m: clamp(base * 8 + 4 + F.when(times != 0, m * times * 8).otherwise(m), 0, 2047)
-        ramp = F.transform(row, lambda m: eleven(m) * 32 + F.floor(eleven(m) / 64))
+        eleven = lambda p, m: clamp(p["base"] * 8 + 4 + F.when(p["times"] != 0, m * p["times"] * 8).otherwise(m), 0, 2047)
+        values = lambda p: F.transform(F.transform(p["row"], lambda m: eleven(p, m)), lambda v: v * 32 + F.floor(v / 64))
     else:
-        ramp = F.transform(row, lambda m: _byte(base + m * times))
+        values = lambda p: F.transform(p["row"], lambda m: _byte(p["base"] + m * p["times"]))
+    ramp = F.get(F.transform(parsed, values), 0)
     return {f"ramp{n}": ramp, f"k{n}": _number(digits, range(first + 2, first + 8))}
 
 
