@@ -44,7 +44,7 @@ def from_half(bits: Column) -> Column:
     e, m = F.shiftright(bits, 10).bitwiseAND(31), bits.bitwiseAND(1023)
     sign = F.when(bits >= 0x8000, -1.0).otherwise(1.0)
     size = F.when(e == 0, m * 2.0**-24).when(e < 31, (m + 1024) * two_to(e - 25)).when(m == 0, float("inf")).otherwise(float("nan"))
-    return sign * size
+    return F.when(bits.isNotNull(), sign * size)
 
 
 def to_small_float(c: Column, mantissa: int) -> Column:
