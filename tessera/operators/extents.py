@@ -121,17 +121,21 @@ def bilinear_rms(texels: DataFrame, extents: DataFrame, image: DataFrame, image_
     corner. The legacy form compares alpha with the sample's blue."""
     to = image_extents.select("surface_id", F.col("width").alias("w2"), F.col("height").alias("h2"))
     sizes = small(extents.select("surface_id", "width", "height").join(to, "surface_id"), WEIGHT_ROWS)
-    rows, taps = texels.where("z = 0").join(sizes, "surface_id"), [([], F.lit(1.0))]
-    for axis, n, n2 in (("x", "width", "w2"), ("y", "height", "h2")):
-        at = F.col(axis) / F.col(n).cast("double") * F.col(n2)
-        below = F.floor(at)
-        taps = [([*fields, wrapped(below + d, F.col(n2), "clamp").cast("int").alias(f"{axis}2")], w * (at - below if d else 1 - (at - below))) for fields, w in taps for d in (0, 1)]
-    rows = rows.select("surface_id", "y", "x", *CHANNELS, F.explode(F.array(*[F.struct(*fields, w.alias("weight")) for fields, w in taps])).alias("t"))
-    other = image.where("z = 0").select("surface_id", F.col("y").alias("y2"), F.col("x").alias("x2"), *[F.col(c).alias(f"{c}2") for c in CHANNELS])
-    rows = rows.select("surface_id", "y", "x", *CHANNELS, "t.*").join(other, ["surface_id", "y2", "x2"])
-    sums = rows.groupBy("surface_id", "y", "x", *CHANNELS).agg(*[F.sum(F.col(f"{c}2") * F.col("weight")).alias(f"{c}2") for c in CHANNELS])
-    parts = [(c, f"{c}2") for c in "rgb"] + [("a", "b2" if legacy else "a2")]
-    return sums.groupBy("surface_id").agg(F.sqrt(F.avg(sum((F.pow(F.col(p) - F.col(q), 2) for p, q in parts), F.lit(0.0)))).alias("rms"))
+    parts = [(c, c) for c in "rgb"] + [("a", "b" if legacy else "a")]
+    corners = [(dy, dx) for dy in (0, 1) for dx in (0, 1)]
+    # a quad of the image has its four corners in one row, the last line and column twice, so a texel meets one row
+    last = lambda axis, n, spots: F.when(F.col(axis) == F.col(n) - 1, F.array(*spots, F.struct(F.col(axis).alias("at"), F.lit(1).alias("d")))).otherwise(F.array(*spots))
+    spots = lambda axis, n: F.filter(last(axis, n, [F.struct((F.col(axis) - d).alias("at"), F.lit(d).alias("d")) for d in (0, 1)]), lambda s: s["at"] >= 0)
+    used = sorted({q for _, q in parts})
+    other = image.where("z = 0").join(sizes.select("surface_id", "w2", "h2"), "surface_id").withColumn("_v", F.explode(spots("y", "h2"))).withColumn("_u", F.explode(spots("x", "w2")))
+    other = other.groupBy("surface_id", F.col("_v.at").alias("y2"), F.col("_u.at").alias("x2")).agg(*[F.sum(F.when((F.col("_v.d") == dy) & (F.col("_u.d") == dx), F.col(q))).alias(f"{q}{dy}{dx}") for q in used for dy, dx in corners])
+    at = {axis: F.col(axis) / F.col(n).cast("double") * F.col(n2) for axis, n, n2 in (("x", "width", "w2"), ("y", "height", "h2"))}
+    place = [wrapped(F.floor(at[axis]), F.col(n2), "clamp").cast("int").alias(f"{axis}2") for axis, n2 in (("y", "h2"), ("x", "w2"))]
+    rows = texels.where("z = 0").join(sizes, "surface_id").select("surface_id", *place, *[(at[axis] - F.floor(at[axis])).alias(f"_{axis}") for axis in "yx"], *CHANNELS)
+    weight = lambda dy, dx: (F.col("_y") if dy else 1 - F.col("_y")) * (F.col("_x") if dx else 1 - F.col("_x"))
+    sample = lambda q: sum((F.coalesce(f"{q}{dy}{dx}", F.lit(0.0)) * weight(dy, dx) for dy, dx in corners), F.lit(0.0))
+    error = sum((F.pow(F.col(p) - sample(q), 2) for p, q in parts), F.lit(0.0))
+    return rows.join(other, ["surface_id", "y2", "x2"]).groupBy("surface_id").agg(F.sqrt(F.avg(error)).alias("rms"))
 
 
 def auto_resized(texels: DataFrame, extents: DataFrame, tolerance: float, shape: Filter | None = None, mode: str = "mirror") -> tuple[DataFrame, DataFrame]:
