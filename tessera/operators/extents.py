@@ -18,6 +18,7 @@ from tessera.operators.wraps import wrapped
 from tessera.sources.relations import CHANNELS, PLACE, clamp
 
 AXES = {"x": "width", "y": "height", "z": "depth"}
+SIDE = 64  # of tiles of quads
 WEIGHT_ROWS = 1_000_000  # of weights, or extents, that are broadcast; more are joined by merging
 
 
@@ -160,29 +161,34 @@ def auto_resized(texels: DataFrame, extents: DataFrame, tolerance: float, shape:
 
 
 def _quads(texels: DataFrame, channel: str) -> DataFrame:
-    """The corners of each quad of texels of slice 0 that has all four."""
+    """The corners of each quad of texels of slice 0 that has all four; those of a surface's tile of SIDE lines and columns
+    lie together, so that what is summed up by surface is little before it is exchanged, whatever the number of tasks."""
+    tile = lambda p: F.floor(p / SIDE).cast("int")
+    tiles = lambda c: F.when((F.col(c) % SIDE == 0) & (F.col(c) > 0), F.array(tile(F.col(c)) - 1, tile(F.col(c)))).otherwise(F.array(tile(F.col(c))))
     t = texels.where("z = 0").select("surface_id", "y", "x", F.col(channel).alias("v"))
+    t = t.withColumn("ty", F.explode(tiles("y"))).withColumn("tx", F.explode(tiles("x"))).repartition("surface_id", "ty", "tx")
     corner = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (0, 1) for dx in (0, 1)]))
-    at = t.select("surface_id", "y", "x", "v", corner.alias("k"))
-    at = at.select("surface_id", (F.col("y") - F.col("k.dy")).alias("y"), (F.col("x") - F.col("k.dx")).alias("x"), "k", "v")
+    at = t.select("surface_id", "ty", "tx", "y", "x", "v", corner.alias("k"))
+    at = at.select("surface_id", "ty", "tx", (F.col("y") - F.col("k.dy")).alias("y"), (F.col("x") - F.col("k.dx")).alias("x"), "k", "v").where((tile(F.col("y")) == F.col("ty")) & (tile(F.col("x")) == F.col("tx")))
     pick = lambda dy, dx: F.max(F.when((F.col("k.dy") == dy) & (F.col("k.dx") == dx), F.col("v"))).alias(f"v{dy}{dx}")
-    rows = at.groupBy("surface_id", "y", "x").agg(pick(0, 0), pick(0, 1), pick(1, 0), pick(1, 1), F.count(F.lit(1)).alias("n"))
-    return rows.where("n = 4").drop("n", "y", "x")
+    rows = at.groupBy("surface_id", "ty", "tx", "y", "x").agg(pick(0, 0), pick(0, 1), pick(1, 0), pick(1, 1), F.count(F.lit(1)).alias("n"))
+    return rows.where("n = 4").drop("n", "ty", "tx", "y", "x")
 
 
-def _passed(reference: float, scale: Column) -> Column:
-    v = {c: clamp(F.col(c) * scale) for c in ("v00", "v01", "v10", "v11")}
-    level, total = min(max(reference, 1 / 256), 255 / 256), F.lit(0)
-    for fy in (0.125, 0.375, 0.625, 0.875):
-        for fx in (0.125, 0.375, 0.625, 0.875):
-            top, low = v["v00"] * (1 - fx) + v["v01"] * fx, v["v10"] * (1 - fx) + v["v11"] * fx
-            total = total + (top * (1 - fy) + low * fy > level).cast("int")
-    return total
+def _passed(rows: DataFrame, reference: float, scale: Column) -> DataFrame:
+    """rows of corners with passed: how many of the 4 x 4 samples pass."""
+    level, total, steps = min(max(reference, 1 / 256), 255 / 256), F.lit(0), (0.125, 0.375, 0.625, 0.875)
+    rows = rows.withColumns({f"_{c}": clamp(F.col(c) * scale) for c in ("v00", "v01", "v10", "v11")})
+    rows = rows.withColumns({f"_{name}{i}": F.col(f"_{a}") * (1 - fx) + F.col(f"_{b}") * fx for i, fx in enumerate(steps) for name, a, b in (("top", "v00", "v01"), ("low", "v10", "v11"))})
+    for fy in steps:
+        for i in range(4):
+            total = total + (F.col(f"_top{i}") * (1 - fy) + F.col(f"_low{i}") * fy > level).cast("int")
+    return rows.withColumn("passed", total)
 
 
 def coverage(texels: DataFrame, reference: float, channel: str = "a", scale: float = 1.0) -> DataFrame:
     """(surface_id, coverage) of surfaces of any extents: the share of 4 x 4 bilinear samples in each quad that pass."""
-    return _quads(texels, channel).groupBy("surface_id").agg((F.avg(_passed(reference, F.lit(scale))) / 16).alias("coverage"))
+    return _passed(_quads(texels, channel), reference, F.lit(scale)).groupBy("surface_id").agg((F.avg("passed") / 16).alias("coverage"))
 
 
 def coverage_scales(texels: DataFrame, wanted: float, reference: float, channel: str = "a", steps: int = 10) -> DataFrame:
@@ -194,7 +200,7 @@ def coverage_scales(texels: DataFrame, wanted: float, reference: float, channel:
     kept = ["low", "high", "scale", "best", "off", "got", "done"]
     for _ in range(steps):
         state = stored(state, "bisection")
-        rows = corners.join(small(state, WEIGHT_ROWS), "surface_id").groupBy("surface_id", *kept).agg((F.avg(_passed(reference, F.col("scale"))) / 16).alias("now"))
+        rows = _passed(corners.join(small(state, WEIGHT_ROWS), "surface_id"), reference, F.col("scale")).groupBy("surface_id", *kept).agg((F.avg("passed") / 16).alias("now"))
         open_, off = ~F.col("done"), F.abs(F.col("now") - wanted)
         better, below = open_ & (off < F.col("off")), F.col("now") < wanted
         low, high = F.when(below, F.col("scale")).otherwise(F.col("low")), F.when(below, F.col("high")).otherwise(F.col("scale"))
@@ -202,11 +208,13 @@ def coverage_scales(texels: DataFrame, wanted: float, reference: float, channel:
             "surface_id", low.alias("low"), high.alias("high"), ((low + high) / 2).alias("scale"), F.when(better, F.col("scale")).otherwise(F.col("best")).alias("best"),
             F.when(better, off).otherwise(F.col("off")).alias("off"), F.when(better, F.col("now")).otherwise(F.col("got")).alias("got"), (F.col("done") | (F.col("now") == wanted)).alias("done"),
         )
-    return state.select("surface_id", F.col("best").alias("scale"), F.col("got").alias("coverage"))
+    return stored(state.select("surface_id", F.col("best").alias("scale"), F.col("got").alias("coverage")), "scales")
 
 
-def scaled_to_coverage(texels: DataFrame, wanted: float, reference: float, channel: str = "a", steps: int = 10) -> DataFrame:
-    """texels with channel scaled for each surface by coverage_scales; a surface without quads stays as it is."""
-    scales = coverage_scales(texels, wanted, reference, channel, steps).select("surface_id", F.col("scale").alias("_scale"))
+def scaled_to_coverage(texels: DataFrame, wanted: float, reference: float, channel: str = "a", steps: int = 10, scales: DataFrame | None = None) -> DataFrame:
+    """texels with channel scaled for each surface by coverage_scales, or by scales that it gave before; a surface without
+    quads stays as it is."""
+    scales = coverage_scales(texels, wanted, reference, channel, steps) if scales is None else scales
+    scales = scales.select("surface_id", F.col("scale").alias("_scale"))
     rows = texels.join(small(scales, WEIGHT_ROWS), "surface_id", "left")
     return rows.withColumn(channel, F.when(F.col("_scale").isNull(), F.col(channel)).otherwise(clamp(F.col(channel) * F.col("_scale")))).select(texels.columns)

@@ -59,7 +59,7 @@ def mixed_coverage_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scale of each surface's alpha for a coverage of WANTED, and its mean with it."""
     t = S.ragged(spark, sf_dir)
     scales = E.coverage_scales(t, WANTED, REFERENCE, steps=STEPS)
-    means = E.scaled_to_coverage(t, WANTED, REFERENCE, steps=STEPS).groupBy("surface_id").agg(F.avg("a").alias("mean"))
+    means = E.scaled_to_coverage(t, WANTED, REFERENCE, steps=STEPS, scales=scales).groupBy("surface_id").agg(F.avg("a").alias("mean"))
     return scales.join(means, "surface_id").select("surface_id", *[F.round(c, 6).alias(c) for c in ("scale", "coverage", "mean")])
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tessera.operators import extents as E
+from tessera.plans import mixed
 from tests.test_large import frame
 
 
@@ -32,3 +33,18 @@ def test_bilinear_error_moves_a_texel_once(spark):
         fy, fx = (at[0] - low[0])[:, None], at[1] - low[1]
         want = (tap(0, 0) * (1 - fx) + tap(0, 1) * fx) * (1 - fy) + (tap(1, 0) * (1 - fx) + tap(1, 1) * fx) * fy
         assert row.rms == pytest.approx(np.sqrt(np.mean(4 * (v - want) ** 2)), abs=1e-12)
+
+
+def test_quads_of_several_tiles(spark, monkeypatch):
+    t = frame(spark, _images()).where("NOT (surface_id = 1 AND y = 4 AND x = 8)")
+    rows = lambda: sorted(map(tuple, E._quads(t, "a").collect()))
+    whole = rows()
+    monkeypatch.setattr(E, "SIDE", 4)
+    assert rows() == whole and len(whole) == 8 * 12 - 4 + 7 * 3
+
+
+def test_coverage_scales_are_searched_once(spark, sf_dir, monkeypatch):
+    steps, stored = [], E.stored
+    monkeypatch.setattr(E, "stored", lambda df, name, *by: steps.append(name) or stored(df, name, *by))
+    mixed.mixed_coverage_scale(spark, sf_dir)
+    assert steps.count("bisection") == mixed.STEPS and steps.count("quads") == 1
