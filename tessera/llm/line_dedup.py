@@ -18,21 +18,30 @@ and joined by runs, so no key gathers in a task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ROW, WORD, attach, running_offsets, table, with_rows, written
 
 MIN_WORDS, MIN_LINES = 10, 1
 RUNS = 256
+BLANK = r"[\x20\x09-\x0D]"
 SUFFIX = ["doc_id", "row", "run", "pos"]
 
 
-def line_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, run, pos, words, h1, h2) of each line of what with_rows wrote; two hashes tell lines apart."""
+def _words(line: str, most: int) -> Column:
+    """The words of a line; where ``most`` isn't 0, no more than so many are looked for: the rest of a line isn't read."""
+    count = F.regexp_count(line, F.lit(WORD)).cast("long")
+    many = f"^{BLANK}*+(?:{WORD}+{BLANK}++){{{most - 1}}}{WORD}"
+    return F.when(F.rlike(line, F.lit(many)), F.lit(most).cast("long")).otherwise(count) if most > 0 else count
+
+
+def line_ids(docs: DataFrame, most: int = 0) -> DataFrame:
+    """(doc_id, row, run, pos, words, h1, h2) of each line of what with_rows wrote; two hashes tell lines apart. words:
+    as many as there are, or ``most``, if that isn't 0 and there are more."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ROW).alias("row"), "text")
     rows = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    run, words = F.pmod(F.xxhash64("row"), F.lit(RUNS)).alias("run"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("words")
+    run, words = F.pmod(F.xxhash64("row"), F.lit(RUNS)).alias("run"), _words("line", most).alias("words")
     return rows.select("doc_id", "row", run, "pos", words, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
 
 
@@ -47,22 +56,26 @@ def ranked(groups: DataFrame, within: str, by: list[str], bucket, buckets: int)
 
 def repeated_windows(lines: DataFrame) -> list[DataFrame]:
     """For 1, 2, 4, ... lines: (SUFFIX, words, rank) of the windows that come more than once."""
-    count = lambda df, *key: df.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     columns, levels, width = [*SUFFIX, "words", "rank"], [], 1
     buckets = lines.count() // 256 + 1
     unit = F.shiftrightunsigned(F.col("h1"), 32).cast("double") / F.lit(float(2**32))
-    groups = ranked(count(lines, "h1", "h2").withColumn("all", F.lit(0).cast("long")), "all", ["h1", "h2"], F.floor(unit * buckets), buckets)
-    level = attach(lines, groups.select("h1", "h2", "rank"), ["h1", "h2"], "run", "inner").select(columns)
-    level = written(level, "windows")
+
+    def named(rows: DataFrame, key: list[str], within: Column, by: list[str], bucket: Column) -> DataFrame:
+        """rows with the rank of their key, of those keys that come more than once. Keys are counted by run, once: that
+        makes the groups, and their ranks come back to the rows by the same runs."""
+        runs = written(rows.groupBy(*key, "run").agg(F.count(F.lit(1)).alias("members")), "runs")
+        groups = written(runs.groupBy(*key).agg(F.sum("members").alias("members")).where("members > 1"), "groups")
+        ranks = ranked(groups.withColumn("within", within), "within", by, bucket, buckets).select(*key, "rank")
+        return written(rows.join(runs.select(*key, "run").join(ranks, key), [*key, "run"]).select(columns), "windows")
+
+    level = named(lines, ["h1", "h2"], F.lit(0).cast("long"), ["h1", "h2"], F.floor(unit * buckets))
     while not level.isEmpty():
         levels.append(level)
         here = level.withColumnRenamed("rank", "a")
         after = level.select("row", (F.col("pos") - width).alias("pos"), F.col("rank").alias("b"), F.col("words").alias("more"))
         pairs = here.join(after, ["row", "pos"]).withColumn("words", F.col("words") + F.col("more")).drop("more")
         pairs = written(pairs, "pairs")
-        groups = ranked(count(pairs, "a", "b"), "a", ["b"], F.floor(F.col("b") / 256), buckets)
-        level = attach(pairs, groups.select("a", "b", "rank"), ["a", "b"], "run", "inner").select(columns)
-        level, width = written(level, "windows"), 2 * width
+        level, width = named(pairs, ["a", "b"], F.col("a"), ["b"], F.floor(F.col("b") / 256)), 2 * width
     return levels
 
 
@@ -70,17 +83,22 @@ GROUP = ["lines", "of_row", "of_pos"]
 ITEM = [*SUFFIX, "weight", *GROUP, "words"]
 
 
-def deeper(items: DataFrame, key: list[str], width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """items (ITEM, rank, more) by groups of equal keys and ranks: the members of groups of two and more, ``width`` lines
-    deeper; the first of each such group, as it was, standing for all of them; and the others, as those without a rank.
-    A group is named by its depth and its first suffix. weight is the number of suffixes that a member stands for."""
-    key, first = [*key, "rank"], F.min(F.struct("doc_id", "row", "pos"))
-    alike = items.where("rank IS NOT NULL").groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.sum("weight").alias("all"), first["row"].alias("first_row"), first["pos"].alias("first_pos"))
-    items = written(attach(items, alike.where("members > 1").drop("members"), key, "run"), "members")
-    several = items.where("all IS NOT NULL")
-    moved = several.withColumns({"lines": F.col("lines") + width, "words": F.col("words") + F.col("more"), "of_row": F.col("first_row"), "of_pos": F.col("first_pos")})
-    heads = several.where("row = first_row AND pos = first_pos").withColumn("weight", F.col("all"))
-    return moved.select(ITEM), heads.select(ITEM), items.where("all IS NULL").select(ITEM)
+def deeper(items: DataFrame, width: int) -> DataFrame:
+    """(ITEM) after a round over items (ITEM, rank, more), by groups of equal GROUP and rank: the members of groups of two
+    and more, ``width`` lines deeper; the first of each such group, as it was, standing for all of them; and the others, as
+    those without a rank. Of items without a group (lines 0) only the first kind is there. A group is named by its depth
+    and its first suffix. weight is the number of suffixes that a member stands for."""
+    key, total = [*GROUP, "rank"], [F.sum(c).alias(c) for c in ("members", "all")]
+    runs = items.where("rank IS NOT NULL").groupBy(*key, "run").agg(F.count(F.lit(1)).alias("members"), F.sum("weight").alias("all"), F.min(F.struct("doc_id", "row", "pos")).alias("first"))
+    runs = written(runs, "runs")
+    alike = runs.groupBy(*key).agg(*total, F.min("first").alias("first")).where("members > 1")
+    alike = alike.select(*key, "all", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos"))
+    items = written(items.join(runs.select(*key, "run").join(alike, key), [*key, "run"], "left"), "members")
+    new = {"lines": F.col("lines") + width, "words": F.col("words") + F.col("more"), "of_row": F.col("first_row"), "of_pos": F.col("first_pos")}
+    item = lambda **changed: F.struct(*[changed.get(c, F.col(c)).alias(c) for c in ITEM])
+    alone, grouped, first = F.col("all").isNull(), F.col("lines") > 0, (F.col("row") == F.col("first_row")) & (F.col("pos") == F.col("first_pos"))
+    parts = [F.when(alone & grouped, item()), F.when(~alone, item(**new)), F.when(~alone & grouped & first, item(weight=F.col("all")))]
+    return items.select(F.explode(F.array_compact(F.array(*parts))).alias("item")).select("item.*")
 
 
 def intervals(levels: list[DataFrame], min_words: int = 0) -> DataFrame:
@@ -99,13 +117,10 @@ def intervals(levels: list[DataFrame], min_words: int = 0) -> DataFrame:
             fresh = fresh.where(F.col("words") >= min_words)
         zero = F.lit(0).cast("long")
         fresh = fresh.select(*SUFFIX, "weight", F.lit(0).alias("lines"), zero.alias("of_row"), F.lit(0).alias("of_pos"), zero.alias("words"), "rank", F.col("words").alias("more"))
-        out = deeper(fresh, [], width)[0]
         if groups is not None:
             here = level.select("row", F.col("pos").alias("at"), "rank", F.col("words").alias("more"))
-            items = groups.withColumn("at", F.col("pos") + F.col("lines")).join(here, ["row", "at"], "left").drop("at")
-            for part in deeper(items, GROUP, width):
-                out = out.unionByName(part)
-        groups = out  # of tables written in this round
+            fresh = fresh.unionByName(groups.withColumn("at", F.col("pos") + F.col("lines")).join(here, ["row", "at"], "left").drop("at"))
+        groups = deeper(fresh, width)  # of a table written in this round
     return groups
 
 
@@ -143,16 +158,18 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_lines: int = MIN
     an empty result. Rows that repeat a doc_id and a text are copies like others. Other columns of docs aren't read.
     """
     docs = with_rows(docs.select("doc_id", "text"))
-    gone = runs_of(later_copies(written(line_ids(docs), "lines"), min_words, min_lines))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ROW).alias("row"), F.split("text", "\n").alias("lines"))
+    gone = runs_of(later_copies(written(line_ids(docs, min_words), "lines"), min_words, min_lines))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ROW).alias("row"), "text")
     # a merge join at any size: what it moves then grows with the input alone
     places = F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], (r["first"] + r["lines"] - 1).cast("int"))))
     rows = rows.join(gone.select("row", places.alias("gone"), F.size("runs").alias("runs"), "longest").hint("merge"), "row", "left")
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    left = F.when(F.size(gone) == 0, F.col("lines")).otherwise(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone), lambda i: F.get("lines", i)))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    stay = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("gone"))
+    # only texts that lose lines are split, once
+    left = F.transform(F.array(F.split("text", "\n")), lambda lines: F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))[0]
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return rows.select(
-        "doc_id", F.array_join(left, "\n").alias("text"), count(F.when(F.col("lines").isNotNull(), F.size("lines"))).alias("n_lines"), F.size(gone).cast("long").alias("n_deleted"),
+        "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"), count(n_lines).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_deleted"),
         count(F.col("runs")).alias("n_runs"), count(F.col("longest.lines")).alias("longest_run"), count(F.col("longest.copies")).alias("run_copies"),
     )
 

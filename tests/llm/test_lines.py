@@ -76,3 +76,18 @@ def test_repeated_rows_and_null_ids(spark):
     rows = spark.createDataFrame([(None, text), (1, text), (1, text), (2, "other\n" + text)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.text, r.n_runs, r.longest_run, r.run_copies) for r in line_dedup.line_dedup(rows).collect())
     assert got == [("1", "", 1, 3, 4), ("1", "", 1, 3, 4), ("2", "other", 1, 3, 4), ("None", text, 0, 0, 0)]
+
+
+def test_keys_are_counted_once(spark, monkeypatch):
+    """A level is made of one table of counts by run; of a line no more words are looked for than decide, and a line of
+    blanks, or with blanks before its words, has as many as before."""
+    names, kept = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: names.append(name) or kept(df, name))
+    texts = [" \t one  two\rthree ", "", " \x0b ", "a b c d e f g", "a b c", "a b c d", "é è f"]
+    docs = line_dedup.with_rows(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    for most, want in ((0, [3, 0, 0, 7, 3, 4, 2]), (3, [3, 0, 0, 3, 3, 3, 2]), (1, [1, 0, 0, 1, 1, 1, 1])):
+        assert [r.words for r in line_dedup.line_ids(docs, most).orderBy("doc_id").collect()] == want
+    names.clear()
+    line_dedup.line_dedup(spark.createDataFrame([(1, "x y\nz"), (2, "x y\nz")], "doc_id long, text string"), 2).collect()
+    assert names.count("runs") == names.count("windows") + names.count("members")
+    assert names.count("members") == names.count("windows") - 1  # the last level is empty
