@@ -180,7 +180,10 @@ def packed_rows(texels: DataFrame, fields: list[tuple[Column, int]], width: int,
     lowest bits; texels follow each other without gaps, and rows are filled with zeros up to their pitch. A row of texels
     is one value; with a width of 0 it is as long as its texels. Texels that share a byte are added up by byte first."""
     total = sum(size for _, size in fields)
-    line, parts = ["surface_id", "z", "y"], field_bytes(fields)
+    line, sizes = ["surface_id", "z", "y"], [size for _, size in fields]
+    # columns of their own: the plan works each value out once, not for each of its bytes
+    texels = texels.select(*line, "x", *[value.cast("long").alias(f"_{i}") for i, (value, size) in enumerate(fields) if size])
+    parts = field_bytes([(F.col(f"_{i}"), size) for i, size in enumerate(sizes)])
     if total % 8 == 0:
         pieces = texels.select(*line, F.col("x").cast("long").alias("i"), hex_digits(parts).alias("p"))
     else:

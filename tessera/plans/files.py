@@ -87,7 +87,8 @@ def dds_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dds_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as containers of one float a texel, a texel each."""
     t = S.hdr(spark, sf_dir).select((F.col("y").cast("long") * 50 + F.col("x")).alias("surface_id"), "z", F.lit(0).alias("y"), F.lit(0).alias("x"), *S.CHANNELS)
-    rows = K.uncompressed(t, 1, (32, 0, 0, 0), kind="float")
+    # a row is a container: brought together once, for the rows of texels and for the container
+    rows = K.uncompressed(t.repartition("surface_id"), 1, (32, 0, 0, 0), kind="float")
     back = files.plain_texels(files.plain_dds(rows, t.select("surface_id", F.lit(1).alias("width"), F.lit(1).alias("height")), 32, code=files.FLOAT_CODE))
     return back.select("surface_id", *[F.round(c, 5).alias(c) for c in S.CHANNELS])
 

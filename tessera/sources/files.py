@@ -25,7 +25,8 @@ CAPS, PITCH, LINEAR_SIZE, MIPS, DEPTH = 0x1007, 0x8, 0x80000, 0x20000, 0x800000
 FOURCC, ALPHA_PIXELS, ALPHA_ONLY, RGB, LUMINANCE = 0x4, 0x1, 0x2, 0x40, 0x20000
 TEXTURE, COMPLEX, MIPMAP, CUBE, VOLUME = 0x1000, 0x8, 0x400000, 0xFE00, 0x200000
 PAYLOAD, EXTENSION = 128, 20
-WORDS = (4, 12, 16, 24, 28, 80, 84, 88, 92, 96, 100, 104, 112, 128, 140)  # where the words of a header are that are read
+WORDS = (12, 16, 24, 28, 80, 84, 88, 92, 96, 100, 104, 112)  # where the words of a header are that are read
+EXTENSION_WORDS = (128, 140)  # and, of an extension, those
 HALF_CODE, FLOAT_CODE = 113, 114  # four halves; one float
 SRGB = (72, 75, 78, 99)  # codes one above those of the same blocks
 KINDS = ("2d", "cube", "3d", "array")
@@ -101,17 +102,24 @@ def half_dds(texels: DataFrame, extents: DataFrame, width: int) -> DataFrame:
 def dds_info(files: DataFrame) -> DataFrame:
     """files (with content) and what their headers say (only of files that begin like one): valid, width, height, depth, mips, faces, fourcc, dxgi, payload
     (where it begins), and the flags, code, bits and masks of plain texels."""
-    c = F.col("content")
-    magic = F.coalesce(F.substring(c, 1, 4) == F.unhex(F.lit(MAGIC)), F.lit(False))
-
-    def word(k: int) -> Column:
-        v = F.conv(F.hex(F.substring(c, k + 1, 4)), 16, 10).cast("long")  # the first byte highest
-        swapped = F.shiftleft(v.bitwiseAND(255), 24).bitwiseOR(F.shiftleft(v.bitwiseAND(0xFF00), 8)).bitwiseOR(F.shiftright(v, 8).bitwiseAND(0xFF00)).bitwiseOR(F.shiftright(v, 24))
-        return F.when(F.length(c) >= k + 4, swapped)
-
-    out = files.withColumn("_words", F.explode(F.array(F.when(magic, F.array(*[word(k) for k in WORDS])))))  # one row each: the plan keeps the words instead of parsing them for each field
-    at = lambda k: F.col("_words")[WORDS.index(k)]
-    out = out.withColumns({"fourcc": F.substring(c, 85, 4).cast("string"), "valid": F.coalesce(at(4) == HEADER, F.lit(False))})
+    c, places = F.col("content"), (*WORDS, *EXTENSION_WORDS)
+    digits = lambda text: F.unhex(F.lit(text))
+    magic = F.coalesce(F.substring(c, 1, 4) == digits(MAGIC), F.lit(False))
+    array = lambda ks: F.array(*[F.lit(k) for k in ks])
+
+    def word(k: Column) -> Column:
+        """The word at k, the first byte highest. Most are zero, and conv is dear."""
+        four = F.call_function("substring", c, k + 1, F.lit(4))
+        return F.when(F.length(c) >= k + 4, F.when(four == digits("00" * 4), F.lit(0).cast("long")).otherwise(F.conv(F.hex(four), 16, 10).cast("long")))
+
+    def swapped(v: Column) -> Column:
+        return F.shiftleft(v.bitwiseAND(255), 24).bitwiseOR(F.shiftleft(v.bitwiseAND(0xFF00), 8)).bitwiseOR(F.shiftright(v, 8).bitwiseAND(0xFF00)).bitwiseOR(F.shiftright(v, 24))
+
+    read = F.when(F.substring(c, 85, 4) == digits(b"DX10".hex()), array(places)).otherwise(array(WORDS))
+    words = F.transform(F.transform(read, word), swapped)  # each is parsed once, in code that stays small
+    out = files.withColumn("_words", F.explode(F.array(F.when(magic, words))))  # one row each: the plan keeps the words instead of parsing them for each field
+    at = lambda k: F.get("_words", F.lit(places.index(k)))
+    out = out.withColumns({"fourcc": F.substring(c, 85, 4).cast("string"), "valid": magic & F.coalesce(F.substring(c, 5, 4) == digits(f"{HEADER:02X}000000"), F.lit(False))})
     dx10, caps2 = F.col("fourcc") == "DX10", at(112)
     faces = F.when(caps2.bitwiseAND(0x200) != 0, 6).when(dx10, F.greatest(at(140), F.lit(1))).otherwise(1)
     fields = {
