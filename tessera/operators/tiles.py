@@ -164,7 +164,7 @@ def _summed(kernels: dict[str, np.ndarray], channel: str, halo: int, side: int,
 def convolved(texels: DataFrame, kernels: dict[str, list[list[float]]], extents: Extents, channel: str, mode: str = "mirror", side: int = SIDE) -> DataFrame:
     """(surface_id, z, y, x, channels) with a column for each kernel: the sum of its weights and channel about each texel,
     in each slice. Taps are summed inside a tile. Surfaces are rectangles from the origin; a place without a texel gets no
-    sum and adds nothing to those about it."""
+    sum and adds nothing to those about it; a texel without a place or a surface is left out."""
     planes = {name: np.array(k, float) for name, k in kernels.items()}
     halo = max(k.shape[0] for k in planes.values()) // 2
     if any(k.shape[0] // 2 != halo for k in planes.values()):
@@ -173,4 +173,5 @@ def convolved(texels: DataFrame, kernels: dict[str, list[list[float]]], extents:
     place = [StructField("surface_id", kinds["surface_id"]), *[StructField(c, texels.select(F.lit(0)).schema[0].dataType) for c in "zyx"]]
     schema = StructType([*place, *[StructField(c, DoubleType()) for c in (*CHANNELS, *planes)]])
     rows = texels.select("surface_id", *[F.col(c).cast("int").alias(c) for c in "zyx"], *[F.col(c).cast("double").alias(c) for c in CHANNELS])
+    rows = rows.dropna(subset=["surface_id", "z", "y", "x"])
     return tiled(rows, extents, halo, mode, side).mapInArrow(_summed(planes, channel, halo, side, mode), schema)

@@ -56,7 +56,7 @@ def png_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_import_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64 vectors as the lines of an image of 64 x 64 bytes; what is missing of the last one is zero."""
     e = S.table(spark, sf_dir, "embeddings")
-    digits = F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(F.floor(S.clamp(v.cast("double") + 0.5) * 255).cast("long")), 2, "0")), "")
+    digits = F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(F.floor(S.level(v.cast("double")) * 255).cast("long")), 2, "0")), "")
     lines = e.select(F.floor(F.col("vec_id") / 64).alias("image"), F.struct("vec_id", digits.alias("d")).alias("line"))
     images = lines.groupBy("image").agg(F.unhex(F.rpad(F.array_join(F.sort_array(F.collect_list("line"))["d"], ""), 2 * 64 * 64, "0")).alias("data"))
     return S.from_bytes(images, "image", "data", 64, 64, ("r",)).select("surface_id", "y", "x", F.round("r", 6).alias("r"), F.round("a", 6).alias("a"))

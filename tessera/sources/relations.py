@@ -22,6 +22,11 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
+def level(c: Column) -> Column:
+    """A vector's value moved by a half and clamped to 0..1; what is null or missing is 1, as in the SQL."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c + 0.5))
+
+
 def grid(surfaces: DataFrame) -> DataFrame:
     """A zero texel for each place of surfaces (surface_id, width, height, depth)."""
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -49,7 +54,7 @@ def planar(rows: DataFrame, surface: str, planes: dict[str, str], width: int) ->
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as a 4 x 4 surface: values moved by a half and clamped to 0..1."""
     rows = interleaved(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 4, 4)
-    return rows.select(*PLACE, *[clamp(F.col(c) + 0.5).alias(c) for c in CHANNELS])
+    return rows.select(*PLACE, *[level(F.col(c)).alias(c) for c in CHANNELS])
 
 
 def atlas(spark: SparkSession, sf_dir: str, across: int = 20) -> DataFrame:
@@ -63,7 +68,7 @@ def atlas(spark: SparkSession, sf_dir: str, across: int = 20) -> DataFrame:
 def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as an 8 x 8 surface of one channel, in all four."""
     rows = interleaved(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 8, ("r",))
-    return rows.select(*PLACE, *[clamp(F.col("r") + 0.5).alias(c) for c in CHANNELS])
+    return rows.select(*PLACE, *[level(F.col("r")).alias(c) for c in CHANNELS])
 
 
 #: Extents of ragged(), by vec_id.
@@ -77,7 +82,7 @@ def ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     rows = e.select(F.col("vec_id").alias("surface_id"), "embedding", pick(0).alias("w"), every(pick(1)).alias("y"))
     rows = rows.select("surface_id", "embedding", "w", "y", every(F.col("w")).alias("x"))
-    v = clamp(F.get("embedding", (F.col("y") * F.col("w") + F.col("x")) % 64).cast("double") + 0.5) * (F.col("surface_id") % 7 + 1) / 7
+    v = level(F.get("embedding", (F.col("y") * F.col("w") + F.col("x")) % 64).cast("double")) * (F.col("surface_id") % 7 + 1) / 7
     return rows.select("surface_id", F.lit(0).alias("z"), "y", "x", v.alias("v")).select(*PLACE, *[F.col("v").alias(c) for c in CHANNELS])
 
 
